@@ -9,10 +9,20 @@ The count table has at most (partitions + groups) rows.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_PINNED: list[DataFrame] = []
+
+
+def release_pinned() -> None:
+    """Unpersist the sorted frames pinned by ``group_position`` (call after the action)."""
+    while _PINNED:
+        _PINNED.pop().unpersist()
+
+
 def group_position(df: DataFrame, group_cols: list[str], order_cols: list, name: str = "pos",
                    num_partitions: int | None = None) -> DataFrame:
     """Add ``name`` = 1-based position of each row inside its group, ordered by ``order_cols``.
@@ -27,8 +37,12 @@ def group_position(df: DataFrame, group_cols: list[str], order_cols: list, name:
              .sortWithinPartitions(*groups, *order)
              .withColumn("_pid", F.spark_partition_id())
              .withColumn("_mid", F.monotonically_increasing_id()))
-    # Both branches below read the same range exchange (ReusedExchange); its sampled bounds and
-    # the per-partition sort are deterministic, so no cache is needed for consistent numbering.
+    # The two branches below (counts and numbering) must see the same range bounds: each range
+    # exchange samples its own bounds, and column pruning makes the two exchanges differ, so they
+    # are not reused. Persisting pins one partitioning; a lost block is recomputed from the same
+    # shuffle dependency (same bounds, same total order), so numbering survives executor loss.
+    keyed = keyed.persist(StorageLevel.MEMORY_AND_DISK)
+    _PINNED.append(keyed)
     stats = keyed.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))

@@ -133,14 +133,16 @@ def flatten_sections(sections: DataFrame, id_col: str = "sample_id") -> DataFram
 
 
 def merge_last_wins(fields: DataFrame, id_col: str = "sample_id") -> DataFrame:
-    """One value per (id, field): the one from the highest source rank (grouped ``max_by``)."""
-    return fields.groupBy(id_col, "field").agg(F.max_by("value", "source_rank").alias("value"))
+    """One value per (id, field): the one from the highest source rank (grouped ``max_by``; on a
+    rank tie the larger value, so the result does not depend on row order)."""
+    return fields.groupBy(id_col, "field").agg(F.max_by("value", F.struct("source_rank", "value")).alias("value"))
 
 
 def to_wide(long_df: DataFrame, fields: list[str], id_col: str = "sample_id", fill="0") -> DataFrame:
     """Pivot (one shuffle on id) over an explicit field list (no extra job to find the values);
-    missing cells are filled with ``fill`` as the raw extraction does."""
-    wide = long_df.groupBy(id_col).pivot("field", fields).agg(F.first("value"))
+    missing cells are filled with ``fill`` as the raw extraction does. A repeated (id, field)
+    keeps its largest value, independent of row order."""
+    wide = long_df.groupBy(id_col).pivot("field", fields).agg(F.max("value"))
     return wide.fillna(fill, subset=fields) if fill is not None else wide
 
 
