@@ -29,7 +29,9 @@ def one_hot_stages(categorical: list[str], numeric: list[str], output: str = "fe
     if categorical:
         stages.append(StringIndexer(inputCols=categorical, outputCols=idx, stringOrderType="alphabetAsc",
                                     handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True, handleInvalid="keep"))
+        # the indexer maps unknown levels to an extra last index; dropLast removes exactly that slot,
+        # so an unknown level encodes as all zeros and every known level keeps its own slot
+        stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True))
     stages.append(VectorAssembler(inputCols=ohe + list(numeric), outputCol=output, handleInvalid="keep"))
     return stages
 

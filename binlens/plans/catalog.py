@@ -6,7 +6,7 @@ import importlib
 
 from binlens.plans.registry import ORACLE, QUERIES
 
-_MODULES = ["q_evaluate", "q_extract"]
+_MODULES = ["q_evaluate", "q_extract", "q_prepare"]
 for _m in _MODULES:
     importlib.import_module(f"binlens.plans.{_m}")
 
