@@ -12,6 +12,7 @@ from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from binlens.functions.ranking import md5_key
 from binlens.session import cut_lineage
@@ -36,17 +37,21 @@ def svd(df: DataFrame, k: int, id_col: str = "id", features_col: str = "features
     return proj, s, V
 
 
-def svd_project(df: DataFrame, V: np.ndarray, id_col: str = "id", features_col: str = "features") -> DataFrame:
-    """Rows x V for new data (same as U * s on the fitted rows)."""
+def svd_project(df: DataFrame, V: np.ndarray, id_col: str = "id", features_col: str = "features",
+                keep: tuple = (), output_col: str = "components") -> DataFrame:
+    """Rows x V for new data (same as U * s on the fitted rows); ``keep`` columns ride along."""
     Vb = V.copy()
+    cols = [id_col, *keep]
 
     def proj(it):
         for pdf in it:
             X = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, Vb.shape[0]))
-            yield pd.DataFrame({id_col: pdf[id_col], "components": list(X @ Vb)})
+            out = pdf[cols].copy()
+            out[output_col] = list(X @ Vb)
+            yield out
 
-    return df.select(id_col, vector_to_array(F.col(features_col)).alias("x")).mapInPandas(
-        proj, f"{id_col} long, components array<double>")
+    schema = df.select(*cols).schema.add(output_col, T.ArrayType(T.DoubleType()))
+    return df.select(*cols, vector_to_array(F.col(features_col)).alias("x")).mapInPandas(proj, schema)
 
 
 # ---------------------------------------------------------------- NMF (C20)
@@ -103,6 +108,7 @@ def nmf(df: DataFrame, k: int, id_col: str = "id", features_col: str = "features
     data = cut_lineage(data)
     xx = data.select(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v).alias("s")).agg(F.sum("s")).first()[0] or 0.0
     err0 = prev = None
+    held = None
     it = 0
     for it in range(1, max_iter + 1):
         Hb = H.copy()
@@ -121,22 +127,23 @@ def nmf(df: DataFrame, k: int, id_col: str = "id", features_col: str = "features
                 yield pd.DataFrame({id_col: [None], "x": [None], "w": [None],
                                     "s": [np.concatenate([wtx.ravel(), wtw.ravel()]).tolist()]})
 
+        # One job per step: the stats collect materialises the persisted output, whose W rows
+        # feed the next step; the previous step's output is released once this one is cached.
         out = data.mapInPandas(step, f"{id_col} long, x array<double>, w array<double>, s array<double>")
         out = out.persist(StorageLevel.MEMORY_AND_DISK)
         sums = np.sum([np.asarray(r["s"]) for r in out.filter(F.col("s").isNotNull()).select("s").collect()], axis=0)
+        if held is not None:
+            held.unpersist()
+        held = out
         d = H.shape[1]
         WtX = sums[: k * d].reshape(k, d)
         WtW = sums[k * d:].reshape(k, k)
         H = H * WtX / np.maximum(WtW @ H, eps)
-        nxt = out.filter(F.col("s").isNull()).select(id_col, "x", "w")
+        data = out.filter(F.col("s").isNull()).select(id_col, "x", "w")
         if it % checkpoint_every == 0:
-            nxt = cut_lineage(nxt)
-        else:
-            nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-            nxt.count()
-        out.unpersist()
-        data.unpersist()
-        data = nxt
+            data = cut_lineage(data)
+            held.unpersist()
+            held = None
         if it % 10 == 0:
             # ||X - WH||^2 = ||X||^2 - 2 tr(H^T W^T X) + tr(H^T W^T W H) with the W of this step
             err = float(np.sqrt(max(xx - 2 * np.sum(H * WtX) + np.sum(H * (WtW @ H)), 0.0)))
@@ -145,10 +152,42 @@ def nmf(df: DataFrame, k: int, id_col: str = "id", features_col: str = "features
             elif prev is not None and err0 > 0 and (prev - err) / err0 < tol:
                 break
             prev = err
-    W = data.select(id_col, "w")
+    W = cut_lineage(data.select(id_col, "w"))
+    if held is not None:
+        held.unpersist()
     return W, H, it
 
 
+def nmf_transform(df: DataFrame, H: np.ndarray, id_col: str = "id", features_col: str = "features", keep: tuple = (),
+                  output_col: str = "w", n_iter: int = 200, eps: float = 1e-10) -> DataFrame:
+    """W for new rows with H fixed: multiplicative updates from the constant start
+    sqrt(mean(X) / k). Each row is solved on its own, so this is a map with no shuffle; the
+    mean is one aggregate."""
+    k = H.shape[0]
+    x = vector_to_array(F.col(features_col))
+    stats = df.select(F.aggregate(x, F.lit(0.0), lambda a, v: a + v).alias("s"), F.size(x).alias("d")) \
+              .agg(F.sum("s"), F.sum("d")).first()
+    mean = float(stats[0] or 0.0) / max(float(stats[1] or 1), 1.0)
+    start = float(np.sqrt(max(mean, 0.0) / k))
+    Hb = H.copy()
+    cols = [id_col, *keep]
+
+    def solve(it):
+        HHt = Hb @ Hb.T
+        for pdf in it:
+            X = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, Hb.shape[1]))
+            W = np.full((X.shape[0], k), start)
+            XHt = X @ Hb.T
+            for _ in range(n_iter):
+                W = W * XHt / np.maximum(W @ HHt, eps)
+            out = pdf[cols].copy()
+            out[output_col] = list(W)
+            yield out
+
+    schema = df.select(*cols).schema.add(output_col, T.ArrayType(T.DoubleType()))
+    return df.select(*cols, x.alias("x")).mapInPandas(solve, schema)
+
+
 # ---------------------------------------------------------------- Nystroem map
 
 def _kernel(kind, A, B, gamma, degree, coef0):
