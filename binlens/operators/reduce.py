@@ -6,6 +6,8 @@ the row factors stay distributed.
 
 from __future__ import annotations
 
+import threading
+
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
@@ -20,6 +22,9 @@ from binlens.session import cut_lineage
 
 # ---------------------------------------------------------------- truncated SVD
 
+_ARPACK = threading.Lock()
+
+
 def svd(df: DataFrame, k: int, id_col: str = "id", features_col: str = "features"):
     """Uncentred truncated SVD via ``IndexedRowMatrix.computeSVD``. Returns
     (projection DataFrame (id, components array = U * s), singular values, V (d x k))."""
@@ -29,7 +34,8 @@ def svd(df: DataFrame, k: int, id_col: str = "id", features_col: str = "features
     rows = df.select(F.col(id_col).cast("long").alias("i"), vector_to_array(F.col(features_col)).alias("x")).rdd \
              .map(lambda r: IndexedRow(r["i"], MLlibVectors.dense(r["x"])))
     mat = IndexedRowMatrix(rows)
-    res = mat.computeSVD(k, computeU=True)
+    with _ARPACK:      # the driver-side eigen solver is not thread-safe; searches fit side by side
+        res = mat.computeSVD(k, computeU=True)
     s = res.s.toArray()
     V = res.V.toArray()
     u = res.U.rows.map(lambda r: (int(r.index), [float(v) for v in (r.vector.toArray() * s)]))

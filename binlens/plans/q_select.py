@@ -8,6 +8,8 @@ string and is a parameter of the underlying function.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -240,16 +242,21 @@ def q_reducer_comparison(spark, sf):
     """{SVD, NMF, tree importance, chi2, MI} x {5, 10} components x tree depth {3, 5},
     fitted on the training rows, scored on the test rows; best accuracy over depth."""
     train, test, names = train_test(spark, sf)
-    rows = []
-    for red in ["svd", "nmf", "gini", "chi2", "mi"]:
-        for n in [5, 10]:
-            tr, te = _reduced(train, test, red, n, names)
-            for d in [3, 5]:
-                m = models.decision_tree(max_depth=d, seed=0, features="reduced").fit(tr)
-                s = m.transform(te).select(F.lit(red).alias("reducer"), F.lit(n).alias("n_components"),
-                                           F.lit(d).alias("max_depth"),
-                                           (F.col("label") == F.col("prediction")).cast("double").alias("hit"))
-                rows.append(s)
+
+    def one(job):
+        red, n = job
+        tr, te = _reduced(train, test, red, n, names)
+        out = []
+        for d in [3, 5]:
+            m = models.decision_tree(max_depth=d, seed=0, features="reduced").fit(tr)
+            out.append(m.transform(te).select(F.lit(red).alias("reducer"), F.lit(n).alias("n_components"),
+                                              F.lit(d).alias("max_depth"),
+                                              (F.col("label") == F.col("prediction")).cast("double").alias("hit")))
+        return out
+
+    jobs = [(red, n) for red in ["svd", "nmf", "gini", "chi2", "mi"] for n in [5, 10]]
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:      # independent reducers side by side
+        rows = [df for dfs in pool.map(one, jobs) for df in dfs]
     allp = rows[0]
     for r in rows[1:]:
         allp = allp.unionByName(r)
