@@ -28,13 +28,14 @@ _WRITTEN: dict[tuple[str, str], tuple[str, list[tuple[int, str]]]] = {}
 def split_and_folds(df: DataFrame, id_col: str = "id", label_col: str = "label", test_every: int = TEST_EVERY,
                     k: int = CV_FOLDS) -> DataFrame:
     """One position pass per class (md5 order) gives both the holdout and the CV folds:
-    split = test when (pos - 1) % test_every = 0; cv_fold = ((pos - 1) div test_every) % k on
-    the training rows (-1 on test rows). Class counts per fold differ by at most one."""
+    split = test when p = pos - 1 is a multiple of ``test_every``; a training row's rank among the
+    training rows of its class is p - (p div test_every) - 1, and cv_fold = that rank % k (-1 on
+    test rows). Class counts per fold differ by at most one."""
     pos = group_position(df.withColumn("_h", md5_key(id_col)), [label_col], ["_h", id_col], name="_pos")
     p = F.col("_pos") - 1
     is_test = (p % test_every) == 0
     return (pos.withColumn("split", F.when(is_test, F.lit("test")).otherwise(F.lit("train")))
-               .withColumn("cv_fold", F.when(is_test, F.lit(-1)).otherwise(F.floor(p / test_every) % k).cast("int"))
+               .withColumn("cv_fold", F.when(is_test, F.lit(-1)).otherwise((p - F.floor(p / test_every) - 1) % k).cast("int"))
                .drop("_h", "_pos"))
 
 
