@@ -1,84 +1,153 @@
-"""AdaBoost with real-valued stage outputs (SAMME.R, binary), built from weighted Spark trees.
+"""AdaBoost with real-valued stage outputs (SAMME.R, binary) over depth-1 gini trees.
 
-Each round fits a ``DecisionTreeClassifier(maxDepth=1, weightCol=w)`` on the cached training
-frame, turns its class probabilities into a stage score h = (log p1 - log p0) / 2 and
-re-weights rows by exp(-y* h) with y* in {-1, +1}. Lineage is cut with a reliable checkpoint
-every few rounds. Prediction sums the
-stored stage outputs (the trees are small driver-side models).
+Spark has no boosting of weighted stumps, and a ``DecisionTreeClassifier`` fit per round costs
+several jobs for a single split. Here a round is one grouped aggregate:
+
+* once: per-feature candidate thresholds (approximate quantiles, at most ``max_bins - 1`` per
+  feature, as Spark's trees bin continuous features) and each row's bin per feature;
+* per round: weighted class totals per (feature, bin) - a map-side combined ``groupBy`` whose
+  size is bounded by features x bins, not by rows - then running sums over the bins of each
+  feature (a window partitioned by feature) give every split's weighted gini impurity, and a
+  top-1 picks the best split (ties -> lower feature, lower threshold). Only that row reaches the
+  driver.
+* the leaves' weighted class shares p give the stage output h = (log p1 - log p0) / 2, and
+  rows are re-weighted by exp(-lr y* h), y* in {-1, +1}, as a column expression.
+
+Leaf shares and gini comparisons are invariant to the scale of the weights, so weights are
+rescaled only when lineage is cut (every ``checkpoint_every`` rounds, a reliable checkpoint into
+the shared folder); between cuts each round's weights are persisted and the previous round's
+released. Prediction sums the stage outputs as one JVM expression on the raw feature values.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from binlens.session import cut_lineage
 
 EPS = float(np.finfo(np.float64).eps)
 
 
-def _stage(prob_col: str):
-    p = vector_to_array(F.col(prob_col))
-    p0 = F.greatest(p[0], F.lit(EPS))
-    p1 = F.greatest(p[1], F.lit(EPS))
-    return (F.log(p1) - F.log(p0)) / F.lit(2.0)
+def _h(p1: float, p0: float) -> float:
+    return 0.5 * (np.log(max(p1, EPS)) - np.log(max(p0, EPS)))
 
 
 class AdaBoostModel:
-    def __init__(self, trees, features_col, learning_rate):
-        self.trees = trees
+    """Stages are (feature index, threshold, h_left, h_right); x[j] <= threshold goes left.
+    A stage with feature -1 is a single leaf (h_left everywhere)."""
+
+    def __init__(self, stages, features_col, learning_rate):
+        self.stages = stages
         self.features_col = features_col
         self.learning_rate = learning_rate
 
+    def decision(self) -> Column:
+        x = vector_to_array(F.col(self.features_col))
+        total = F.lit(0.0)
+        for j, t, hl, hr in self.stages:
+            h = F.lit(hl) if j < 0 else F.when(x[j] <= F.lit(t), F.lit(hl)).otherwise(F.lit(hr))
+            total = total + F.lit(self.learning_rate) * h
+        return total
+
     def transform(self, df: DataFrame) -> DataFrame:
-        out = df.withColumn("_F", F.lit(0.0))
-        for i, t in enumerate(self.trees):
-            t = t.copy()
-            t.setProbabilityCol(f"_p{i}").setRawPredictionCol(f"_r{i}").setPredictionCol(f"_y{i}")
-            out = t.transform(out)
-            out = out.withColumn("_F", F.col("_F") + F.lit(self.learning_rate) * _stage(f"_p{i}")) \
-                     .drop(f"_p{i}", f"_r{i}", f"_y{i}")
-        n = max(1, len(self.trees))
-        avg = F.col("_F") / F.lit(float(n))
-        return (out.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * avg)))
+        n = float(max(1, len(self.stages)))
+        out = df.withColumn("_F", self.decision())
+        return (out.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * F.col("_F") / F.lit(n))))
                    .withColumn("prediction", (F.col("_F") > 0).cast("double")).drop("_F"))
 
 
+def stump_thresholds(df: DataFrame, features_col: str = "features", max_bins: int = 256) -> list[list[float]]:
+    """Sorted distinct approximate quantiles per feature (features x bins numbers)."""
+    x = vector_to_array(F.col(features_col))
+    qs = [i / max_bins for i in range(1, max_bins)]
+    long = df.select(F.posexplode(x).alias("j", "v"))
+    rows = long.groupBy("j").agg(F.percentile_approx("v", qs, 10000).alias("q")).collect()
+    d = max((r["j"] for r in rows), default=-1) + 1
+    out = [[] for _ in range(d)]
+    for r in rows:
+        out[r["j"]] = sorted(set(float(v) for v in r["q"]))
+    return out
+
+
+def _binned(df: DataFrame, features_col: str, thresholds: list[list[float]]) -> DataFrame:
+    """(label, ys, bins, w): bin = number of thresholds below the value (numpy searchsorted)."""
+    thr = [np.asarray(t, dtype=float) for t in thresholds]
+
+    def bin_rows(it):
+        for pdf in it:
+            X = pdf["x"].to_numpy()
+            bins = [[int(np.searchsorted(thr[j], v[j], side="left")) for j in range(len(thr))] for v in X]
+            yield pd.DataFrame({"label": pdf["label"], "bins": bins})
+
+    schema = T.StructType([T.StructField("label", T.DoubleType()), T.StructField("bins", T.ArrayType(T.IntegerType()))])
+    return df.select(vector_to_array(F.col(features_col)).alias("x"), "label").mapInPandas(bin_rows, schema)
+
+
+def _best_split(cur: DataFrame):
+    """Best gini split over all (feature, bin) cuts, computed in Spark; one row returned."""
+    hist = (cur.select(F.posexplode("bins").alias("j", "b"), "label", "w")
+            .groupBy("j", "b").agg(F.sum(F.col("w") * (F.lit(1.0) - F.col("label"))).alias("w0"),
+                                   F.sum(F.col("w") * F.col("label")).alias("w1")))
+    run = Window.partitionBy("j").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    allj = Window.partitionBy("j")
+    c = (hist.withColumn("l0", F.sum("w0").over(run)).withColumn("l1", F.sum("w1").over(run))
+             .withColumn("t0", F.sum("w0").over(allj)).withColumn("t1", F.sum("w1").over(allj))
+             .withColumn("r0", F.col("t0") - F.col("l0")).withColumn("r1", F.col("t1") - F.col("l1")))
+    wl, wr = F.col("l0") + F.col("l1"), F.col("r0") + F.col("r1")
+    def node(w, a, b):      # weighted gini of a node: w - (a^2 + b^2) / w
+        return F.when(w > 0, w - (a * a + b * b) / w).otherwise(F.lit(0.0))
+
+    gini = node(wl, F.col("l0"), F.col("l1")) + node(wr, F.col("r0"), F.col("r1"))
+    # a cut at the last occupied bin leaves nothing on the right; tiny remainders are rounding
+    eps = (F.col("t0") + F.col("t1")) * F.lit(1e-12)
+    cand = c.filter((wl > eps) & (wr > eps)).withColumn("gini", gini)
+    best = cand.orderBy("gini", "j", "b").limit(1).collect()
+    if best:
+        return best[0]
+    tot = hist.agg(F.sum("w0").alias("t0"), F.sum("w1").alias("t1")).first()
+    return tot
+
+
 def fit_adaboost(train: DataFrame, features_col: str = "features", label_col: str = "label", rounds: int = 50,
-                 learning_rate: float = 1.0, checkpoint_every: int = 5, seed: int = 0) -> AdaBoostModel:
-    """Tree impurity is invariant to the scale of the weights, so the weights are renormalised
-    only when lineage is cut (every ``checkpoint_every`` rounds, in the same pass that writes
-    the checkpoint); in between each round's weights are persisted and the previous round's
-    released, so a tree fit never replays earlier rounds. Five rounds move a weight by at most
-    exp(5 * 18), far inside the double range."""
-    df = train.select(features_col, F.col(label_col).cast("double").alias("label"), F.lit(1.0).alias("w"))
-    df = cut_lineage(df)
-    trees = []
+                 learning_rate: float = 1.0, checkpoint_every: int = 5, max_bins: int = 256) -> AdaBoostModel:
+    base = train.select(features_col, F.col(label_col).cast("double").alias("label"))
+    thresholds = stump_thresholds(base, features_col, max_bins)
+    cur = cut_lineage(_binned(base, features_col, thresholds).withColumn("w", F.lit(1.0)))
     ystar = F.when(F.col("label") == 1.0, F.lit(1.0)).otherwise(F.lit(-1.0))
-    held = None
+    stages, held, prev = [], None, None
     for r in range(rounds):
-        dt = DecisionTreeClassifier(featuresCol=features_col, labelCol="label", weightCol="w", maxDepth=1, seed=seed,
-                                    maxBins=256, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_y")
-        m = dt.fit(df)
-        trees.append(m)
-        nxt = (m.transform(df).withColumn("w", F.col("w") * F.exp(-F.lit(learning_rate) * ystar * _stage("_p")))
-               .select(features_col, "label", "w"))
+        s = _best_split(cur)            # materialises this round's weights
+        if prev is not None:            # ... so the previous round's copy can go
+            prev.unpersist()
+            prev = None
+        if "j" in s.asDict():
+            j, b = int(s["j"]), int(s["b"])
+            wl, wr = s["l0"] + s["l1"], s["r0"] + s["r1"]
+            hl, hr = _h(s["l1"] / wl, s["l0"] / wl), _h(s["r1"] / wr, s["r0"] / wr)
+            stages.append((j, float(thresholds[j][b]), float(hl), float(hr)))
+            h = F.when(F.col("bins")[j] <= F.lit(b), F.lit(hl)).otherwise(F.lit(hr))
+            total = float(s["t0"] + s["t1"])
+        else:   # every row in one bin of every feature: a single leaf
+            t = float(s["t0"] + s["t1"])
+            hl = _h(s["t1"] / t, s["t0"] / t)
+            stages.append((-1, 0.0, float(hl), float(hl)))
+            h = F.lit(hl)
+            total = t
+        nxt = cur.withColumn("w", F.col("w") * F.exp(-F.lit(learning_rate) * ystar * h))
         if (r + 1) % checkpoint_every == 0:
-            total = nxt.agg(F.sum("w")).first()[0] or 1.0
-            nxt = cut_lineage(nxt.withColumn("w", F.col("w") / F.lit(total)))
-            if held is not None:
-                held.unpersist()
-            held = None
+            nxt = cut_lineage(nxt.withColumn("w", F.col("w") / F.lit(total or 1.0)))
+            prev, held = held, None
         else:
             nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-            if held is not None:
-                held.unpersist()
-            held = nxt
-        df = nxt
-    if held is not None:
-        held.unpersist()
-    return AdaBoostModel(trees, features_col, learning_rate)
+            prev, held = held, nxt
+        cur = nxt
+    for d in (prev, held):
+        if d is not None:
+            d.unpersist()
+    return AdaBoostModel(stages, features_col, learning_rate)
