@@ -23,7 +23,11 @@ def scan_binaries(spark: SparkSession, root: str, glob: str | None = None, skip:
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
-    df = r.load(root)
+    return samples_from_files(r.load(root), skip, max_bytes)
+
+
+def samples_from_files(df: DataFrame, skip: tuple = DEFAULT_SKIP, max_bytes: int | None = None) -> DataFrame:
+    """binaryFile rows (batch or stream) -> samples; per-row expressions only."""
     name = base_name(F.col("path"))
     for s in skip:
         df = df.filter(~name.contains(s))
