@@ -108,9 +108,11 @@ def chi2_scores(long_df: DataFrame, labels: DataFrame, feature: str = "feature",
 
 
 def top_k(scores: DataFrame, score_col: str, k: int, feature: str = "feature_idx") -> DataFrame:
-    """Best ``k`` features by score; on a tie the higher index wins (as SelectKBest)."""
-    w = Window.orderBy(F.col(score_col).desc(), F.col(feature).desc())
-    return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    """Best ``k`` features by score; on a tie the higher index wins (as SelectKBest).
+
+    Distributed top-k (``orderBy().limit(k)``); only the k kept rows are numbered."""
+    order = [F.col(score_col).desc(), F.col(feature).desc()]
+    return scores.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def population_std(df: DataFrame, cols: list[str]) -> dict[str, float]:

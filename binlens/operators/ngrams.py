@@ -27,14 +27,18 @@ def ngram_counts(samples: DataFrame, id_col: str = "sample_id", content: str = "
 def ngram_vocabulary(counts: DataFrame, k: int, id_col: str = "sample_id") -> DataFrame:
     """Top-k grams by document frequency (ties: smaller gram first) -> (gram, df, rank).
 
-    The ranking window runs over the distinct grams only (at most 256**n rows)."""
-    dfreq = counts.groupBy("gram").agg(F.countDistinct(id_col).alias("df"))
+    ``counts`` has one row per (id, gram), so the document frequency is a plain count. The
+    top-k is a distributed ``orderBy().limit(k)`` (each partition keeps its own k best, then one
+    merge), so the up to 256**n distinct grams are never sorted in a single task; only the k
+    survivors are numbered."""
+    dfreq = counts.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    best = dfreq.orderBy(F.col("df").desc(), F.col("gram")).limit(k)
     w = Window.orderBy(F.col("df").desc(), F.col("gram"))
-    return dfreq.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(w))
 
 
 def ngram_features_long(counts: DataFrame, vocab: DataFrame, id_col: str = "sample_id") -> DataFrame:
     """Long-form features (id, feature_idx, value) over the vocabulary; the vocabulary side has
     k rows, so it is broadcast."""
-    v = F.broadcast(vocab.select("gram", (F.col("rank") - 1).cast("int").alias("feature_idx")))
+    v = F.broadcast(vocab.select("gram", (F.col("rank") - 1).cast("int").alias("feature_idx")))   # k rows
     return counts.join(v, "gram").select(id_col, "feature_idx", F.col("n").cast("double").alias("value"))
