@@ -45,7 +45,56 @@ def q_prepared(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("id", "label", "split", "cv_fold", vector_to_array("features").alias("features"))
 
 
-@query("feature_names")
+# Oracle for the prepared table: the same split (md5 position per class), the same sorted
+# levels taken from the training rows, one-hot slots then the counts, each slot divided by its
+# population deviation over the training rows (1 when constant).
+PREPARED_SQL = """
+WITH lab AS (
+  SELECT d.doc_id AS id, l.quality AS label, d.lang, d.source, cast(d.n_chars AS DOUBLE) AS n_chars,
+         cast(len(string_split(d.text, chr(10))) AS DOUBLE) AS n_lines,
+         cast(len(string_split(d.text, ' ')) AS DOUBLE) AS n_words
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(cast(id AS VARCHAR)), id) - 1 AS p FROM lab),
+s AS (SELECT *, CASE WHEN p % 5 = 0 THEN 'test' ELSE 'train' END AS split,
+             cast(CASE WHEN p % 5 = 0 THEN -1 ELSE (p - p // 5 - 1) % 5 END AS INTEGER) AS cv_fold FROM p),
+tr AS (SELECT * FROM s WHERE split = 'train'),
+ntr AS (SELECT count(*) * 1.0e0 AS n FROM tr),
+langs AS (SELECT lang AS lvl, row_number() OVER (ORDER BY lang) - 1 AS idx, count(*) AS c FROM tr GROUP BY lang),
+nl AS (SELECT count(*) AS k FROM langs),
+srcs AS (SELECT source AS lvl, row_number() OVER (ORDER BY source) - 1 AS idx, count(*) AS c FROM tr GROUP BY source),
+ns AS (SELECT count(*) AS k FROM srcs),
+slots AS (
+  SELECT 'lang' AS col, lvl, idx, c FROM langs
+  UNION ALL SELECT 'source', lvl, (SELECT k FROM nl) + idx, c FROM srcs),
+sc AS (SELECT col, lvl, idx, CASE WHEN c < n THEN 1.0e0 / sqrt((c / n) * (1.0e0 - c / n)) ELSE 1.0e0 END AS scale
+       FROM slots, ntr),
+base AS (SELECT (SELECT k FROM nl) + (SELECT k FROM ns) AS b),
+num AS (SELECT CASE WHEN stddev_pop(n_chars) > 0 THEN 1.0e0 / stddev_pop(n_chars) ELSE 1.0e0 END AS s_chars,
+               CASE WHEN stddev_pop(n_lines) > 0 THEN 1.0e0 / stddev_pop(n_lines) ELSE 1.0e0 END AS s_lines,
+               CASE WHEN stddev_pop(n_words) > 0 THEN 1.0e0 / stddev_pop(n_words) ELSE 1.0e0 END AS s_words FROM tr),
+e AS (
+  SELECT s.id, s.split, s.cv_fold, sc.idx AS feature_idx, sc.scale AS value FROM s JOIN sc ON sc.col = 'lang' AND s.lang = sc.lvl
+  UNION ALL SELECT s.id, s.split, s.cv_fold, sc.idx, sc.scale FROM s JOIN sc ON sc.col = 'source' AND s.source = sc.lvl
+  UNION ALL SELECT id, split, cv_fold, b, n_chars * s_chars FROM s, base, num
+  UNION ALL SELECT id, split, cv_fold, b + 1, n_lines * s_lines FROM s, base, num
+  UNION ALL SELECT id, split, cv_fold, b + 2, n_words * s_words FROM s, base, num)
+"""
+
+
+@query("prepared_features_long", PREPARED_SQL + """
+SELECT id, split, cv_fold, cast(feature_idx AS INTEGER) AS feature_idx, round(value, 6) AS value FROM e WHERE value <> 0""")
+def q_prepared_long(spark: SparkSession, sf: str) -> DataFrame:
+    """A10 / C10-C12 / C16 / C18 as the long twin of the matrix: non-zero slots only."""
+    df, _ = prepared(spark, sf)
+    return (df.select("id", "split", "cv_fold", F.posexplode(vector_to_array("features")).alias("feature_idx", "value"))
+              .filter(F.col("value") != 0)
+              .select("id", "split", "cv_fold", F.col("feature_idx").cast("int").alias("feature_idx"),
+                      F.round("value", 6).alias("value")))
+
+
+@query("feature_names", PREPARED_SQL + """
+SELECT cast(idx AS INTEGER) AS feature_idx, col || '__ohe_' || lvl AS feature FROM sc
+UNION ALL SELECT cast(b + i AS INTEGER), nm FROM base, (VALUES (0, 'n_chars'), (1, 'n_lines'), (2, 'n_words')) t(i, nm)""")
 def q_feature_names(spark: SparkSession, sf: str) -> DataFrame:
     _, names = prepared(spark, sf)
     return names_frame(spark, names)
