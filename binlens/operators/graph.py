@@ -134,3 +134,14 @@ def graph_level_features(nodes: DataFrame, edges: DataFrame, node_weights: DataF
                                                   F.max("weight").alias("max_node_weight"))
         out = out.join(w, "binary_id", "left")
     return out
+
+
+def write_graph_tables(nodes: DataFrame, edges: DataFrame, labels: DataFrame, root: str, buckets: int = 64) -> None:
+    """Graph bundle sink (A7): nodes, edges and labels as parquet tables partitioned by a hash
+    bucket of ``binary_id`` - a bounded number of folders, never one file per binary - so a
+    reader of one graph prunes to one bucket."""
+    bucket = F.pmod(F.xxhash64(F.col("binary_id")), F.lit(buckets)).alias("bucket")
+    for name, df in (("nodes", nodes), ("edges", edges), ("labels", labels)):
+        (df.select("*", bucket).repartition(buckets, "bucket")
+           .write.mode("overwrite").partitionBy("bucket").parquet(f"{root.rstrip('/')}/{name}"))
+

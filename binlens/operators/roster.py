@@ -81,7 +81,7 @@ def builders(n_features: int, n_rows: int | None = None) -> dict[str, Callable[[
 
 
 def fit_roster(train: DataFrame, names: list[str], n_features: int, n_rows: int | None = None,
-               parallelism: int = 4) -> dict[str, Fitted]:
+               parallelism: int = 8) -> dict[str, Fitted]:
     b = builders(n_features, n_rows)
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         futs = {n: pool.submit(b[n], train) for n in names}

@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.ml import Pipeline
+from pyspark.ml.feature import MaxAbsScaler, SQLTransformer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,10 +47,18 @@ def _base(spark: SparkSession, sf: str) -> DataFrame:
     return split_and_folds(df)
 
 
-def feature_pipeline(scale: bool = True) -> Pipeline:
+def feature_pipeline(scaler: str | None = "population") -> Pipeline:
+    """One-hot + counts -> ``raw``; then ``features`` = population scaling (default), max-abs
+    scaling (the commented-out alternative, C23) or ``raw`` unchanged."""
     stages = one_hot_stages(CATEGORICAL, NUMERIC, output="raw")
-    if scale:
+    if scaler == "population":
         stages.append(PopulationScaler(featuresCol="raw", outputCol="features"))
+    elif scaler == "maxabs":
+        stages.append(MaxAbsScaler(inputCol="raw", outputCol="features"))
+    elif scaler is None:
+        stages.append(SQLTransformer(statement="SELECT *, raw AS features FROM __THIS__"))
+    else:
+        raise ValueError(scaler)
     return Pipeline(stages=stages)
 
 

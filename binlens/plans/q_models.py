@@ -278,7 +278,7 @@ def _stack_features(scores: DataFrame, bases: list[str]) -> DataFrame:
 
 
 def stacking(train: DataFrame, test: DataFrame, bases: list[str], n_features: int, k: int = CV_FOLDS,
-             head: str = "logistic", parallelism: int = 4) -> DataFrame:
+             head: str = "logistic", parallelism: int = 8) -> DataFrame:
     """Out-of-fold base scores (fold column ``cv_fold``) train the head; the bases are then
     refitted on all training rows to score the test rows for the head."""
     n = train.count()
