@@ -1,6 +1,6 @@
 """A uniform fit / score interface over Spark ML estimators and the custom models.
 
-``fit_model(name, train)`` returns a ``Fitted`` whose ``score(df)`` yields
+``builders(...)[name](train)`` returns a ``Fitted`` whose ``score(df)`` yields
 ``(id, label, prediction, score)``; ``fit_roster`` fits several models concurrently from a
 thread pool (Spark runs the jobs of different threads side by side, as ``CrossValidator``'s
 ``parallelism`` does), all reading the same prepared table.
