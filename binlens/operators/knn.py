@@ -1,11 +1,21 @@
-"""Exact k nearest neighbours (D8) as a blocked join.
-
-Queries are cut into ``Q`` blocks and the training rows into ``T`` blocks. Each query row is
-copied to every training block id and each training row to every query block id, so the pair
-(query block, training block) is an equi-join key; a cogrouped pandas function computes the
-block's distance matrix with numpy and emits only the k best candidates per query. A final
-grouped top-k per query (at most T*k rows each) gives the answer. No row pairs are ever
-materialised, and no block depends on the total data size.
+"""Exact k nearest neighbours (D8): order by (squared euclidean distance rounded to 9 digits,
+training id), keep k.
+
+Two plans, chosen by a size check on the query side:
+
+* **broadcast queries** (queries x dimension x 8 bytes within ``MAX_BROADCAST_BYTES``): the query
+  matrix is shipped once to every executor; each training partition streams its Arrow batches,
+  keeps a running top-k per query and emits k candidates per query. The training side is read
+  once and never shuffled; only (partitions x queries x k) candidates are, to a per-query top-k.
+* **blocked join** (larger query sides): queries are cut into ``Q``-row blocks and training rows
+  into ``T``-row blocks; each query row is copied to every training block id and each training
+  row to every query block id, so (query block, training block) is an equi-join key. A
+  cogrouped pandas function computes the block's distances and emits k candidates per query.
+
+Inside a block, distances are prefiltered with the expanded form |q|^2 + |x|^2 - 2 q.x, and the
+exact squared differences are computed for the candidates only. A query whose k-th candidate
+ties beyond the prefilter margin is recomputed exactly against the whole block, so ties are
+always broken by the smaller training id.
 """
 
 from __future__ import annotations
@@ -17,48 +27,120 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from binlens.functions.sizing import MAX_BROADCAST_BYTES
+
 CAND = "qid long, tid long, label int, d2 double"
+QUERY_CHUNK = 512        # queries per distance matrix inside a task (bounds task memory)
+
+
+def block_topk(Q: np.ndarray, X: np.ndarray, tids: np.ndarray, k: int, margin: int = 8):
+    """(index into X, exact rounded d2), each (len(Q), min(k, len(X))), ordered by (d2, tid)."""
+    n = X.shape[0]
+    kk = min(k, n)
+    approx = (Q * Q).sum(1)[:, None] + (X * X).sum(1)[None, :] - 2.0 * Q @ X.T
+    m = min(kk + margin, n)
+    if m < n:
+        cand = np.argpartition(approx, m - 1, axis=1)[:, :m]
+    else:
+        cand = np.tile(np.arange(n), (Q.shape[0], 1))
+    diff = Q[:, None, :] - X[cand]
+    d2 = np.round((diff * diff).sum(2), 9)
+    order = np.lexsort((tids[cand], d2), axis=1)
+    rows = np.arange(Q.shape[0])[:, None]
+    pick, pick_d = cand[rows, order[:, :kk]], d2[rows, order[:, :kk]]
+    if m < n:
+        # rows outside the candidate set may tie with the k-th distance: recompute those exactly
+        kth = pick_d[:, -1]
+        outside = np.partition(approx, m, axis=1)[:, m]        # nearest row left out of the candidates
+        risky = np.nonzero(outside <= kth + 1e-6 * (1.0 + np.abs(kth)))[0]
+        for r in risky:
+            dd = np.round(((X - Q[r]) ** 2).sum(1), 9)
+            o = np.lexsort((tids, dd))[:kk]
+            pick[r], pick_d[r] = o, dd[o]
+    return pick, pick_d
+
+
+def _merge(best_t, best_d, best_l, new_t, new_d, new_l, k):
+    t = np.concatenate([best_t, new_t], 1)
+    d = np.concatenate([best_d, new_d], 1)
+    lab = np.concatenate([best_l, new_l], 1)
+    o = np.lexsort((t, d), axis=1)[:, :k]
+    r = np.arange(t.shape[0])[:, None]
+    return t[r, o], d[r, o], lab[r, o]
+
+
+def _broadcast_scan(bq, k: int):
+    """mapInPandas over training partitions: running top-k of every query, k rows per query out.
+    ``bq`` is a broadcast variable holding (query ids, query matrix)."""
+    def fn(it):
+        qids, Q = bq.value
+        nq = len(qids)
+        if nq == 0:
+            return
+        bt = np.full((nq, 0), 0, dtype=np.int64)
+        bd = np.full((nq, 0), 0.0)
+        bl = np.full((nq, 0), 0, dtype=np.int64)
+        for pdf in it:
+            if pdf.empty:
+                continue
+            X = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+            tids = pdf["tid"].to_numpy().astype(np.int64)
+            labs = pdf["label"].to_numpy().astype(np.int64)
+            nt, nd, nl = [], [], []
+            for q0 in range(0, nq, QUERY_CHUNK):
+                idx, d2 = block_topk(Q[q0:q0 + QUERY_CHUNK], X, tids, k)
+                nt.append(tids[idx]); nd.append(d2); nl.append(labs[idx])
+            bt, bd, bl = _merge(bt, bd, bl, np.concatenate(nt), np.concatenate(nd), np.concatenate(nl), k)
+        if bt.shape[1] == 0:
+            return
+        kk = bt.shape[1]
+        yield pd.DataFrame({"qid": np.repeat(qids, kk), "tid": bt.ravel(), "label": bl.ravel().astype("int32"),
+                            "d2": bd.ravel()})
+    return fn
 
 
-def _block_topk(k: int, margin: int = 8):
+def _block_pairs(k: int):
     def fn(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if q.empty or t.empty:
             return pd.DataFrame({"qid": [], "tid": [], "label": [], "d2": []})
         Q = np.stack(q["vec"].to_numpy()).astype(np.float64)
         X = np.stack(t["vec"].to_numpy()).astype(np.float64)
-        approx = (Q * Q).sum(1)[:, None] + (X * X).sum(1)[None, :] - 2.0 * Q @ X.T
-        m = min(k + margin, X.shape[0])
-        cand = np.argpartition(approx, m - 1, axis=1)[:, :m] if m < X.shape[0] else np.tile(np.arange(X.shape[0]), (Q.shape[0], 1))
-        diff = Q[:, None, :] - X[cand]                      # exact distances for the candidates only
-        d2 = np.round((diff * diff).sum(2), 9)
-        tids = t["tid"].to_numpy()[cand]
-        order = np.lexsort((tids, d2), axis=1)[:, :k]
-        rows = np.arange(Q.shape[0])[:, None]
-        pick = cand[rows, order]
-        return pd.DataFrame({
-            "qid": np.repeat(q["qid"].to_numpy(), pick.shape[1]),
-            "tid": t["tid"].to_numpy()[pick].ravel(),
-            "label": t["label"].to_numpy()[pick].ravel().astype("int32"),
-            "d2": d2[rows, order].ravel(),
-        })
+        tids = t["tid"].to_numpy().astype(np.int64)
+        parts = []
+        for q0 in range(0, Q.shape[0], QUERY_CHUNK):
+            idx, d2 = block_topk(Q[q0:q0 + QUERY_CHUNK], X, tids, k)
+            parts.append(pd.DataFrame({
+                "qid": np.repeat(q["qid"].to_numpy()[q0:q0 + QUERY_CHUNK], idx.shape[1]),
+                "tid": tids[idx].ravel(), "label": t["label"].to_numpy()[idx].ravel().astype("int32"),
+                "d2": d2.ravel()}))
+        return pd.concat(parts, ignore_index=True)
     return fn
 
 
 def nearest_neighbours(train: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec",
-                       label_col: str = "label", query_block: int = 2048, train_block: int = 16384) -> DataFrame:
-    """(qid, tid, label, d2, rank) for the k nearest training rows of every query; order by
-    (squared euclidean distance rounded to 9 digits, training id)."""
+                       label_col: str = "label", query_block: int = 2048, train_block: int = 16384,
+                       broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """(qid, tid, label, d2, rank) for the k nearest training rows of every query."""
     nq = queries.count()
-    nt = train.count()
-    n_qb = max(1, math.ceil(nq / query_block))
-    n_tb = max(1, math.ceil(nt / train_block))
-    qb = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_qb))
-    tb = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_tb))
-    q = queries.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("vec"), qb.alias("qb"),
-                       F.explode(F.sequence(F.lit(0), F.lit(n_tb - 1))).alias("tb"))
-    t = train.select(F.col(id_col).alias("tid"), F.col(vec_col).alias("vec"), F.col(label_col).cast("int").alias("label"),
-                     tb.alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1))).alias("qb"))
-    cands = q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInPandas(_block_topk(k), CAND)
+    t = train.select(F.col(id_col).alias("tid"), F.col(vec_col).alias("vec"), F.col(label_col).cast("int").alias("label"))
+    first = queries.select(F.size(vec_col).alias("d")).first()
+    dim = int(first["d"]) if first else 0
+    if nq * max(dim, 1) * 8 <= broadcast_bytes:
+        rows = queries.select(id_col, vec_col).collect()          # size-checked above
+        qids = np.array([r[0] for r in rows], dtype=np.int64)
+        Q = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), dim)
+        bq = queries.sparkSession.sparkContext.broadcast((qids, Q))
+        cands = t.mapInPandas(_broadcast_scan(bq, k), CAND)
+    else:
+        nt = train.count()
+        n_qb = max(1, math.ceil(nq / query_block))
+        n_tb = max(1, math.ceil(nt / train_block))
+        qb = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_qb))
+        tb = F.pmod(F.xxhash64(F.col("tid")), F.lit(n_tb))
+        q = queries.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("vec"), qb.alias("qb"),
+                           F.explode(F.sequence(F.lit(0), F.lit(n_tb - 1))).alias("tb"))
+        tt = t.select("*", tb.alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1))).alias("qb"))
+        cands = q.groupBy("qb", "tb").cogroup(tt.groupBy("qb", "tb")).applyInPandas(_block_pairs(k), CAND)
     w = Window.partitionBy("qid").orderBy("d2", "tid")
     return cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -1,11 +1,14 @@
-"""Blocked exact KNN equals brute force, across several query and training blocks."""
+"""Exact KNN equals brute force on tie-heavy data, on both plans: blocked join across several
+query and training blocks, and broadcast queries with a running top-k per partition (D8)."""
 
 import numpy as np
+import pytest
 
 from binlens.operators.knn import knn_predict, nearest_neighbours
 
 
-def test_blocked_knn_matches_brute_force(spark):
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
+def test_knn_matches_brute_force(spark, broadcast_bytes):
     rng = np.random.RandomState(3)
     X = rng.randint(0, 4, size=(90, 3)).astype(float)      # many equal distances -> tie order matters
     y = rng.randint(0, 3, size=90)
@@ -13,7 +16,7 @@ def test_blocked_knn_matches_brute_force(spark):
     train = spark.createDataFrame([(i, X[i].tolist(), int(y[i])) for i in range(90)], "id long, vec array<double>, label int")
     queries = spark.createDataFrame([(1000 + j, Q[j].tolist()) for j in range(25)], "id long, vec array<double>")
     k = 4
-    got = nearest_neighbours(train, queries, k, query_block=7, train_block=20).collect()
+    got = nearest_neighbours(train, queries, k, query_block=7, train_block=20, broadcast_bytes=broadcast_bytes).collect()
     by_q = {}
     for r in got:
         by_q.setdefault(r.qid, []).append((r.rank, r.tid))
@@ -22,7 +25,7 @@ def test_blocked_knn_matches_brute_force(spark):
         want = sorted(range(90), key=lambda i: (d2[i], i))[:k]
         assert [t for _, t in sorted(by_q[1000 + j])] == want
     pred = {r.qid: r.prediction for r in knn_predict(
-        nearest_neighbours(train, queries, k, query_block=7, train_block=20)).collect()}
+        nearest_neighbours(train, queries, k, query_block=7, train_block=20, broadcast_bytes=broadcast_bytes)).collect()}
     for j in range(25):
         d2 = ((X - Q[j]) ** 2).sum(1)
         nb = sorted(range(90), key=lambda i: (d2[i], i))[:k]
