@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from binlens.functions.ranking import group_position
+from binlens.functions.sizing import maybe_broadcast
 
 MIN_NODES = 2
 MAX_NODES = 10_000
@@ -26,8 +27,9 @@ def mnemonic_tokens(instructions: DataFrame) -> DataFrame:
 
 def category_counts(tokens: DataFrame, dictionary: DataFrame, categories: list[str]) -> DataFrame:
     """Per block and category, the number of tokens in that category (a token listed in two
-    categories counts in both). The dictionary side is small and broadcast."""
-    hits = tokens.join(F.broadcast(dictionary), "opcode")
+    categories counts in both). The dictionary side is broadcast when its capped count proves it
+    small, and shuffle-joined otherwise."""
+    hits = tokens.join(maybe_broadcast(dictionary), "opcode")
     wide = hits.groupBy("binary_id", "node_idx").pivot("category", categories).agg(F.count(F.lit(1)))
     return wide.fillna(0, subset=categories).select(
         "binary_id", "node_idx", *[F.col(c).cast("bigint").alias(c) for c in categories])
@@ -35,7 +37,7 @@ def category_counts(tokens: DataFrame, dictionary: DataFrame, categories: list[s
 
 def unknown_opcodes(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Corpus-wide counts of tokens that are in no category."""
-    known = F.broadcast(dictionary.select("opcode").distinct())
+    known = maybe_broadcast(dictionary.select("opcode").distinct())
     return tokens.join(known, "opcode", "left_anti").groupBy("opcode").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from binlens.functions.ranking import stratified_folds
+from binlens.functions.sizing import maybe_broadcast
 from binlens.operators import ensemble as EN
 from binlens.operators import features as FE
 from binlens.operators import graph as G
@@ -117,7 +118,8 @@ def q_one_hot(spark, sf):
     names = encoded_names(model, cat, [])
     lookup = spark.createDataFrame(list(enumerate(names)), "feature_idx int, feature string")
     long_df = FE.to_long(model.transform(part), "p_partkey").withColumn("feature_idx", F.col("feature_idx").cast("int"))
-    return long_df.join(F.broadcast(lookup), "feature_idx").select("p_partkey", "feature_idx", "feature")
+    return long_df.join(maybe_broadcast(lookup, known_rows=len(names)), "feature_idx").select(
+        "p_partkey", "feature_idx", "feature")
 
 
 # ---------------------------------------------------------------- statistics (C14-C17)
