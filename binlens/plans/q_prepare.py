@@ -16,7 +16,7 @@ from binlens.operators import prepare as PR
 from binlens.operators.knn import knn_predict, nearest_neighbours
 from binlens.plans import standins as si
 from binlens.plans.q_evaluate import SCORED
-from binlens.plans.q_extract import CATS, DICT_VALUES
+from binlens.plans.q_extract import DICT_VALUES
 from binlens.plans.registry import query
 from binlens.sources.lookups import WORD_CATEGORIES, dictionary_frame
 from binlens.sources.tables import table

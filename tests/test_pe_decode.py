@@ -5,7 +5,6 @@ import struct
 import tempfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from binlens.operators.dedup import dedup_exact, duplicate_groups
 from binlens.operators.pe import decode, raw_feature_table
