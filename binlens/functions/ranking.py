@@ -52,6 +52,32 @@ def group_position(df: DataFrame, group_cols: list[str], order_cols: list, name:
     return out
 
 
+def running_sums(df: DataFrame, group_cols: list[str], order_cols: list, sum_cols: list[str], prefix: str = "cum_",
+                 num_partitions: int | None = None) -> DataFrame:
+    """Add ``<prefix><c>`` = sum of ``c`` over the rows of the same group up to and including
+    this row in ``order_cols`` order (which must be total within a group).
+
+    Same plan as ``group_position``: a range-partitioned sort spreads every group over many
+    tasks; each task sums its own rows (a window over (partition, group), so no window holds
+    more than one partition's share), and a per-(partition, group) total table - at most
+    partitions x groups rows - supplies the offsets. No global window over the rows.
+    """
+    order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    groups = [F.col(c) for c in group_cols]
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.repartitionByRange(n, *groups, *order).withColumn("_pid", F.spark_partition_id())
+    keyed = keyed.persist(StorageLevel.MEMORY_AND_DISK)     # one partitioning for both branches
+    _PINNED.append(keyed)
+    inner = Window.partitionBy("_pid", *group_cols).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = keyed.select("*", *[F.sum(c).over(inner).alias(f"_l_{c}") for c in sum_cols])
+    tot = keyed.groupBy("_pid", *group_cols).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
+    before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select("_pid", *group_cols, *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}")
+                                            for c in sum_cols])
+    out = local.join(off, ["_pid", *group_cols])
+    return out.select(*df.columns, *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).alias(f"{prefix}{c}") for c in sum_cols])
+
+
 def md5_key(id_col: str) -> Column:
     """Engine-independent pseudo-random order key: md5 of the id's text form."""
     return F.md5(F.col(id_col).cast("string"))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from binlens.functions.ranking import running_sums
+
 
 def _d(x) -> Column:
     return F.lit(float(x))
@@ -94,11 +96,16 @@ def _score_counts(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _cumulative(df: DataFrame, by: list[str]) -> DataFrame:
-    sc = _score_counts(df, by)
-    w = Window.partitionBy(*by).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    wall = Window.partitionBy(*by)
-    return (sc.withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("n").over(w))
-              .withColumn("tot_p", F.sum("p").over(wall)).withColumn("tot_n", F.sum("n").over(wall)))
+    """Per (group, distinct score, descending): p, n, running tp / fp and the group totals.
+
+    The running sums use a range-partitioned plan (``running_sums``), so unrounded scores - one
+    distinct value per row - are never sorted in a single task; totals are a grouped aggregate
+    joined back on the group key (``_g`` is a constant key when there is no group)."""
+    sc = _score_counts(df, by).withColumn("_g", F.lit(0))
+    keys = [*by, "_g"]
+    c = running_sums(sc, keys, [F.col("score").desc()], ["p", "n"])
+    tot = sc.groupBy(*keys).agg(F.sum("p").alias("tot_p"), F.sum("n").alias("tot_n"))
+    return (c.join(tot, keys).withColumnRenamed("cum_p", "tp").withColumnRenamed("cum_n", "fp").drop("_g"))
 
 
 def roc_curve(df: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -39,3 +39,16 @@ def test_split_and_cv_folds(spark):
     for lab in (0, 1):
         sizes = [sum(1 for r in train if r.label == lab and r.cv_fold == i) for i in range(5)]
         assert max(sizes) - min(sizes) <= 1
+
+
+def test_running_sums_equal_window_on_a_hot_group(spark):
+    from binlens.functions.ranking import running_sums
+
+    # group "a" holds most rows; the range split spreads it over several partitions
+    rows = [("a" if i % 10 else "b", float(i * 7 % 101), i % 3) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, s double, v long").dropDuplicates(["g", "s"])
+    got = running_sums(df, ["g"], [F.col("s").desc()], ["v"], num_partitions=6).select("g", "s", "cum_v")
+    w = Window.partitionBy("g").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("g", "s", F.sum("v").over(w).alias("cum_v"))
+    assert sorted(got.collect()) == sorted(want.collect())
+    release_pinned()
