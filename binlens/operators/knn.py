@@ -145,6 +145,44 @@ def nearest_neighbours(train: DataFrame, queries: DataFrame, k: int, id_col: str
     return cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def approx_neighbours(train: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec",
+                      label_col: str = "label", bucket_length: float = 1.0, num_tables: int = 4, seed: int = 1,
+                      train_block: int = 16384) -> DataFrame:
+    """Approximate k nearest neighbours: (qid, tid, label, d2, rank), candidates limited to rows
+    sharing a random-projection bucket with the query in at least one of ``num_tables`` tables.
+
+    Buckets come from Spark's ``BucketedRandomProjectionLSH``. Unlike a similarity join, no pair
+    list is emitted: a bucket is split into ``ceil(size / train_block)`` training sub-blocks
+    (salted by training id; the bucket sizes are one aggregate), each query of the bucket is
+    sent to every sub-block of it, and the numpy kernel returns k candidates per query and
+    sub-block. A bucket holding a third of the data is therefore spread over many tasks."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    t = train.select(F.col(id_col).alias("tid"), F.col(vec_col).alias("vec"),
+                     F.col(label_col).cast("int").alias("label"), array_to_vector(F.col(vec_col)).alias("v"))
+    q = queries.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("vec"), array_to_vector(F.col(vec_col)).alias("v"))
+    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
+                                      numHashTables=num_tables, seed=seed).fit(t)
+
+    def keyed(df, cols):
+        return (lsh.transform(df).select(*cols, F.posexplode("h").alias("tbl", "hv"))
+                .select(*cols, "tbl", vector_to_array(F.col("hv"))[0].cast("long").alias("bucket")))
+
+    tk = keyed(t, ["tid", "vec", "label"])
+    qk = keyed(q, ["qid", "vec"])
+    sizes = tk.groupBy("tbl", "bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(train_block))).cast("int").alias("n_sub"))
+    ts = tk.join(sizes, ["tbl", "bucket"]).withColumn("sub", F.pmod(F.xxhash64("tid"), F.col("n_sub")).cast("int"))
+    qs = qk.join(sizes, ["tbl", "bucket"]).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("n_sub") - 1)))
+    keys = ["tbl", "bucket", "sub"]
+    cands = (qs.select(*keys, "qid", "vec").groupBy(*keys)
+             .cogroup(ts.select(*keys, "tid", "vec", "label").groupBy(*keys))
+             .applyInPandas(_block_pairs(k), CAND)
+             .dropDuplicates(["qid", "tid"]))
+    w = Window.partitionBy("qid").orderBy("d2", "tid")
+    return cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def knn_predict(neigh: DataFrame) -> DataFrame:
     """Majority label among the neighbours (tie -> lowest label) and its vote share."""
     votes = neigh.groupBy("qid", "label").agg(F.count(F.lit(1)).alias("votes"))

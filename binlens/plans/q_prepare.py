@@ -13,7 +13,7 @@ from binlens.operators import ensemble as EN
 from binlens.operators import features as FE
 from binlens.operators import graph as G
 from binlens.operators import prepare as PR
-from binlens.operators.knn import knn_predict, nearest_neighbours
+from binlens.operators.knn import approx_neighbours, knn_predict, nearest_neighbours
 from binlens.plans import standins as si
 from binlens.plans.q_evaluate import SCORED
 from binlens.plans.q_extract import DICT_VALUES
@@ -310,6 +310,18 @@ def q_knn_exact(spark, sf):
     return knn_predict(nb).select(F.col("qid").alias("vec_id"), "prediction")
 
 
+@query("knn_lsh")
+def q_knn_lsh(spark, sf):
+    """D8, approximate: same queries and k as ``knn_exact``, candidates from 4 random-projection
+    hash tables (bucket length 0.25 on the unit-norm embeddings)."""
+    e = table(spark, sf, "embeddings", "vec_id", "embedding", "label")
+    f = stratified_folds(e, "vec_id", "label", 5)
+    q, t = f.filter(F.col("fold") == 0), f.filter(F.col("fold") != 0)
+    nb = approx_neighbours(t, q, 3, id_col="vec_id", vec_col="embedding", label_col="label", bucket_length=0.25,
+                           num_tables=4)
+    return knn_predict(nb).select(F.col("qid").alias("vec_id"), "prediction")
+
+
 @query("vote_hard", SCORED + """
 , v AS (SELECT id, prediction, count(*) AS votes FROM sms GROUP BY ALL)
 SELECT id, prediction, cast(n_models AS BIGINT) AS n_models FROM (

@@ -23,7 +23,7 @@ def results(spark):
 
 
 def test_rows_only_set_is_the_fit_family():
-    assert len(ROWS_ONLY) == 30
+    assert len(ROWS_ONLY) == 31
 
 
 @pytest.mark.parametrize("name", ROWS_ONLY)
