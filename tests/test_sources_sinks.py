@@ -66,3 +66,18 @@ def test_maxabs_switch(spark):
     assert out[0].features.toArray()[-3:].tolist() == [-1.0, 0.5, 1.0]
     raw = feature_pipeline(None).fit(df).transform(df).first()
     assert raw.features == raw.raw
+
+
+def test_sinks_parquet_and_csv_roundtrip(spark, tmp_path):
+    from binlens.sources.binary import write_table
+
+    df = spark.createDataFrame([("a.exe", 1.0, "x,y"), ("b.exe", 0.0, 'say "hi"')],
+                               "SampleName string, IsMalware double, note string")
+    write_table(df, str(tmp_path / "pq"))
+    write_table(df, str(tmp_path / "csv"), fmt="csv")
+    write_table(df, str(tmp_path / "part"), partition_by=["IsMalware"])
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "pq")).collect())) == sorted(map(tuple, df.collect()))
+    back = (spark.read.option("header", "true").option("escape", '"').schema(df.schema).csv(str(tmp_path / "csv")))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    assert sorted(d for d in os.listdir(tmp_path / "part") if d.startswith("IsMalware=")) == \
+        ["IsMalware=0.0", "IsMalware=1.0"]
