@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binlens.llm import simhash
+from binlens.llm import mixing, sharding, simhash
 from binlens.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,53 @@ def op1(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return (simhash.simhash_components(docs, shingle=3, max_bits=2)
             .select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id"))
+
+
+@query("op4_sharding")
+def op4(spark, sf_dir):
+    """24 shards whose row counts are at most one apart."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return sharding.shard_rows(docs, carry=False).select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _mix_sql() -> str:
+    """The mix by plain ordered sums; one select per permutation round."""
+    m = mixing
+    rounds = "SELECT *, x AS y, (rank * 7919 + epoch * 104729 + 12345) % {p} AS h FROM slots"
+    for _ in range(m.ROUNDS):
+        rounds = (
+            "SELECT * EXCLUDE (y, h, o), CASE WHEN ((((greatest(y, o) % {p}) * 48271 + h) % {p} * 69621 + greatest(y, o) // {p})"
+            " % {p} // 1024) % 2 = 1 THEN o ELSE y END AS y, h FROM (SELECT *, (((h * 69621 % {p}) * {p} + h * 16807 % {p})"
+            " % blocks - y + blocks) % blocks AS o FROM (SELECT * EXCLUDE (h), (h * 48271 + 11) % {p} AS h FROM (" + rounds + ")))")
+    return f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM s),
+w AS (SELECT *, [{', '.join(f'{float(x)}::DOUBLE' for x in m.WEIGHTS)}][rank % {len(m.WEIGHTS)} + 1] AS weight,
+      {m.MAX_EPOCHS}::DOUBLE * source_size AS most FROM r),
+v AS (SELECT *, row_number() OVER (ORDER BY most / weight, rank) AS place, (sum(source_size) OVER () - coalesce(sum(most) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0))
+      AS level FROM w WINDOW before AS (ORDER BY most / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, rank, source_size, least(most, coalesce(arg_min(level, place) FILTER (WHERE level <= most / weight) OVER (), 0) * weight)
+      AS target FROM v),
+b AS (SELECT *, (source_size + {m.BLOCK - 1}) // {m.BLOCK} AS blocks FROM t WHERE source_size > 0),
+n AS (SELECT *, floor(target * blocks / source_size + 0.5)::BIGINT AS slots FROM b),
+e AS (SELECT n.*, unnest(range({m.MAX_EPOCHS})) AS epoch FROM n),
+slots AS (SELECT rank, epoch, blocks, unnest(range(least(blocks, slots - epoch * blocks))) AS x FROM e WHERE epoch * blocks < slots),
+used AS (SELECT rank, y AS b, count(*) AS uses FROM ({rounds.replace('{p}', str(m.P31))}) GROUP BY rank, y),
+p AS (SELECT d.*, t.rank, t.source_size, t.target,
+      sum(size) OVER (PARTITION BY t.rank ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - size AS start
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+x AS (SELECT doc_id, rank, start, size, unnest(range((start // {m.BLOCK})::BIGINT, ((start + size - 1) // {m.BLOCK} + 1)::BIGINT)) AS b
+      FROM p WHERE size > 0),
+g AS (SELECT doc_id, sum((least((x.b + 1) * {m.BLOCK}, start + size) - greatest(x.b * {m.BLOCK}, start)) * uses) AS got
+      FROM x JOIN used ON x.rank = used.rank AND x.b = used.b GROUP BY doc_id)
+SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(g.got, 0)::BIGINT AS taken FROM p LEFT JOIN g USING (doc_id)"""
+
+
+@query("op5_mixing", _mix_sql())
+def op5(spark, sf_dir):
+    """Weights 5, 2, 1 over sources in code point order, targets at most three times a source."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return mixing.mix_counts(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
