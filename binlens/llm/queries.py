@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binlens.llm import mixing, sharding, simhash
+from binlens.llm import mixing, quality, sharding, simhash
 from binlens.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,11 @@ def op5(spark, sf_dir):
     """Weights 5, 2, 1 over sources in code point order, targets at most three times a source."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     return mixing.mix_counts(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query("op6_quality")
+def op6(spark, sf_dir):
+    """50 words at least, at most half of them repeated, and no robust outlier in its language and source."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    return quality.quality_verdicts(docs).select(F.col("id").alias("doc_id"), *quality.STATS, "base_failed",
+                                                 "kept", "distance")
