@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binlens.llm import mixing, quality, sharding, simhash
+from binlens.llm import mixing, quality, sharding, simhash, warc
 from binlens.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,21 @@ def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     return quality.quality_verdicts(docs).select(F.col("id").alias("doc_id"), *quality.STATS, "base_failed",
                                                  "kept", "distance")
+
+
+_B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Five hex digits are four base32 digits.
+_DIGEST_SQL = ("array_to_string(list_transform(range(32), lambda i: substr('" + _B32 + "', ((('0x' || substr(h, (i // 4 * 5 + 1)::INT, 5))::BIGINT"
+               " // [32768, 1024, 32, 1][i % 4 + 1]) % 32 + 1)::INT, 1)), '')")
+
+
+@query("op9_warc", f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS h FROM p),
+f AS (SELECT page_id, payload_bytes, {_DIGEST_SQL} AS payload_digest, min(page_id) OVER (PARTITION BY h) AS o FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = o THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> o THEN o END AS refers_to FROM f""")
+def op9(spark, sf_dir):
+    """Archives of every page, read back; revisits from 0 bytes on."""
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return warc.archive_index(pages, min_bytes=0).withColumnRenamed("id", "page_id")
