@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binlens.llm import mixing, quality, sharding, simhash, warc
+from binlens.llm import decontaminate, mixing, quality, sharding, simhash, warc
 from binlens.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,11 @@ def op9(spark, sf_dir):
     """Archives of every page, read back; revisits from 0 bytes on."""
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
     return warc.archive_index(pages, min_bytes=0).withColumnRenamed("id", "page_id")
+
+
+@query("op10_decontamination")
+def op10(spark, sf_dir):
+    """Documents that contain a benchmark item within 8 edits per hundred characters."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    items = table(spark, sf_dir, "benchmark", "item_id", "text")
+    return decontaminate.find_leaks(docs, items).drop("key")
