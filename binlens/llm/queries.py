@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binlens.llm import decontaminate, mixing, quality, sharding, simhash, warc
+from binlens.llm import decontaminate, mixing, quality, sharding, simhash, toxicity, warc
 from binlens.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,11 @@ def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     items = table(spark, sf_dir, "benchmark", "item_id", "text")
     return decontaminate.find_leaks(docs, items).drop("key")
+
+
+@query("op3_toxicity")
+def op3(spark, sf_dir):
+    """Held out: crc32(doc_id) mod 5 is 0."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
+    return toxicity.toxicity_scores(docs, labels)
