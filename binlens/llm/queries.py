@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binlens.llm import decontaminate, mixing, quality, sharding, simhash, toxicity, warc
+from binlens.llm import decontaminate, lm_score, mixing, quality, sharding, simhash, toxicity, warc
 from binlens.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,9 @@ def op3(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
     return toxicity.toxicity_scores(docs, labels)
+
+
+@query("op7_lm_scoring")
+def op7(spark, sf_dir):
+    """Held out: crc32(doc_id) mod 7 is 2."""
+    return lm_score.lm_scores(table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -90,7 +90,7 @@ def chi_squared(term: np.ndarray, label: np.ndarray, positives: int, total: int)
     return np.where(n >= 2, (a - expect) ** 2 / np.maximum(spread, 1e-9), 0)
 
 
-def fit_machine(texts: list[bytes | None], labels: np.ndarray, passes: int = 150, seed: int = 5, rate: float = 0.1,
+def fit_machine(texts: list[bytes | None], labels: np.ndarray, passes: int = 90, seed: int = 5, rate: float = 0.1,
                 decay: float = 1e-3, rank: int = RANK, active: int = ACTIVE) -> Machine:
     """Full-batch Adagrad on the class-balanced logistic loss. One class only: its constant score."""
     labels = np.asarray(labels, float)
