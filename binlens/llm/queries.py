@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binlens.llm import decontaminate, lm_score, mixing, quality, sharding, simhash, suffix_dedup, toxicity, warc
+from binlens.llm import decontaminate, html_extract, lm_score, mixing, quality, sharding, simhash, suffix_dedup, toxicity, warc
 from binlens.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,8 @@ def op8(spark, sf_dir):
     """Passages of 50 bytes and more that a document with a smaller id has too."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return suffix_dedup.dedup_passages(docs, keep_text=False)
+
+
+@query("op2_html_extraction")
+def op2(spark, sf_dir):
+    return html_extract.extract_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"))
