@@ -72,7 +72,7 @@ class Machine:
     def margins(self, row: np.ndarray, p: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Margin of each of ``n`` texts, and their factor sums."""
         out = np.full(n, self.b) + np.bincount(row, self.w[p], n)
-        sums = np.stack([np.bincount(row, self.v[p, f], n) for f in range(self.v.shape[1])], 1)
+        sums = np.stack([np.bincount(row, self.v[p, f], n) for f in range(self.v.shape[1])], 1).astype(float)
         squares = np.bincount(row, (self.v[p] ** 2).sum(1), n)
         return out + 0.5 * ((sums**2).sum(1) - squares), sums
 
@@ -91,7 +91,7 @@ def chi_squared(term: np.ndarray, label: np.ndarray, positives: int, total: int)
 
 
 def fit_machine(texts: list[bytes | None], labels: np.ndarray, passes: int = 90, seed: int = 5, rate: float = 0.1,
-                decay: float = 1e-3, rank: int = RANK, active: int = ACTIVE) -> Machine:
+                decay: float = 0.1, rank: int = RANK, active: int = ACTIVE) -> Machine:
     """Full-batch Adagrad on the class-balanced logistic loss. One class only: its constant score."""
     labels = np.asarray(labels, float)
     rng = np.random.default_rng(seed)
