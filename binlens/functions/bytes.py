@@ -23,13 +23,13 @@ def byte_slice(content: Column, offset, width) -> Column:
 def le_uint(content: Column, offset, width: int) -> Column:
     """Unsigned little-endian integer of ``width`` bytes (1, 2, 4 or 8) at 0-based ``offset``.
 
-    Null when the data ends before the field. 8-byte values above 2^63-1 stay null under
-    ANSI rather than wrapping.
+    Null when the data ends before the field. 8 bytes give ``decimal(20,0)``, which holds every unsigned
+    64-bit value; narrower fields give ``bigint``.
     """
     h = F.hex(byte_slice(content, offset, width))
     pairs = [F.substring(h, 2 * i + 1, 2) for i in reversed(range(width))]
     le = F.concat(*pairs)
-    value = F.conv(le, 16, 10).try_cast("bigint") if width == 8 else F.conv(le, 16, 10).cast("bigint")
+    value = F.conv(le, 16, 10).cast("decimal(20,0)" if width == 8 else "bigint")
     return F.when(F.length(h) == 2 * width, value)
 
 

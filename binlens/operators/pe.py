@@ -2,7 +2,9 @@
 
 The decoder reads fields at fixed little-endian offsets (public PE/COFF layout) from the head
 of each file, in parallel per row; nothing leaves the JVM. Output is long form
-``(sample_id, source_rank, field, value)``; malformed files become reject rows with a reason.
+``(sample_id, source_rank, field, value)``; malformed files and clipped sections become reject rows
+with a reason. Each file is decoded once, into one narrow row without its content; headers,
+sections and rejects are all derived from that row.
 Merge order (later wins): optional header 1, NT headers 2, file header 3, DOS header 4,
 sections 5. In the file header, fields after ``TimeDateStamp`` are left out unless
 ``full_headers=True``; the stamp itself is reported as its UTC year.
@@ -15,8 +17,9 @@ from pyspark.sql import functions as F
 
 from binlens.functions.bytes import ascii_field, hex_field, le_uint, starts_with_bytes
 from binlens.functions.text import escape_linebreaks, year_from_epoch_seconds
+from binlens.session import cut_lineage
 
-HEAD_BYTES = 4096   # the decoder only looks at the head (directory tables are not parsed)
+DOS_BYTES = 64
 
 # PE/COFF header layouts. (field, offset, width, kind); kind u = unsigned LE,
 # h = hex block, s = byte string. Optional-header entries give PE32 and PE32+ offsets/widths.
@@ -67,13 +70,12 @@ def _value(buf: Column, off, width: int, kind: str) -> Column:
     return v.cast("string")
 
 
-def _located(samples: DataFrame, id_col: str, content: str) -> DataFrame:
-    """Adds head, e_lfanew, status (ok / truncated / bad_magic / bad_signature)."""
-    head = F.substring(F.col(content), 1, HEAD_BYTES)
-    df = samples.select(id_col, F.col(content), head.alias("_head"), F.octet_length(F.col(content)).alias("_len"))
-    lfanew = le_uint(F.col("_head"), 60, 4)
-    df = df.withColumn("_lfanew", lfanew)
-    status = (F.when(F.col("_len") < 64, F.lit("truncated"))
+def _located(samples: DataFrame, content: str) -> DataFrame:
+    """Adds the DOS head, e_lfanew, and status (ok / truncated / bad_magic / bad_signature)."""
+    head = F.substring(F.col(content), 1, DOS_BYTES)
+    df = samples.withColumns({"_head": head, "_len": F.octet_length(F.col(content))})
+    df = df.withColumn("_lfanew", le_uint(F.col("_head"), 60, 4))
+    status = (F.when(F.col("_len") < DOS_BYTES, F.lit("truncated"))
               .when(~starts_with_bytes(F.col("_head"), 0, "4D5A"), F.lit("bad_magic"))
               .when(F.col("_lfanew") + 24 > F.col("_len"), F.lit("truncated"))
               .when(~starts_with_bytes(F.col(content), F.col("_lfanew"), "50450000"), F.lit("bad_signature"))
@@ -81,20 +83,14 @@ def _located(samples: DataFrame, id_col: str, content: str) -> DataFrame:
     return df.withColumn("status", status)
 
 
-def decode(samples: DataFrame, id_col: str = "sample_id", content: str = "content",
-           full_headers: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Returns (header_fields, section_fields, rejects).
-
-    header_fields: (sample_id, source_rank, field, value string)
-    section_fields: (sample_id, ordinal, field, value string)
-    rejects: (sample_id, reason)
-    """
-    loc = _located(samples, id_col, content)
-    rejects = loc.filter(F.col("status") != "ok").select(id_col, F.col("status").alias("reason"))
-    ok = loc.filter(F.col("status") == "ok")
+def parse(samples: DataFrame, id_col: str = "sample_id", content: str = "content", full_headers: bool = False,
+          keep: tuple = ()) -> DataFrame:
+    """One row per file: id, the ``keep`` columns, ``status``, ``headers`` (array of source_rank, field,
+    value), ``sections`` (array of ordinal, values in the order of SECTION_FIELDS) and ``clipped`` (ordinals
+    of the section headers that end past the file). Contents are read here and nowhere else."""
+    loc = _located(samples.select(id_col, *keep, content), content)
     # header bytes from e_lfanew on (NT signature, file header, optional header)
-    nt = F.col(content).substr(F.col("_lfanew") + 1, F.lit(24 + 240))
-    ok = ok.withColumn("_nt", nt)
+    loc = loc.withColumn("_nt", F.when(F.col("status") == "ok", F.col(content).substr(F.col("_lfanew") + 1, F.lit(24 + 240))))
     opt = F.col("_nt").substr(F.lit(25), F.lit(240))
     is64 = le_uint(opt, 0, 2) == PE32_PLUS
     entries = []
@@ -108,22 +104,57 @@ def decode(samples: DataFrame, id_col: str = "sample_id", content: str = "conten
         v32 = _value(opt, o32, w32, "u")
         v64 = _value(opt, o64, w64, "u") if o64 is not None else F.lit(None).cast("string")
         entries.append((RANK["optional"], name, F.when(is64, v64).otherwise(v32)))
-    arr = F.array(*[F.struct(F.lit(r).alias("source_rank"), F.lit(n).alias("field"), v.alias("value"))
-                    for r, n, v in entries])
-    headers = ok.select(id_col, F.inline(arr)).filter(F.col("value").isNotNull())
-
-    n_sec = le_uint(F.col("_nt"), 6, 2)
-    opt_size = le_uint(F.col("_nt"), 20, 2)
-    sec = (ok.select(id_col, F.col(content), "_len", (F.col("_lfanew") + 24 + opt_size).alias("_base"),
-                     n_sec.alias("_n"))
-           .filter(F.col("_n") > 0)  # sequence(0, -1) would yield [0, -1]
-           .select(id_col, F.col(content), "_len", "_base", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("ordinal"))
-           .withColumn("_off", F.col("_base") + F.col("ordinal") * 40)
-           .filter(F.col("_off") + 40 <= F.col("_len")))
-    sarr = F.array(*[F.struct(F.lit(n).alias("field"), _value(F.col(content), F.col("_off") + off, w, kind).alias("value"))
-                     for n, off, w, kind in SECTION_FIELDS])
-    sections = sec.select(id_col, F.col("ordinal").cast("int").alias("ordinal"), F.inline(sarr))
-    return headers, sections, rejects
+    headers = F.array(*[F.struct(F.lit(r).alias("source_rank"), F.lit(n).alias("field"), v.alias("value"))
+                        for r, n, v in entries])
+    n_sec = F.coalesce(le_uint(F.col("_nt"), 6, 2), F.lit(0))
+    base = F.col("_lfanew") + 24 + F.coalesce(le_uint(F.col("_nt"), 20, 2), F.lit(0))
+    whole = F.greatest(F.lit(0).cast("long"), F.least(n_sec, F.floor((F.col("_len") - base) / F.lit(40))))
+    # the section table as one slice: its size is bounded by the 16-bit section count
+    loc = loc.withColumns({"_n": n_sec, "_whole": whole}).withColumn(
+        "_table", F.col(content).substr((base + 1).cast("int"), (F.col("_whole") * 40).cast("int")))
+
+    def section(i):
+        at = i * 40
+        return F.struct(i.cast("int").alias("ordinal"),
+                        F.array(*[_value(F.col("_table"), at + off, w, kind) for _, off, w, kind in SECTION_FIELDS]).alias("values"))
+
+    def span(lo, hi):       # sequence(0, -1) would count down
+        return F.when(hi > lo, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    ok = F.col("status") == "ok"
+    return loc.select(id_col, *keep, "status", F.when(ok, headers).alias("headers"),
+                      F.when(ok, F.transform(span(F.lit(0).cast("long"), F.col("_whole")), section)).alias("sections"),
+                      F.when(ok, span(F.col("_whole"), F.col("_n"))).alias("clipped"))
+
+
+def header_fields(parsed: DataFrame, id_col: str = "sample_id") -> DataFrame:
+    return parsed.select(id_col, F.inline("headers")).filter(F.col("value").isNotNull())
+
+
+def section_fields(parsed: DataFrame, id_col: str = "sample_id") -> DataFrame:
+    names = F.array(*[F.lit(n) for n, *_ in SECTION_FIELDS])
+    one = parsed.select(id_col, F.explode("sections").alias("s"))
+    return one.select(id_col, F.col("s.ordinal").alias("ordinal"), F.explode(F.arrays_zip(
+        names.alias("field"), F.col("s.values").alias("value"))).alias("f")).select(id_col, "ordinal", "f.field", "f.value")
+
+
+def reject_rows(parsed: DataFrame, id_col: str = "sample_id") -> DataFrame:
+    """(id, reason): one row per malformed file, and one per section header that ends past its file."""
+    bad = parsed.filter(F.col("status") != "ok").select(id_col, F.col("status").alias("reason"))
+    clipped = parsed.select(id_col, F.explode("clipped").alias("i"))
+    return bad.unionByName(clipped.select(id_col, F.concat(F.lit("clipped_section_"), F.col("i").cast("string")).alias("reason")))
+
+
+def decode(samples: DataFrame, id_col: str = "sample_id", content: str = "content",
+           full_headers: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Returns (header_fields, section_fields, rejects), all from one pass over the contents.
+
+    header_fields: (sample_id, source_rank, field, value string)
+    section_fields: (sample_id, ordinal, field, value string)
+    rejects: (sample_id, reason)
+    """
+    parsed = cut_lineage(parse(samples, id_col, content, full_headers))
+    return header_fields(parsed, id_col), section_fields(parsed, id_col), reject_rows(parsed, id_col)
 
 
 def flatten_sections(sections: DataFrame, id_col: str = "sample_id") -> DataFrame:
@@ -147,18 +178,19 @@ def to_wide(long_df: DataFrame, fields: list[str], id_col: str = "sample_id", fi
 
 
 def raw_feature_table(samples: DataFrame, id_col: str = "sample_id", name_col: str = "sample_name",
-                      label_col: str = "label", fields: list[str] | None = None, max_sections: int = 31):
-    """Whole extraction: decode, flatten, merge, pivot, fill, escape, label. Returns
-    (table, rejects). The field list defaults to every header field plus ``max_sections``
-    numbered section groups."""
-    headers, sections, rejects = decode(samples, id_col)
-    long_df = merge_last_wins(headers.unionByName(flatten_sections(sections, id_col)), id_col)
+                      label_col: str = "label", fields: list[str] | None = None, min_sections: int = 31):
+    """Whole extraction: parse once, flatten, merge, pivot, fill, escape, label. Returns
+    (table, rejects). The field list defaults to every header field plus ``min_sections`` numbered
+    section groups, or as many as the longest section table has (one aggregate): none is left out."""
+    parsed = cut_lineage(parse(samples, id_col, keep=(name_col, label_col)))
+    long_df = merge_last_wins(header_fields(parsed, id_col).unionByName(
+        flatten_sections(section_fields(parsed, id_col), id_col)), id_col)
     if fields is None:
+        most = parsed.agg(F.max(F.size("sections"))).first()[0] or 0
         fields = ([f for f, *_ in OPTIONAL_FIELDS] + [f for f, *_ in NT_FIELDS] + [f for f, *_ in FILE_FIELDS]
                   + [f for f, *_ in DOS_FIELDS]
-                  + [f"{f}{i}" for i in range(max_sections) for f, *_ in SECTION_FIELDS])
+                  + [f"{f}{i}" for i in range(max(min_sections, most)) for f, *_ in SECTION_FIELDS])
     wide = to_wide(long_df, fields, id_col)
     if "e_res2" in wide.columns:
         wide = wide.withColumn("e_res2", escape_linebreaks(F.col("e_res2")))
-    meta = samples.select(id_col, name_col, label_col)
-    return meta.join(wide, id_col), rejects
+    return parsed.select(id_col, name_col, label_col).join(wide, id_col), reject_rows(parsed, id_col)

@@ -65,23 +65,23 @@ def q_duplicate_groups(spark, sf):
     return content_groups(si.samples(spark, sf)).filter(F.col("n_copies") > 1)
 
 
-def _le_sql(h, off, w):
+def _le_sql(h, off, w, kind="BIGINT"):
     pairs = " || ".join(f"substring({h}, {2 * (off + i) + 1}, 2)" for i in reversed(range(w)))
-    return f"CASE WHEN strlen({h}) >= {2 * (off + w)} THEN cast(('0x' || {pairs})::UBIGINT AS BIGINT) END"
+    return f"CASE WHEN strlen({h}) >= {2 * (off + w)} THEN cast(('0x' || {pairs})::UBIGINT AS {kind}) END"
 
 
 @query("le_field_decode", SAMPLES + f"""
 , hx AS (SELECT doc_id, hex(encode(text)) AS h FROM samples)
 SELECT doc_id, substring(h, 1, 4) = '4D5A' AS magic_ok,
        {_le_sql('h', 0, 2)} AS u16_at_0, {_le_sql('h', 2, 4)} AS u32_at_2,
-       {_le_sql('h', 60, 4)} AS u32_at_60,
+       {_le_sql('h', 60, 4)} AS u32_at_60, {_le_sql('h', 8, 8, 'DECIMAL(20,0)')} AS u64_at_8,
        year(to_timestamp({_le_sql('h', 4, 4)})) AS year_at_4
 FROM hx""")
 def q_le_field_decode(spark, sf):
     c = F.col("content")
     return si.samples(spark, sf).select(
         "doc_id", starts_with_bytes(c, 0, "4D5A").alias("magic_ok"), le_uint(c, 0, 2).alias("u16_at_0"),
-        le_uint(c, 2, 4).alias("u32_at_2"), le_uint(c, 60, 4).alias("u32_at_60"),
+        le_uint(c, 2, 4).alias("u32_at_2"), le_uint(c, 60, 4).alias("u32_at_60"), le_uint(c, 8, 8).alias("u64_at_8"),
         year_from_epoch_seconds(le_uint(c, 4, 4)).alias("year_at_4"))
 
 

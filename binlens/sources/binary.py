@@ -8,8 +8,8 @@ from pyspark.sql import types as T
 
 from binlens.functions.text import base_name, label_from_path
 
-# Names that are the pipeline's own outputs and never samples.
-DEFAULT_SKIP = ("processed_", "extract-", "test.csv", "train.csv", ".py")
+# Exact names of the pipeline's own output, never samples.
+DEFAULT_SKIP = ("test.csv",)
 
 
 def scan_binaries(spark: SparkSession, root: str, glob: str | None = None, skip: tuple = DEFAULT_SKIP,
@@ -18,7 +18,8 @@ def scan_binaries(spark: SparkSession, root: str, glob: str | None = None, skip:
 
     The driver only lists paths; executors read bytes. ``sample_id`` is the SHA-256 of the
     content (the real key, since names repeat); ``label`` comes from the folder name.
-    ``max_bytes`` skips giants by the listed length before their content is carried on.
+    ``max_bytes`` leaves out giants by the listed length before their content is carried on;
+    ``oversize_rejects`` lists them.
     """
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
@@ -29,8 +30,8 @@ def scan_binaries(spark: SparkSession, root: str, glob: str | None = None, skip:
 def samples_from_files(df: DataFrame, skip: tuple = DEFAULT_SKIP, max_bytes: int | None = None) -> DataFrame:
     """binaryFile rows (batch or stream) -> samples; per-row expressions only."""
     name = base_name(F.col("path"))
-    for s in skip:
-        df = df.filter(~name.contains(s))
+    if skip:
+        df = df.filter(~name.isin(*skip))
     if max_bytes is not None:
         df = df.filter(F.col("length") <= max_bytes)
     return df.select(
@@ -43,6 +44,15 @@ def samples_from_files(df: DataFrame, skip: tuple = DEFAULT_SKIP, max_bytes: int
     )
 
 
+def oversize_rejects(files: DataFrame, max_bytes: int, skip: tuple = DEFAULT_SKIP) -> DataFrame:
+    """(path, length, reason) of the files that ``max_bytes`` leaves out; contents are not read."""
+    name = base_name(F.col("path"))
+    big = files.filter(F.col("length") > max_bytes)
+    if skip:
+        big = big.filter(~name.isin(*skip))
+    return big.select("path", "length", F.lit("too_large").alias("reason"))
+
+
 def split_label_rejects(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows whose path names neither class go to a rejects table with a reason."""
     good = samples.filter(F.col("label").isNotNull())
