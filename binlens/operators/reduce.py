@@ -6,8 +6,6 @@ the row factors stay distributed.
 
 from __future__ import annotations
 
-import threading
-
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
@@ -17,30 +15,40 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from binlens.functions.ranking import md5_key
+from binlens.functions.sums import vector_sum
 from binlens.session import cut_lineage
 
 
 # ---------------------------------------------------------------- truncated SVD
 
-_ARPACK = threading.Lock()
 
 
 def svd(df: DataFrame, k: int, id_col: str = "id", features_col: str = "features"):
-    """Uncentred truncated SVD via ``IndexedRowMatrix.computeSVD``. Returns
+    """Uncentred truncated SVD from the Gram matrix: each partition adds up its rows' X'X, the d x d sum
+    is solved on the driver, and rows are projected in place. Ids may be of any type. Returns
     (projection DataFrame (id, components array = U * s), singular values, V (d x k))."""
-    from pyspark.mllib.linalg import Vectors as MLlibVectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-
-    rows = df.select(F.col(id_col).cast("long").alias("i"), vector_to_array(F.col(features_col)).alias("x")).rdd \
-             .map(lambda r: IndexedRow(r["i"], MLlibVectors.dense(r["x"])))
-    mat = IndexedRowMatrix(rows)
-    with _ARPACK:      # the driver-side eigen solver is not thread-safe; searches fit side by side
-        res = mat.computeSVD(k, computeU=True)
-    s = res.s.toArray()
-    V = res.V.toArray()
-    u = res.U.rows.map(lambda r: (int(r.index), [float(v) for v in (r.vector.toArray() * s)]))
-    proj = df.sparkSession.createDataFrame(u, f"{id_col} long, components array<double>")
-    return proj, s, V
+    n = len(df.select(vector_to_array(F.col(features_col)).alias("x")).first()["x"])
+
+    def gram(part):
+        total = np.zeros((n, n))
+        for pdf in part:
+            if len(pdf):
+                X = np.stack(pdf["x"].to_numpy())
+                total += X.T @ X
+        yield pd.DataFrame({"v": [total[np.triu_indices(n)]]})
+
+    x = df.select(vector_to_array(F.col(features_col)).alias("x"))
+    upper = vector_sum(x.mapInPandas(gram, "v array<double>"), n * (n + 1) // 2)
+    G = np.zeros((n, n))
+    G[np.triu_indices(n)] = upper
+    G = G + G.T - np.diag(np.diag(G))
+    values, vectors = np.linalg.eigh(G)
+    order = np.argsort(-values, kind="stable")[:k]
+    s = np.sqrt(np.maximum(values[order], 0.0))
+    V = vectors[:, order]
+    # a fixed sign for each component: its largest entry is positive
+    V = V * np.where(V[np.abs(V).argmax(0), np.arange(V.shape[1])] < 0, -1.0, 1.0)
+    return svd_project(df, V, id_col, features_col), s, V
 
 
 def svd_project(df: DataFrame, V: np.ndarray, id_col: str = "id", features_col: str = "features",
@@ -103,7 +111,7 @@ def nmf(df: DataFrame, k: int, id_col: str = "id", features_col: str = "features
     """X ~ W H with W, H >= 0 by multiplicative updates (Frobenius loss), NNDSVD start.
 
     Per step one distributed pass: each partition updates its W rows with the current H and
-    returns its partial WtX (k x d) and WtW (k x k); H is then updated on the driver. Every 10
+    yields one partial WtX (k x d) and WtW (k x k), which are added in a shuffle; H is then updated on the driver. Every 10
     steps the relative drop of the reconstruction error is tested against ``tol``.
     Returns (W DataFrame (id, w array), H ndarray, n_iter).
     """
@@ -121,27 +129,26 @@ def nmf(df: DataFrame, k: int, id_col: str = "id", features_col: str = "features
 
         def step(part, Hb=Hb):
             HHt = Hb @ Hb.T
+            total = np.zeros(k * Hb.shape[1] + k * k)
             for pdf in part:
                 if pdf.empty:
                     continue
                 Xp = np.stack(pdf["x"].to_numpy())
                 Wp = np.stack(pdf["w"].to_numpy())
                 Wp = Wp * (Xp @ Hb.T) / np.maximum(Wp @ HHt, eps)
-                wtx = Wp.T @ Xp
-                wtw = Wp.T @ Wp
+                total += np.concatenate([(Wp.T @ Xp).ravel(), (Wp.T @ Wp).ravel()])
                 yield pd.DataFrame({id_col: pdf[id_col], "x": pdf["x"], "w": list(Wp), "s": [None] * len(pdf)})
-                yield pd.DataFrame({id_col: [None], "x": [None], "w": [None],
-                                    "s": [np.concatenate([wtx.ravel(), wtw.ravel()]).tolist()]})
+            yield pd.DataFrame({id_col: [None], "x": [None], "w": [None], "s": [total]})
 
         # One job per step: the stats collect materialises the persisted output, whose W rows
         # feed the next step; the previous step's output is released once this one is cached.
         out = data.mapInPandas(step, f"{id_col} long, x array<double>, w array<double>, s array<double>")
         out = out.persist(StorageLevel.MEMORY_AND_DISK)
-        sums = np.sum([np.asarray(r["s"]) for r in out.filter(F.col("s").isNotNull()).select("s").collect()], axis=0)
+        d = H.shape[1]
+        sums = vector_sum(out.filter(F.col("s").isNotNull()), k * d + k * k, "s")
         if held is not None:
             held.unpersist()
         held = out
-        d = H.shape[1]
         WtX = sums[: k * d].reshape(k, d)
         WtW = sums[k * d:].reshape(k, k)
         H = H * WtX / np.maximum(WtW @ H, eps)

@@ -2,7 +2,8 @@
 (hinge and log map to LinearSVC / LogisticRegression, and are also available here).
 
 Full-batch sub-gradient descent: every step each partition sums its rows' gradients with numpy
-(``mapInPandas``), so only one (d + 2)-vector per partition reaches the driver; the weights
+(``mapInPandas``), the partitions' vectors are added position by position in a shuffle, and one
+(d + 2)-vector reaches the driver however many partitions and batches there are; the weights
 (d + 1 numbers) travel back to the executors inside the next step's closure.
 """
 
@@ -14,6 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from binlens.functions.sums import vector_sum
+
 
 def _dloss(loss: str, z: np.ndarray) -> np.ndarray:
     """d loss / d margin for y*margin = z (y in {-1, +1})."""
@@ -57,6 +60,7 @@ def fit_sgd(train: DataFrame, loss: str = "hinge", alpha: float = 1e-4, max_iter
         wb, bb = w.copy(), b
 
         def grads(it, wb=wb, bb=bb):
+            total = np.zeros(len(wb) + 2)
             for pdf in it:
                 if pdf.empty:
                     continue
@@ -64,10 +68,10 @@ def fit_sgd(train: DataFrame, loss: str = "hinge", alpha: float = 1e-4, max_iter
                 y = pdf["y"].to_numpy()
                 z = y * (X @ wb + bb)
                 g = _dloss(loss, z) * y
-                yield pd.DataFrame({"g": [np.concatenate([X.T @ g, [g.sum(), len(y)]]).tolist()]})
+                total += np.concatenate([X.T @ g, [g.sum(), len(y)]])
+            yield pd.DataFrame({"v": [total]})
 
-        parts = data.mapInPandas(grads, "g array<double>").collect()   # one row per partition
-        tot = np.sum([np.asarray(r["g"]) for r in parts], axis=0) if parts else np.zeros(d + 2)
+        tot = vector_sum(data.mapInPandas(grads, "v array<double>"), d + 2)
         gw = tot[:d] / max(n, 1) + alpha * w
         gb = tot[d] / max(n, 1)
         eta = eta0 / np.sqrt(t)
