@@ -7,8 +7,6 @@ logistic link of the margin.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
 from pyspark.ml.functions import vector_to_array
@@ -16,9 +14,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Deepest tree that Spark's estimators fit.
+MAX_DEPTH = 30
+
+
+def _check_depth(depth: int) -> None:
+    if depth > MAX_DEPTH:
+        raise ValueError(f"depth {depth} is beyond {MAX_DEPTH}, the deepest tree that can be fitted")
+
+
 def decision_tree(max_depth=5, min_leaf=1, impurity="gini", seed=0, features="features", label="label",
                   max_bins=256):
     """``min_samples_split`` has no Spark parameter; thresholds are binned (``maxBins``)."""
+    _check_depth(max_depth)
     return DecisionTreeClassifier(featuresCol=features, labelCol=label, maxDepth=max_depth,
                                   minInstancesPerNode=min_leaf, impurity=impurity, seed=seed, maxBins=max_bins)
 
@@ -26,6 +34,7 @@ def decision_tree(max_depth=5, min_leaf=1, impurity="gini", seed=0, features="fe
 def random_forest(n_trees=10, max_depth=5, max_features="auto", seed=1, impurity="gini", min_leaf=1,
                   features="features", label="label", max_bins=256):
     """``max_features`` int n -> featureSubsetStrategy "n"; probabilities are tree averages."""
+    _check_depth(max_depth)
     strategy = str(max_features) if not isinstance(max_features, str) else max_features
     return RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=n_trees, maxDepth=max_depth,
                                   featureSubsetStrategy=strategy, seed=seed, impurity=impurity,
@@ -33,17 +42,20 @@ def random_forest(n_trees=10, max_depth=5, max_features="auto", seed=1, impurity
 
 
 def boosted_trees(rounds=100, learning_rate=0.3, max_depth=11, colsample=0.8317, subsample=0.9099,
-                  min_child_weight=3, gamma=0.292, seed=0, features="features", label="label",
+                  min_child_weight=3, gamma=0.292, n_rows=None, seed=0, features="features", label="label",
                   validation_col=None, tol=0.01):
     """Gradient boosting. Gaps: no L2 leaf penalty, first-order steps, column sampling per
-    node. Early stopping: ``validation_col`` marks the evaluation rows; ``tol`` the patience."""
+    node. ``gamma`` is a loss reduction summed over a node's rows, Spark's threshold one per row: it is
+    divided by ``n_rows``, the rows of the largest node (without it no threshold is set).
+    Early stopping: ``validation_col`` marks the evaluation rows; ``tol`` the patience."""
+    _check_depth(max_depth)
     kw = {}
     if validation_col:
         kw = {"validationIndicatorCol": validation_col, "validationTol": tol}
     return GBTClassifier(featuresCol=features, labelCol=label, maxIter=rounds, stepSize=learning_rate,
-                         maxDepth=min(max_depth, 30), subsamplingRate=subsample,
+                         maxDepth=max_depth, subsamplingRate=subsample,
                          featureSubsetStrategy=str(colsample), minInstancesPerNode=int(min_child_weight),
-                         minInfoGain=gamma, seed=seed, **kw)
+                         minInfoGain=gamma / n_rows if n_rows else 0.0, seed=seed, **kw)
 
 
 def linear_svm(alpha=1e-4, max_iter=100, tol=1e-3, features="features", label="label"):
@@ -78,6 +90,3 @@ def score_frame(pred: DataFrame, id_col: str = "id", label: str = "label", keep=
     return pred.select(id_col, *keep, F.col(label).cast("int").alias("label"),
                        F.col("prediction").cast("int").alias("prediction"), score.alias("score"))
 
-
-def sigmoid(x):
-    return 1.0 / (1.0 + math.exp(-x))

@@ -71,7 +71,7 @@ def builders(n_features: int, n_rows: int | None = None) -> dict[str, Callable[[
         "linear_svm": _spark_ml("linear_svm", models.linear_svm(alpha=1e-4, max_iter=100, tol=1e-3)),
         "decision_tree": _spark_ml("decision_tree", models.decision_tree(max_depth=5, min_leaf=1, seed=0)),
         "random_forest": _spark_ml("random_forest", models.random_forest(n_trees=10, max_depth=3, max_features="auto", seed=1)),
-        "boosting": _spark_ml("boosting", models.boosted_trees(rounds=100, learning_rate=0.3, max_depth=11)),
+        "boosting": _spark_ml("boosting", models.boosted_trees(rounds=100, learning_rate=0.3, max_depth=11, n_rows=n_rows)),
         "mlp": _spark_ml("mlp", models.mlp(n_features, hidden=(21,), max_iter=200)),
         "adaboost": _custom("adaboost", lambda tr: boosting.fit_adaboost(tr, rounds=50)),
         "logistic": _spark_ml("logistic", models.logistic(C=1.0, n_rows=n_rows)),

@@ -123,7 +123,8 @@ def q_gbt_es(spark, sf):
     rows, not the test rows) stops improving."""
     train, test, _ = train_test(spark, sf)
     tv = train.withColumn("is_val", F.col("cv_fold") == 0)
-    m = models.boosted_trees(rounds=1000, learning_rate=0.3, max_depth=11, validation_col="is_val", tol=0.01).fit(tv)
+    m = models.boosted_trees(rounds=1000, learning_rate=0.3, max_depth=11, n_rows=tv.count(), validation_col="is_val",
+                             tol=0.01).fit(tv)
     return score_frame(m.transform(test)).select(F.lit("boosting_early_stop").alias("model"), "id", "label",
                                                  "prediction", F.round("score", R).alias("score"),
                                                  F.lit(m.getNumTrees).alias("rounds"))

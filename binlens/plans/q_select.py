@@ -137,11 +137,11 @@ def q_space_search(spark, sf):
 
 @query("validation_curve")
 def q_validation_curve(spark, sf):
-    """tree depth 1..37 step 4 (10 values) x 5 folds; train and validation accuracy
-    mean and std per value."""
+    """every fourth tree depth from 1 to 29 (the deepest tree that can be fitted has depth 30) x 5
+    folds; train and validation accuracy mean and std per value."""
     train, _, _ = train_test(spark, sf)
-    depths = list(range(1, 40, 4))
-    cands = [(d, {"max_depth": d}, _dt(max_depth=min(d, 30))) for d in depths]
+    depths = list(range(1, models.MAX_DEPTH + 1, 4))
+    cands = [(d, {"max_depth": d}, _dt(max_depth=d)) for d in depths]
     scored = S.run_folds(train, cands, FOLDS, score_train=True)
     s = S.summarise(S.fold_metrics(scored, ["accuracy"]), ["accuracy"])
     wide = s.groupBy(F.col("candidate").alias("max_depth")).pivot("split", ["train", "test"]).agg(

@@ -50,10 +50,13 @@ def get_session(master: str | None = None, app: str = "binlens", shuffle_partiti
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder: ``spark.checkpoint.dir`` from the session.
 
-    Only when the session names none (local tests) is a private folder created and set.
+    Only in local mode is a private folder created and set when the session names none; on a cluster
+    such a folder would be one machine's disk, so the missing setting is an error there.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="binlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:

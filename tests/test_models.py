@@ -61,3 +61,64 @@ def test_gbt_early_stop_uses_validation_slice(spark, toy):
     tv = train.withColumn("is_val", (F.col("id") % 3) == 0)
     m = boosted_trees(rounds=50, max_depth=3, validation_col="is_val", tol=0.01).fit(tv)
     assert 1 <= m.getNumTrees <= 50
+
+
+@pytest.fixture(scope="module")
+def lopsided(spark):
+    """12 % positives whose features overlap with the rest."""
+    rng = np.random.RandomState(4)
+    rows = []
+    for i in range(600):
+        y = int(rng.rand() < 0.12)
+        rows.append((i, y, i % 5, Vectors.dense((rng.normal(0, 1, 5) + 1.2 * y).tolist())))
+    df = spark.createDataFrame(rows, ["id", "label", "cv_fold", "features"]).cache()
+    return df.filter("id % 4 != 0"), df.filter("id % 4 = 0")
+
+
+def test_boosting_learns_on_a_lopsided_class(spark, lopsided):
+    train, test = lopsided
+    rows = roster.builders(5, train.count())["boosting"](train).score(test).collect()
+    assert len({r.score for r in rows}) > 20
+    assert {r.prediction for r in rows} == {0, 1}
+    majority = np.mean([r.label == 0 for r in rows])
+    assert np.mean([r.label == r.prediction for r in rows]) >= majority - 0.02
+    ranked = sorted(rows, key=lambda r: r.score)
+    pos = [i for i, r in enumerate(ranked) if r.label]
+    auc = (sum(pos) - len(pos) * (len(pos) - 1) / 2) / (len(pos) * (len(rows) - len(pos)))
+    assert auc > 0.7
+
+
+def test_early_stop_takes_several_rounds(spark, lopsided):
+    from binlens.operators.models import boosted_trees
+    train, _ = lopsided
+    m = boosted_trees(rounds=60, max_depth=4, n_rows=train.count(), validation_col="is_val", tol=0.01, learning_rate=0.1).fit(
+        train.selectExpr("*", "cv_fold = 0 AS is_val"))
+    assert 2 <= m.getNumTrees <= 60
+
+
+def test_depth_beyond_the_estimators_is_an_error():
+    from binlens.operators.models import decision_tree
+    with pytest.raises(ValueError, match="depth 33"):
+        decision_tree(max_depth=33)
+
+
+def test_one_vector_reaches_the_driver(spark):
+    from binlens.functions.sums import vector_sum
+    df = spark.range(5000).selectExpr("array(double(id), 1.0D, if(id % 2 = 0, 2.0D, null)) AS v").repartition(7)
+    assert vector_sum(df, 3).tolist() == [5000 * 4999 / 2, 5000.0, 5000.0]
+    assert vector_sum(df.limit(0), 3).tolist() == [0.0, 0.0, 0.0]
+
+
+def test_sgd_yields_once_per_partition(spark, monkeypatch):
+    """A partition of many Arrow batches adds one vector to the sum."""
+    from binlens.operators import sgd
+    seen = []
+    real = sgd.vector_sum
+    monkeypatch.setattr(sgd, "vector_sum", lambda parts, size: (seen.append(parts.count()), real(parts, size))[1])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        df = spark.createDataFrame([(i, i % 2, Vectors.dense([1.0 if i % 2 else -1.0])) for i in range(1000)], ["id", "label", "features"]).coalesce(1)
+        sgd.fit_sgd(df, max_iter=2)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert seen and set(seen) == {1}

@@ -11,7 +11,7 @@ from binlens.sources.tables import TABLES
 
 from conftest import SF001
 
-ORACLE = E.oracle_sql()
+ORACLE = E.oracle_sql()      # the training-data queries' too, where they exist
 QUERIES = E.queries()
 
 
