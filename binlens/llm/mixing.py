@@ -124,7 +124,8 @@ def _overlaps(placed: DataFrame, uses: DataFrame, block: int) -> DataFrame:
     rows = placed.where("size > 0").select("rank", "start", "size", F.explode(F.sequence(
         F.floor(F.col("start") / F.lit(block)), F.floor((F.col("start") + F.col("size") - 1) / F.lit(block)))).alias("b"))
     u = uses.select(F.col("rank").alias("r2"), F.col("index").alias("i2"), "uses")
-    rows = rows.join(u, (F.col("rank") == F.col("r2")) & (F.col("b") == F.col("i2")))
+    # the planner sees only the few targets behind the slots; without a hint it would broadcast them all
+    rows = rows.join(u.hint("merge"), (F.col("rank") == F.col("r2")) & (F.col("b") == F.col("i2")))
     return rows.select("rank", "start", "b",
                        F.greatest(F.col("b") * block - F.col("start"), F.lit(0)).alias("lo"),
                        F.least((F.col("b") + 1) * block - F.col("start"), "size").alias("hi"), "uses")
@@ -151,7 +152,7 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.sum((F.col("hi") - F.col("lo")) * F.col("uses")).alias("got"))
     # rows of a source with words start at different positions
     key = F.when(F.col("size") > 0, F.col("start"))
-    out = placed.join(got.select(F.col("rank").alias("r2"), F.col("start").alias("s2"), "got"),
+    out = placed.join(got.select(F.col("rank").alias("r2"), F.col("start").alias("s2"), "got").hint("merge"),
                       (F.col("rank") == F.col("r2")) & (key == F.col("s2")), "left")
     return out.select("id", "source", "size", "source_size", "target",
                       F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
@@ -167,7 +168,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = _overlaps(_positions(light, light, targets), uses, block).groupBy("rank", "start").agg(
         F.array_sort(F.collect_list(F.struct("b", "lo", "hi", "uses"))).alias("parts"))   # the blocks of one document
     placed = _positions(_light(docs, id_col, text_col, source_col, carry=True), light, targets).where("size > 0")
-    rows = placed.join(parts.select(F.col("rank").alias("r2"), F.col("start").alias("s2"), "parts"),
+    rows = placed.join(parts.select(F.col("rank").alias("r2"), F.col("start").alias("s2"), "parts").hint("merge"),
                        (F.col("rank") == F.col("r2")) & (F.col("start") == F.col("s2")))
     most = F.array_max(F.transform("parts", lambda p: p["uses"]))
     rows = rows.select("row", "parts", F.regexp_extract_all(F.col(f"row.{text_col}"), F.lit(f"({WORD})")).alias("words"),
