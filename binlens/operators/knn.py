@@ -1,5 +1,6 @@
-"""Exact k nearest neighbours (D8): order by (squared euclidean distance rounded to 9 digits,
-training id), keep k.
+"""Exact k nearest neighbours (D8): order by (distance rounded to 9 digits, training id), keep k. The
+distance is the squared euclidean one (``p = 2``) or Manhattan's (``p = 1``). Ids may be of any sortable
+type: others than integers are numbered in their order first, and named again in the result.
 
 Two plans, chosen by a size check on the query side:
 
@@ -15,7 +16,7 @@ Two plans, chosen by a size check on the query side:
 Inside a block, distances are prefiltered with the expanded form |q|^2 + |x|^2 - 2 q.x, and the
 exact squared differences are computed for the candidates only. A query whose k-th candidate
 ties beyond the prefilter margin is recomputed exactly against the whole block, so ties are
-always broken by the smaller training id.
+always broken by the smaller training id. Manhattan distances are summed one dimension at a time.
 """
 
 from __future__ import annotations
@@ -27,24 +28,39 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from binlens.functions.ranking import group_position
 from binlens.functions.sizing import MAX_BROADCAST_BYTES
+from binlens.session import cut_lineage
 
 CAND = "qid long, tid long, label int, d2 double"
 QUERY_CHUNK = 512        # queries per distance matrix inside a task (bounds task memory)
 
 
-def block_topk(Q: np.ndarray, X: np.ndarray, tids: np.ndarray, k: int, margin: int = 8):
-    """(index into X, exact rounded d2), each (len(Q), min(k, len(X))), ordered by (d2, tid)."""
+def _distances(diff: np.ndarray, p: int) -> np.ndarray:
+    return np.round((np.abs(diff) if p == 1 else diff * diff).sum(-1), 9)
+
+
+def _rough(Q: np.ndarray, X: np.ndarray, p: int) -> np.ndarray:
+    if p == 2:
+        return (Q * Q).sum(1)[:, None] + (X * X).sum(1)[None, :] - 2.0 * Q @ X.T
+    out = np.zeros((len(Q), len(X)))
+    for q, x in zip(Q.T, X.T):
+        out += np.abs(q[:, None] - x[None, :])
+    return out
+
+
+def block_topk(Q: np.ndarray, X: np.ndarray, tids: np.ndarray, k: int, margin: int = 8, p: int = 2):
+    """(index into X, exact rounded distance), each (len(Q), min(k, len(X))), ordered by (distance, tid)."""
     n = X.shape[0]
     kk = min(k, n)
-    approx = (Q * Q).sum(1)[:, None] + (X * X).sum(1)[None, :] - 2.0 * Q @ X.T
+    approx = _rough(Q, X, p)
     m = min(kk + margin, n)
     if m < n:
         cand = np.argpartition(approx, m - 1, axis=1)[:, :m]
     else:
         cand = np.tile(np.arange(n), (Q.shape[0], 1))
     diff = Q[:, None, :] - X[cand]
-    d2 = np.round((diff * diff).sum(2), 9)
+    d2 = _distances(diff, p)
     order = np.lexsort((tids[cand], d2), axis=1)
     rows = np.arange(Q.shape[0])[:, None]
     pick, pick_d = cand[rows, order[:, :kk]], d2[rows, order[:, :kk]]
@@ -54,7 +70,7 @@ def block_topk(Q: np.ndarray, X: np.ndarray, tids: np.ndarray, k: int, margin: i
         outside = np.partition(approx, m, axis=1)[:, m]        # nearest row left out of the candidates
         risky = np.nonzero(outside <= kth + 1e-6 * (1.0 + np.abs(kth)))[0]
         for r in risky:
-            dd = np.round(((X - Q[r]) ** 2).sum(1), 9)
+            dd = _distances(X - Q[r], p)
             o = np.lexsort((tids, dd))[:kk]
             pick[r], pick_d[r] = o, dd[o]
     return pick, pick_d
@@ -69,7 +85,7 @@ def _merge(best_t, best_d, best_l, new_t, new_d, new_l, k):
     return t[r, o], d[r, o], lab[r, o]
 
 
-def _broadcast_scan(bq, k: int):
+def _broadcast_scan(bq, k: int, p: int):
     """mapInPandas over training partitions: running top-k of every query, k rows per query out.
     ``bq`` is a broadcast variable holding (query ids, query matrix)."""
     def fn(it):
@@ -88,7 +104,7 @@ def _broadcast_scan(bq, k: int):
             labs = pdf["label"].to_numpy().astype(np.int64)
             nt, nd, nl = [], [], []
             for q0 in range(0, nq, QUERY_CHUNK):
-                idx, d2 = block_topk(Q[q0:q0 + QUERY_CHUNK], X, tids, k)
+                idx, d2 = block_topk(Q[q0:q0 + QUERY_CHUNK], X, tids, k, p=p)
                 nt.append(tids[idx]); nd.append(d2); nl.append(labs[idx])
             bt, bd, bl = _merge(bt, bd, bl, np.concatenate(nt), np.concatenate(nd), np.concatenate(nl), k)
         if bt.shape[1] == 0:
@@ -99,7 +115,7 @@ def _broadcast_scan(bq, k: int):
     return fn
 
 
-def _block_pairs(k: int):
+def _block_pairs(k: int, p: int):
     def fn(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if q.empty or t.empty:
             return pd.DataFrame({"qid": [], "tid": [], "label": [], "d2": []})
@@ -108,7 +124,7 @@ def _block_pairs(k: int):
         tids = t["tid"].to_numpy().astype(np.int64)
         parts = []
         for q0 in range(0, Q.shape[0], QUERY_CHUNK):
-            idx, d2 = block_topk(Q[q0:q0 + QUERY_CHUNK], X, tids, k)
+            idx, d2 = block_topk(Q[q0:q0 + QUERY_CHUNK], X, tids, k, p=p)
             parts.append(pd.DataFrame({
                 "qid": np.repeat(q["qid"].to_numpy()[q0:q0 + QUERY_CHUNK], idx.shape[1]),
                 "tid": tids[idx].ravel(), "label": t["label"].to_numpy()[idx].ravel().astype("int32"),
@@ -119,8 +135,14 @@ def _block_pairs(k: int):
 
 def nearest_neighbours(train: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec",
                        label_col: str = "label", query_block: int = 2048, train_block: int = 16384,
-                       broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """(qid, tid, label, d2, rank) for the k nearest training rows of every query."""
+                       broadcast_bytes: int = MAX_BROADCAST_BYTES, p: int = 2) -> DataFrame:
+    """(qid, tid, label, d2, rank) for the k nearest training rows of every query; ``d2`` is the distance
+    that ``p`` names. Null ids are not rows of either side."""
+    if p not in (1, 2):
+        raise ValueError(f"p = {p}: only 1 and 2")
+    if not _integral(train, id_col) or not _integral(queries, id_col):
+        return _by_number(lambda t, q: nearest_neighbours(t, q, k, id_col, vec_col, label_col, query_block, train_block,
+                                                          broadcast_bytes, p), train, queries, id_col)
     nq = queries.count()
     t = train.select(F.col(id_col).alias("tid"), F.col(vec_col).alias("vec"), F.col(label_col).cast("int").alias("label"))
     first = queries.select(F.size(vec_col).alias("d")).first()
@@ -130,7 +152,7 @@ def nearest_neighbours(train: DataFrame, queries: DataFrame, k: int, id_col: str
         qids = np.array([r[0] for r in rows], dtype=np.int64)
         Q = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), dim)
         bq = queries.sparkSession.sparkContext.broadcast((qids, Q))
-        cands = t.mapInPandas(_broadcast_scan(bq, k), CAND)
+        cands = t.mapInPandas(_broadcast_scan(bq, k, p), CAND)
     else:
         nt = train.count()
         n_qb = max(1, math.ceil(nq / query_block))
@@ -140,25 +162,48 @@ def nearest_neighbours(train: DataFrame, queries: DataFrame, k: int, id_col: str
         q = queries.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("vec"), qb.alias("qb"),
                            F.explode(F.sequence(F.lit(0), F.lit(n_tb - 1))).alias("tb"))
         tt = t.select("*", tb.alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1))).alias("qb"))
-        cands = q.groupBy("qb", "tb").cogroup(tt.groupBy("qb", "tb")).applyInPandas(_block_pairs(k), CAND)
+        cands = q.groupBy("qb", "tb").cogroup(tt.groupBy("qb", "tb")).applyInPandas(_block_pairs(k, p), CAND)
     w = Window.partitionBy("qid").orderBy("d2", "tid")
     return cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _integral(df: DataFrame, col: str) -> bool:
+    return df.schema[col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+
+
+def _by_number(search, train: DataFrame, queries: DataFrame, id_col: str) -> DataFrame:
+    """Run ``search`` on ids numbered in their order (one number for an id on either side)."""
+    ids = train.select(id_col).union(queries.select(id_col)).where(F.col(id_col).isNotNull()).distinct()
+    numbered = group_position(ids.withColumn("_g", F.lit(0)), ["_g"], [id_col], name="_no").drop("_g")
+    numbered = cut_lineage(numbered.select(F.col(id_col).alias("_id"), F.col("_no").cast("long").alias("_no")))
+
+    def known(df):
+        return df.join(numbered, F.col(id_col) == F.col("_id")).drop(id_col, "_id").withColumnRenamed("_no", id_col)
+
+    out = search(known(train), known(queries))
+    for c in ("qid", "tid"):
+        out = out.join(numbered.withColumnRenamed("_no", c), c).drop(c).withColumnRenamed("_id", c)
+    return out.select("qid", "tid", "label", "d2", "rank")
+
+
 def approx_neighbours(train: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec",
                       label_col: str = "label", bucket_length: float = 1.0, num_tables: int = 4, seed: int = 1,
-                      train_block: int = 16384) -> DataFrame:
+                      train_block: int = 16384, query_block: int = 2048) -> DataFrame:
     """Approximate k nearest neighbours: (qid, tid, label, d2, rank), candidates limited to rows
     sharing a random-projection bucket with the query in at least one of ``num_tables`` tables.
 
     Buckets come from Spark's ``BucketedRandomProjectionLSH``. Unlike a similarity join, no pair
-    list is emitted: a bucket is split into ``ceil(size / train_block)`` training sub-blocks
-    (salted by training id; the bucket sizes are one aggregate), each query of the bucket is
-    sent to every sub-block of it, and the numpy kernel returns k candidates per query and
-    sub-block. A bucket holding a third of the data is therefore spread over many tasks."""
+    list is emitted: a bucket is split into ``ceil(size / train_block)`` training and
+    ``ceil(queries / query_block)`` query sub-blocks (salted by id; the bucket sizes are one
+    aggregate), each pair of sub-blocks is one group, and the numpy kernel returns k candidates per
+    query and group. A bucket holding a third of either side is therefore spread over many tasks.
+    A query without a bucket mate is answered exactly."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
+    if not _integral(train, id_col) or not _integral(queries, id_col):
+        return _by_number(lambda t, q: approx_neighbours(t, q, k, id_col, vec_col, label_col, bucket_length, num_tables,
+                                                         seed, train_block, query_block), train, queries, id_col)
     t = train.select(F.col(id_col).alias("tid"), F.col(vec_col).alias("vec"),
                      F.col(label_col).cast("int").alias("label"), array_to_vector(F.col(vec_col)).alias("v"))
     q = queries.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("vec"), array_to_vector(F.col(vec_col)).alias("v"))
@@ -171,14 +216,26 @@ def approx_neighbours(train: DataFrame, queries: DataFrame, k: int, id_col: str
 
     tk = keyed(t, ["tid", "vec", "label"])
     qk = keyed(q, ["qid", "vec"])
-    sizes = tk.groupBy("tbl", "bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(train_block))).cast("int").alias("n_sub"))
-    ts = tk.join(sizes, ["tbl", "bucket"]).withColumn("sub", F.pmod(F.xxhash64("tid"), F.col("n_sub")).cast("int"))
-    qs = qk.join(sizes, ["tbl", "bucket"]).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("n_sub") - 1)))
-    keys = ["tbl", "bucket", "sub"]
+    def parts(df, block, name):
+        return df.groupBy("tbl", "bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block))).cast("int").alias(name))
+
+    sizes = parts(tk, train_block, "n_sub").join(parts(qk, query_block, "n_qsub"), ["tbl", "bucket"])
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    ts = tk.join(sizes, ["tbl", "bucket"]).withColumn("sub", F.pmod(F.xxhash64("tid"), F.col("n_sub")).cast("int")) \
+           .withColumn("qsub", every("n_qsub"))
+    qs = qk.join(sizes, ["tbl", "bucket"]).withColumn("qsub", F.pmod(F.xxhash64("qid"), F.col("n_qsub")).cast("int")) \
+           .withColumn("sub", every("n_sub"))
+    keys = ["tbl", "bucket", "sub", "qsub"]
     cands = (qs.select(*keys, "qid", "vec").groupBy(*keys)
              .cogroup(ts.select(*keys, "tid", "vec", "label").groupBy(*keys))
-             .applyInPandas(_block_pairs(k), CAND)
+             .applyInPandas(_block_pairs(k, 2), CAND)
              .dropDuplicates(["qid", "tid"]))
+    cands = cut_lineage(cands)
+    alone = queries.join(cands.select(F.col("qid").alias(id_col)).distinct(), id_col, "left_anti")
+    cands = cands.unionByName(nearest_neighbours(train, alone, k, id_col, vec_col, label_col).drop("rank"))
     w = Window.partitionBy("qid").orderBy("d2", "tid")
     return cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

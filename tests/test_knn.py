@@ -50,3 +50,32 @@ def test_lsh_neighbours_recall_and_hot_bucket_split(spark):
     b = {(r.qid, r.tid) for r in small.collect()}
     assert a == b                                   # splitting hot buckets changes nothing
     assert len(a & exact) / len(exact) >= 0.9       # recall against the exact answer
+
+
+def test_every_query_is_answered(spark):
+    from binlens.operators.knn import approx_neighbours
+    rng = np.random.RandomState(1)
+    train = spark.createDataFrame([(i, rng.normal(0, 1, 4).tolist(), i % 2) for i in range(80)], "id long, vec array<double>, label int")
+    queries = spark.createDataFrame([(1000 + j, (np.ones(4) * 1e3 * j).tolist()) for j in range(6)], "id long, vec array<double>")
+    kw = dict(bucket_length=0.5, num_tables=2)
+    got = approx_neighbours(train, queries, 3, **kw).collect()
+    assert {r.qid for r in got} == {1000 + j for j in range(6)} and len(got) == 18
+    split = approx_neighbours(train, queries, 3, query_block=1, train_block=9, **kw).collect()
+    assert sorted(map(str, split)) == sorted(map(str, got))
+
+
+@pytest.mark.parametrize("p", [1, 2])
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
+def test_text_ids_and_manhattan(spark, p, broadcast_bytes):
+    rng = np.random.RandomState(5)
+    X = rng.randint(0, 4, size=(70, 3)).astype(float)
+    Q = rng.randint(0, 4, size=(12, 3)).astype(float)
+    tid = [f"{(i * 37) % 1000:03d}ab" for i in range(70)]
+    train = spark.createDataFrame([(tid[i], X[i].tolist(), i % 3) for i in range(70)], "id string, vec array<double>, label int")
+    queries = spark.createDataFrame([(f"q{j}", Q[j].tolist()) for j in range(12)], "id string, vec array<double>")
+    got = nearest_neighbours(train, queries, 4, query_block=5, train_block=16, broadcast_bytes=broadcast_bytes, p=p).collect()
+    for j in range(12):
+        d = (np.abs(X - Q[j]) ** p).sum(1)
+        want = sorted(range(70), key=lambda i: (d[i], tid[i]))[:4]
+        mine = sorted((r.rank, r.tid, r.d2) for r in got if r.qid == f"q{j}")
+        assert [t for _, t, _ in mine] == [tid[i] for i in want] and [x for *_, x in mine] == [d[i] for i in want]
