@@ -9,18 +9,10 @@ The count table has at most (partitions + groups) rows.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-_PINNED: list[DataFrame] = []
-
-
-def release_pinned() -> None:
-    """Unpersist the sorted frames pinned by ``group_position`` (call after the action)."""
-    while _PINNED:
-        _PINNED.pop().unpersist()
+from binlens.session import cut_lineage
 
 
 def group_position(df: DataFrame, group_cols: list[str], order_cols: list, name: str = "pos",
@@ -37,12 +29,9 @@ def group_position(df: DataFrame, group_cols: list[str], order_cols: list, name:
              .sortWithinPartitions(*groups, *order)
              .withColumn("_pid", F.spark_partition_id())
              .withColumn("_mid", F.monotonically_increasing_id()))
-    # The two branches below (counts and numbering) must see the same range bounds: each range
-    # exchange samples its own bounds, and column pruning makes the two exchanges differ, so they
-    # are not reused. Persisting pins one partitioning; a lost block is recomputed from the same
-    # shuffle dependency (same bounds, same total order), so numbering survives executor loss.
-    keyed = keyed.persist(StorageLevel.MEMORY_AND_DISK)
-    _PINNED.append(keyed)
+    # The two branches below (counts and numbering) must see the same range bounds, but each range
+    # exchange samples its own. A reliable checkpoint fixes one partitioning for both, for good.
+    keyed = cut_lineage(keyed)
     stats = keyed.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
@@ -66,8 +55,7 @@ def running_sums(df: DataFrame, group_cols: list[str], order_cols: list, sum_col
     groups = [F.col(c) for c in group_cols]
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = df.repartitionByRange(n, *groups, *order).withColumn("_pid", F.spark_partition_id())
-    keyed = keyed.persist(StorageLevel.MEMORY_AND_DISK)     # one partitioning for both branches
-    _PINNED.append(keyed)
+    keyed = cut_lineage(keyed)      # one partitioning for both branches
     inner = Window.partitionBy("_pid", *group_cols).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = keyed.select("*", *[F.sum(c).over(inner).alias(f"_l_{c}") for c in sum_cols])
     tot = keyed.groupBy("_pid", *group_cols).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])

@@ -2,8 +2,7 @@
 ``label``, ``prediction`` and/or ``score`` and returns a small DataFrame.
 
 Curves aggregate by distinct score first (a map-side combined ``groupBy``), so the only global
-window runs over the distinct scores, not over the rows. Scores with unbounded precision can be
-binned first with ``bin_scores``.
+window runs over the distinct scores, not over the rows.
 """
 
 from __future__ import annotations
@@ -18,11 +17,6 @@ def _d(x) -> Column:
     return F.lit(float(x))
 
 
-def bin_scores(df: DataFrame, digits: int = 4, score: str = "score") -> DataFrame:
-    """Round scores so a curve has at most 10**digits + 1 points."""
-    return df.withColumn(score, F.round(F.col(score), digits))
-
-
 def accuracy(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = by or []
     return df.groupBy(*by).agg(
@@ -100,12 +94,17 @@ def _cumulative(df: DataFrame, by: list[str]) -> DataFrame:
 
     The running sums use a range-partitioned plan (``running_sums``), so unrounded scores - one
     distinct value per row - are never sorted in a single task; totals are a grouped aggregate
-    joined back on the group key (``_g`` is a constant key when there is no group)."""
-    sc = _score_counts(df, by).withColumn("_g", F.lit(0))
-    keys = [*by, "_g"]
-    c = running_sums(sc, keys, [F.col("score").desc()], ["p", "n"])
-    tot = sc.groupBy(*keys).agg(F.sum("p").alias("tot_p"), F.sum("n").alias("tot_n"))
-    return (c.join(tot, keys).withColumnRenamed("cum_p", "tp").withColumnRenamed("cum_n", "fp").drop("_g"))
+    joined back on the group key, or two numbers when there is no group."""
+    sc = _score_counts(df, by)
+    if by:
+        c = running_sums(sc, by, [F.col("score").desc()], ["p", "n"])
+        tot = sc.groupBy(*by).agg(F.sum("p").alias("tot_p"), F.sum("n").alias("tot_n"))
+        c = c.join(tot, by)
+    else:
+        c = running_sums(sc.withColumn("_g", F.lit(0)), ["_g"], [F.col("score").desc()], ["p", "n"]).drop("_g")
+        tot = sc.agg(F.sum("p").alias("p"), F.sum("n").alias("n")).first()
+        c = c.withColumns({f"tot_{k}": F.lit(tot[k]).cast(sc.schema[k].dataType) for k in ("p", "n")})
+    return c.withColumnRenamed("cum_p", "tp").withColumnRenamed("cum_n", "fp")
 
 
 def roc_curve(df: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -189,8 +188,3 @@ def confidence_table(df: DataFrame, id_col: str = "id") -> DataFrame:
     """id, prediction, P(positive), P(negative) from a probability score."""
     return df.select(id_col, F.col("prediction"), F.col("score").alias("p_positive"),
                      (_d(1) - F.col("score")).alias("p_negative"))
-
-
-def ranked_importances(importances: DataFrame, min_value: float = 0.01) -> DataFrame:
-    """(feature, importance) above a floor, descending."""
-    return importances.filter(F.col("importance") > min_value).orderBy(F.col("importance").desc(), "feature")

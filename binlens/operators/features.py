@@ -50,10 +50,14 @@ def feature_names(df: DataFrame, features_col: str = "features") -> DataFrame:
 
 
 def to_long(df: DataFrame, id_col: str, features_col: str = "features", keep=()) -> DataFrame:
-    """Non-zero vector entries as rows (id, feature_idx, value) (+ kept columns)."""
-    arr = vector_to_array(F.col(features_col))
-    return (df.select(id_col, *keep, F.posexplode(arr).alias("feature_idx", "value"))
-              .filter(F.col("value") != 0))
+    """Non-zero vector entries as rows (id, feature_idx, value) (+ kept columns). A sparse vector gives
+    its stored entries only; it is never made dense."""
+    v = F.unwrap_udt(F.col(features_col))
+    stored = F.transform(F.sequence(F.lit(0), F.size(v["values"]) - 1), lambda i: F.struct(
+        F.when(v["type"] == 0, v["indices"][i]).otherwise(i).alias("feature_idx"), v["values"][i].alias("value")))
+    entries = F.filter(F.when(F.size(v["values"]) > 0, stored), lambda e: e["value"] != 0)
+    return df.select(id_col, *keep, F.explode(entries).alias("_e")).select(
+        id_col, *keep, F.col("_e.feature_idx").alias("feature_idx"), F.col("_e.value").alias("value"))
 
 
 # ---------------------------------------------------------------- statistics
@@ -72,12 +76,12 @@ def mutual_information(long_df: DataFrame, labels: DataFrame, feature: str = "fe
                        label: str = "label") -> DataFrame:
     """Discrete MI (natural log) between each feature's value and the label.
 
-    ``long_df`` holds the non-zero cells ``(id, feature, value)``; the zero cells are implied:
-    for each class, zeros = class count - non-zero count. Result: (feature, mi).
+    ``long_df`` holds the non-zero cells ``(id, feature, value)``, and the label where it was carried
+    along (then nothing is joined); the zero cells are implied: for each class, zeros = class count - non-zero count. Result: (feature, mi).
     """
     lab = labels.select(id_col, label)
     _, n_all, n_y, classes = _class_counts(lab, label)
-    cells = (long_df.join(lab, id_col)
+    cells = ((long_df if label in long_df.columns else long_df.join(lab, id_col))
              .groupBy(feature, "value", label).agg(F.count(F.lit(1)).alias("c")))
     nz = cells.groupBy(feature, label).agg(F.sum("c").alias("c_nz"))
     feats = cells.select(feature).distinct().select(feature, F.explode(classes).alias(label))
@@ -99,7 +103,7 @@ def chi2_scores(long_df: DataFrame, labels: DataFrame, feature: str = "feature",
     O = sum of values per class, E = class share x feature total, sum((O - E)^2 / E)."""
     lab = labels.select(id_col, label)
     _, n_all, n_y, classes = _class_counts(lab, label)
-    obs = long_df.join(lab, id_col).groupBy(feature, label).agg(F.sum("value").alias("o"))
+    obs = (long_df if label in long_df.columns else long_df.join(lab, id_col)).groupBy(feature, label).agg(F.sum("value").alias("o"))
     tot = obs.groupBy(feature).agg(F.sum("o").alias("t"))
     grid = tot.select(feature, "t", F.explode(classes).alias(label))
     e = F.col("t") * n_y[F.col(label)] / F.lit(float(n_all))
@@ -152,7 +156,7 @@ class TopKSelector(Estimator, HasFeaturesCol, HasLabelCol, HasOutputCol, _HasK,
                    DefaultParamsWritable):
     """Keep the ``k`` features with the highest mutual information (default) or chi-squared
     score against the label. Scores come from long-form aggregates; only ``k`` indices reach
-    the driver."""
+    the driver. More than there are features is an error."""
 
     @keyword_only
     def __init__(self, featuresCol="features", labelCol="label", outputCol="selected", k=300, scoreFunc="mi"):
@@ -161,19 +165,25 @@ class TopKSelector(Estimator, HasFeaturesCol, HasLabelCol, HasOutputCol, _HasK,
         self._set(**self._input_kwargs)
 
     def _fit(self, df):
-        tagged = df.select(F.monotonically_increasing_id().alias("_rid"), self.getFeaturesCol(), self.getLabelCol())
-        tagged = tagged.withColumnRenamed(self.getLabelCol(), "label")
-        long_df = to_long(tagged, "_rid", self.getFeaturesCol()).withColumnRenamed("_rid", "id")
-        labels = tagged.select(F.col("_rid").alias("id"), "label")
+        # the label rides along with every entry, so rows need no key and nothing is joined
+        tagged = df.select(F.lit(0).alias("id"), self.getFeaturesCol(), F.col(self.getLabelCol()).alias("label"))
+        long_df = to_long(tagged, "id", self.getFeaturesCol(), keep=("label",))
+        labels = tagged.select("id", "label")
         k = self.getOrDefault("k")
         if self.getOrDefault("scoreFunc") == "chi2":
             sc = chi2_scores(long_df, labels, feature="feature_idx").withColumnRenamed("chi2", "score")
         else:
             sc = mutual_information(long_df, labels, feature="feature_idx").withColumnRenamed("mi", "score")
         best = top_k(sc, "score", k).orderBy("rank").collect()
+        picked = [(int(r["feature_idx"]), float(r["score"])) for r in best]
+        if len(picked) < k:     # all-zero features score 0; on a tie the higher index wins
+            width = len(df.select(self.getFeaturesCol()).first()[0])
+            if k > width:
+                raise ValueError(f"k = {k}, but there are {width} features")
+            have = {i for i, _ in picked}
+            picked += [(i, 0.0) for i in range(width - 1, -1, -1) if i not in have][:k - len(picked)]
         return TopKSelectorModel(featuresCol=self.getFeaturesCol(), outputCol=self.getOutputCol(),
-                                 indices=[int(r["feature_idx"]) for r in best],
-                                 scores=[float(r["score"]) for r in best])
+                                 indices=[i for i, _ in picked], scores=[s for _, s in picked])
 
 
 class PopulationScalerModel(Model, HasFeaturesCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):

@@ -35,10 +35,3 @@ def ngram_vocabulary(counts: DataFrame, k: int, id_col: str = "sample_id") -> Da
     best = dfreq.orderBy(F.col("df").desc(), F.col("gram")).limit(k)
     w = Window.orderBy(F.col("df").desc(), F.col("gram"))
     return best.withColumn("rank", F.row_number().over(w))
-
-
-def ngram_features_long(counts: DataFrame, vocab: DataFrame, id_col: str = "sample_id") -> DataFrame:
-    """Long-form features (id, feature_idx, value) over the vocabulary; the vocabulary side has
-    k rows, so it is broadcast."""
-    v = F.broadcast(vocab.select("gram", (F.col("rank") - 1).cast("int").alias("feature_idx")))   # k rows
-    return counts.join(v, "gram").select(id_col, "feature_idx", F.col("n").cast("double").alias("value"))

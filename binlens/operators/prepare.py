@@ -69,7 +69,3 @@ def truncate(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def string_columns(df: DataFrame, exclude=()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in exclude]
-
-
-def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC) and f.name not in exclude]

@@ -85,3 +85,18 @@ def test_selector_pipeline_save_load_roundtrip(spark, tmp_path):
     a = [r.scaled for r in m.transform(df).orderBy(F.monotonically_increasing_id()).collect()]
     b = [r.scaled for r in back.transform(df).orderBy(F.monotonically_increasing_id()).collect()]
     assert a == b
+
+
+def test_selector_takes_sparse_vectors_and_checks_k(spark):
+    rows = [(i, i % 2, Vectors.sparse(6, {0: 1.0, 2: float(i % 2)} if i % 2 else {0: 1.0})) for i in range(20)]
+    df = spark.createDataFrame(rows, ["id", "label", "features"])
+    assert TopKSelector(k=1).fit(df).getOrDefault("indices") == [2]
+    assert sorted(TopKSelector(k=4).fit(df).getOrDefault("indices")) == [0, 2, 4, 5]      # all-zero features: ties at 0
+    with pytest.raises(ValueError, match="k = 7"):
+        TopKSelector(k=7).fit(df)
+
+
+def test_long_form_of_sparse_dense_and_empty(spark):
+    from binlens.operators.features import to_long
+    df = spark.createDataFrame([(1, Vectors.sparse(5, {1: 2.0, 4: 0.0})), (2, Vectors.dense([0.0, 3.0])), (3, Vectors.sparse(4, {}))], ["id", "features"])
+    assert sorted((r.id, r.feature_idx, r.value) for r in to_long(df, "id").collect()) == [(1, 1, 2.0), (2, 1, 3.0)]

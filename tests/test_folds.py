@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from binlens.functions.ranking import group_position, release_pinned, stratified_folds
+from binlens.functions.ranking import group_position, stratified_folds
 from binlens.plans.prepared import split_and_folds
 
 
@@ -16,13 +16,11 @@ def test_group_position_equals_row_number(spark):
     got = group_position(df, ["label"], ["h", "id"], num_partitions=5).select("id", "pos")
     want = df.select("id", F.row_number().over(Window.partitionBy("label").orderBy("h", "id")).alias("pos"))
     assert sorted(got.collect()) == sorted(want.collect())
-    release_pinned()
 
 
 def test_folds_balanced_and_cover(spark):
     k = 5
     f = stratified_folds(_frame(spark), "id", "label", k).collect()
-    release_pinned()
     assert len(f) == 203 and len({r.id for r in f}) == 203
     for lab in (0, 1):
         sizes = [sum(1 for r in f if r.label == lab and r.fold == i) for i in range(k)]
@@ -31,7 +29,6 @@ def test_folds_balanced_and_cover(spark):
 
 def test_split_and_cv_folds(spark):
     rows = split_and_folds(_frame(spark)).collect()
-    release_pinned()
     test = [r for r in rows if r.split == "test"]
     train = [r for r in rows if r.split == "train"]
     assert all(r.cv_fold == -1 for r in test)
@@ -51,4 +48,3 @@ def test_running_sums_equal_window_on_a_hot_group(spark):
     w = Window.partitionBy("g").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
     want = df.select("g", "s", F.sum("v").over(w).alias("cum_v"))
     assert sorted(got.collect()) == sorted(want.collect())
-    release_pinned()

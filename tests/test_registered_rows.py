@@ -4,7 +4,6 @@ vector-free schema, and satisfies its structural invariants."""
 import pytest
 
 import __spark_entry__ as E
-from binlens.functions.ranking import release_pinned
 
 from binlens.plans.catalog import QUERIES as CATALOG
 
@@ -21,7 +20,6 @@ def results(spark):
     for name in ROWS_ONLY:
         df = QUERIES[name](spark, SF001)
         out[name] = (df.schema, df.collect())
-        release_pinned()
     return out
 
 
