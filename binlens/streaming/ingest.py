@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,24 +34,27 @@ BINARY_FILE_SCHEMA = T.StructType([
     T.StructField("length", T.LongType(), False), T.StructField("content", T.BinaryType(), True)])
 
 
-def _table_exists(spark: SparkSession, path: str) -> bool:
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None before its first batch; other read errors are raised."""
     try:
-        spark.read.parquet(path).schema
-        return True
-    except Exception:  # noqa: BLE001 - absent on the first batch
-        return False
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def _process(out_path: str, rejects_path: str, fields: list[str] | None):
+    """Each batch owns one folder of either table and overwrites it, so a replayed batch changes nothing."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         samples = batch.dropDuplicates(["sample_id"])
-        if _table_exists(spark, out_path):
-            seen = spark.read.parquet(out_path).select("sample_id")
-            samples = samples.join(seen, "sample_id", "left_anti")
+        seen = _table(batch.sparkSession, out_path)
+        if seen is not None:
+            earlier = seen.where(F.col("batch_id") != batch_id).select("sample_id")
+            samples = samples.join(earlier, "sample_id", "left_anti")
         table, rejects = raw_feature_table(samples, fields=fields)
-        table.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
-        rejects.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(rejects_path)
+        for df, path in ((table, out_path), (rejects, rejects_path)):
+            df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
     return run
 
 
