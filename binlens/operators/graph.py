@@ -49,6 +49,15 @@ def block_features(blocks: DataFrame, counts: DataFrame, categories: list[str])
                     *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in categories])
 
 
+def block_totals(blocks: DataFrame, categories: list[str], labels: DataFrame | None = None) -> DataFrame:
+    """Per binary, from its block features: number of blocks, mean and largest block size, tokens of each
+    category; and its class where ``labels`` (binary_id, label) has one (null otherwise)."""
+    out = blocks.groupBy("binary_id").agg(
+        F.count(F.lit(1)).alias("n_blocks"), F.avg("size").alias("mean_block_size"), F.max("size").alias("max_block_size"),
+        *[F.sum(c).alias(f"total_{c}") for c in categories])
+    return out if labels is None else out.join(labels.select("binary_id", "label"), "binary_id", "left")
+
+
 def transition_edges(events: DataFrame, group: str, order: list[str], node: str) -> DataFrame:
     """Edge from each event's node to the next event's node within its group.
 

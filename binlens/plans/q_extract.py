@@ -236,6 +236,19 @@ def q_block_features(spark, sf):
     return G.block_features(si.blocks(spark, sf), _cat_counts(spark, sf), CATS)
 
 
+@query("graph_block_totals", LINES + f"""
+, bf AS (SELECT l.binary_id, strlen(l.line) AS size, {", ".join(f"coalesce(cc.{c}, 0) AS {c}" for c in CATS)}
+         FROM lines l LEFT JOIN cc ON l.binary_id = cc.binary_id AND l.node_idx = cc.node_idx),
+g AS (SELECT binary_id, count(*) AS n_blocks, round(avg(size), 6) AS mean_block_size, cast(max(size) AS INTEGER) AS max_block_size,
+             {", ".join(f"cast(sum({c}) AS BIGINT) AS total_{c}" for c in CATS)} FROM bf GROUP BY binary_id)
+SELECT g.*, lb.quality AS label FROM g LEFT JOIN labels lb ON g.binary_id = lb.doc_id""")
+def q_graph_block_totals(spark, sf):
+    """B22 + B23: block sizes and category totals of each graph, with its class."""
+    blocks = G.block_features(si.blocks(spark, sf), _cat_counts(spark, sf), CATS)
+    labels = table(spark, sf, "labels", F.col("doc_id").alias("binary_id"), F.col("quality").cast("int").alias("label"))
+    return G.block_totals(blocks, CATS, labels).withColumn("mean_block_size", F.round("mean_block_size", 6))
+
+
 # ---- event graphs: binary = user, node = event type, edge = next event by (ts, event_id)
 
 EDGES = """
