@@ -171,8 +171,10 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = placed.join(parts.select(F.col("rank").alias("r2"), F.col("start").alias("s2"), "parts").hint("merge"),
                        (F.col("rank") == F.col("r2")) & (F.col("start") == F.col("s2")))
     most = F.array_max(F.transform("parts", lambda p: p["uses"]))
-    rows = rows.select("row", "parts", F.regexp_extract_all(F.col(f"row.{text_col}"), F.lit(f"({WORD})")).alias("words"),
-                       F.explode(F.sequence(F.lit(1).cast("long"), most)).alias("e"))
+    # words are split below the explode, which keeps the split out of the function applied to each block
+    rows = rows.select("row", "parts", most.alias("most"),
+                       F.regexp_extract_all(F.col(f"row.{text_col}"), F.lit(f"({WORD})")).alias("words"))
+    rows = rows.select("row", "parts", "words", F.explode(F.sequence(F.lit(1).cast("long"), F.col("most"))).alias("e"))
     taken = F.flatten(F.transform(F.filter("parts", lambda p: p["uses"] >= F.col("e")),
                                   lambda p: F.slice("words", (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int"))))
     rows = rows.select("row", F.array_join(taken, " ").alias("new"))
