@@ -31,6 +31,8 @@ DIMENSIONS = 5
 CHI2_MEDIAN = 4.351460191095529
 #: The distance grid: GRID bins for each doubling.
 GRID = 64
+#: Parts that the rows of one group are spread over when they meet its estimate.
+SALTS = 32
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 X = [f"x{i}" for i in range(DIMENSIONS)]
@@ -110,7 +112,14 @@ def _levels(df: DataFrame) -> DataFrame:
     g = F.array(F.struct(F.lit(0).alias("level"), F.to_json(F.struct("lang", "source")).alias("grp")),
                 F.struct(F.lit(1).alias("level"), F.to_json(F.struct("lang")).alias("grp")),
                 F.struct(F.lit(2).alias("level"), F.lit("all").alias("grp")))
-    return df.withColumn("g", F.explode(g)).select("g.level", "g.grp", *X)
+    return df.withColumn("g", F.explode(g)).select("g.level", "g.grp", F.pmod(F.xxhash64(*X), F.lit(SALTS)).cast("int").alias("salt"), *X)
+
+
+def _with(rows: DataFrame, per_group: DataFrame) -> DataFrame:
+    """``rows`` with the columns of their group's one row; a group's rows meet SALTS copies of it, so the
+    rows of a hot group (all rows are one) don't meet in one task."""
+    copies = per_group.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(copies, ["level", "grp", "salt"])
 
 
 def _cell(d):
@@ -169,10 +178,10 @@ def mcd_estimates(stats: DataFrame, share: float = 0.75, steps: int = 5) -> Data
     rows = _levels(stats)
     # start: per-feature medians and MADs on a fixed linear grid
     cell = F.floor(F.col("v") * 512).cast("long")
-    flat = rows.select("level", "grp", F.posexplode(F.array(*X)).alias("i", "v"))
-    tagged = flat.select("level", F.concat(F.col("i").cast("string"), F.lit(":"), "grp").alias("grp"), "v")
+    flat = rows.select("level", "grp", "salt", F.posexplode(F.array(*X)).alias("i", "v"))
+    tagged = flat.select("level", F.concat(F.col("i").cast("string"), F.lit(":"), "grp").alias("grp"), "salt", "v")
     med = _quantile(tagged, cell, 0.5, "m")
-    dev = tagged.join(med, ["level", "grp"]).withColumn("v", F.abs(F.col("v") - (F.col("m") + 0.5) / 512))
+    dev = _with(tagged, med).withColumn("v", F.abs(F.col("v") - (F.col("m") + 0.5) / 512))
     mad = _quantile(dev, F.floor(F.col("v") * 512).cast("long"), 0.5, "d")
     start = (med.join(mad, ["level", "grp"])
              .select("level", F.split("grp", ":", 2)[0].cast("int").alias("i"), F.split("grp", ":", 2)[1].alias("grp"),
@@ -184,11 +193,11 @@ def mcd_estimates(stats: DataFrame, share: float = 0.75, steps: int = 5) -> Data
     est = materialise(start.select("level", "grp", F.transform("a", lambda p: p["m"]).alias("mean"), inv.alias("inv"),
                                    F.lit(0.0).alias("n")), "mcd-start")
     for _ in range(steps):
-        near = rows.join(est.drop("n"), ["level", "grp"]).withColumn("cell", _cell(_distance()))
+        near = _with(rows, est.drop("n")).withColumn("cell", _cell(_distance()))
         edge = _quantile(near, F.col("cell"), share, "edge")
-        inner = near.join(edge, ["level", "grp"]).where(F.col("cell") <= F.col("edge"))
+        inner = _with(near, edge).where(F.col("cell") <= F.col("edge"))
         est = materialise(_estimates(_moments(inner)), "mcd-step")
-    near = rows.join(est, ["level", "grp"]).withColumn("cell", _cell(_distance()))
+    near = _with(rows, est).withColumn("cell", _cell(_distance()))
     mid = _quantile(near, F.col("cell"), 0.5, "mid")
     scale = F.greatest(F.pow(F.lit(2.0), (F.col("mid") + 1) / GRID) / CHI2_MEDIAN, F.lit(1.0))
     total = rows.groupBy("level", "grp").agg(F.count(F.lit(1)).alias("rows"))
