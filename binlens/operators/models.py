@@ -71,10 +71,10 @@ def logistic(C=1.0, n_rows=None, max_iter=100, features="features", label="label
                               standardization=False)
 
 
-def mlp(n_features, hidden=(21,), max_iter=200, seed=1, features="features", label="label", n_classes=2):
+def mlp(n_features, hidden=(100,), max_iter=1000, tol=1e-4, seed=1, features="features", label="label", n_classes=2):
     """Feed-forward net. Gap: sigmoid hidden units and l-bfgs, no L2 penalty."""
     return MultilayerPerceptronClassifier(featuresCol=features, labelCol=label,
-                                          layers=[n_features, *hidden, n_classes], maxIter=max_iter, seed=seed)
+                                          layers=[n_features, *hidden, n_classes], maxIter=max_iter, tol=tol, seed=seed)
 
 
 def score_frame(pred: DataFrame, id_col: str = "id", label: str = "label", keep=()) -> DataFrame:

@@ -64,15 +64,17 @@ def _knn(name, k):
     return fit
 
 
-def builders(n_features: int, n_rows: int | None = None) -> dict[str, Callable[[DataFrame], Fitted]]:
-    """The reference roster with its settings (model comparison script)."""
+def builders(n_features: int, n_rows: int | None = None, ensemble: bool = False) -> dict[str, Callable[[DataFrame], Fitted]]:
+    """The roster with the settings of the model comparison, or of the ensembles' members (another forest and
+    a narrower network). The iteration limits of the linear SVM and the network are Spark's solvers' own."""
     return {
         "knn": _knn("knn", 3),
-        "linear_svm": _spark_ml("linear_svm", models.linear_svm(alpha=1e-4, max_iter=100, tol=1e-3)),
+        "linear_svm": _spark_ml("linear_svm", models.linear_svm(alpha=8.59067138335719e-05, max_iter=100, tol=1e-3)),
         "decision_tree": _spark_ml("decision_tree", models.decision_tree(max_depth=5, min_leaf=1, seed=0)),
-        "random_forest": _spark_ml("random_forest", models.random_forest(n_trees=10, max_depth=3, max_features="auto", seed=1)),
+        "random_forest": _spark_ml("random_forest", models.random_forest(n_trees=18, max_depth=5, max_features=3, seed=1) if ensemble
+                                   else models.random_forest(n_trees=10, max_depth=3, max_features="auto", seed=1)),
         "boosting": _spark_ml("boosting", models.boosted_trees(rounds=100, learning_rate=0.3, max_depth=11, n_rows=n_rows)),
-        "mlp": _spark_ml("mlp", models.mlp(n_features, hidden=(21,), max_iter=200)),
+        "mlp": _spark_ml("mlp", models.mlp(n_features, hidden=(21,) if ensemble else (100,), max_iter=1000)),
         "adaboost": _custom("adaboost", lambda tr: boosting.fit_adaboost(tr, rounds=50)),
         "logistic": _spark_ml("logistic", models.logistic(C=1.0, n_rows=n_rows)),
         "sgd_modified_huber": _custom("sgd_modified_huber", lambda tr: sgd.fit_sgd(tr, loss="modified_huber", alpha=1e-4)),
@@ -81,8 +83,8 @@ def builders(n_features: int, n_rows: int | None = None) -> dict[str, Callable[[
 
 
 def fit_roster(train: DataFrame, names: list[str], n_features: int, n_rows: int | None = None,
-               parallelism: int = 8) -> dict[str, Fitted]:
-    b = builders(n_features, n_rows)
+               parallelism: int = 8, ensemble: bool = False) -> dict[str, Fitted]:
+    b = builders(n_features, n_rows, ensemble)
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         futs = {n: pool.submit(b[n], train) for n in names}
         return {n: f.result() for n, f in futs.items()}

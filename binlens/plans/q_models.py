@@ -8,7 +8,9 @@ named in the query's doc string.
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce as reduce_frames
 
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -21,6 +23,7 @@ from binlens.operators.evaluate import classification_report
 from binlens.operators.models import score_frame
 from binlens.plans.prepared import CV_FOLDS, names_frame, prepared, train_test
 from binlens.plans.registry import query
+from binlens.session import scratch_path
 
 R = 6
 
@@ -252,7 +255,7 @@ def q_leaderboard(spark, sf):
     """The seven-model roster fitted on the training rows; accuracy on train and
     test, and the class-1 precision / recall / f1 on test."""
     train, test, names = train_test(spark, sf)
-    fitted = roster.fit_roster(train, ROSTER, len(names))
+    fitted = roster.fit_roster(train, ROSTER, len(names), n_rows=train.count())
     long = roster.scored_union(fitted, train, "train").unionByName(roster.scored_union(fitted, test, "test"))
     hit = (F.col("label") == F.col("prediction")).cast("double")
     tp = F.sum(((F.col("label") == 1) & (F.col("prediction") == 1)).cast("double"))
@@ -269,7 +272,7 @@ def q_leaderboard(spark, sf):
                        F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0)), R).alias("test_f1"))
 
 
-STACK_BASES = ["decision_tree", "random_forest", "logistic", "linear_svm"]
+_STACKED: dict[tuple, tuple[str, str]] = {}
 
 
 def _stack_features(scores: DataFrame, bases: list[str]) -> DataFrame:
@@ -278,53 +281,79 @@ def _stack_features(scores: DataFrame, bases: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=bases, outputCol="stack").transform(wide)
 
 
-def stacking(train: DataFrame, test: DataFrame, bases: list[str], n_features: int, k: int = CV_FOLDS,
-             head: str = "logistic", parallelism: int = 8) -> DataFrame:
-    """Out-of-fold base scores (fold column ``cv_fold``) train the head; the bases are then
-    refitted on all training rows to score the test rows for the head."""
-    n = train.count()
-    b = roster.builders(n_features, n)
+def out_of_fold_scores(train: DataFrame, bases: list[str], n_features: int, k: int = CV_FOLDS, parallelism: int = 8) -> DataFrame:
+    """Long (model, id, label, score) of every training row, scored by the base model fitted on the other
+    folds (column ``cv_fold``)."""
+    b = roster.builders(n_features, train.count(), ensemble=True)
 
-    def oof(fold):
-        tr, va = train.filter(F.col("cv_fold") != fold), train.filter(F.col("cv_fold") == fold)
-        return [b[m](tr).score(va).select(F.lit(m).alias("model"), "id", "label", "score") for m in bases]
+    def fit(job):
+        model, fold = job
+        fitted = b[model](train.filter(F.col("cv_fold") != fold))
+        return fitted.score(train.filter(F.col("cv_fold") == fold)).select(F.lit(model).alias("model"), "id", "label", "score")
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        parts = [df for dfs in pool.map(oof, range(k)) for df in dfs]
-        full = dict(zip(bases, pool.map(lambda m: b[m](train), bases)))
-    oof_scores = parts[0]
-    for p in parts[1:]:
-        oof_scores = oof_scores.unionByName(p)
-    head_est = LogisticRegression(featuresCol="stack", labelCol="label", regParam=1.0 / n, standardization=False)
-    head_model = head_est.fit(_stack_features(oof_scores, bases))
-    test_scores = roster.scored_union(full, test).select("model", "id", "label", "score")
-    return score_frame(head_model.transform(_stack_features(test_scores, bases)))
+        parts = list(pool.map(fit, [(m, f) for m in bases for f in range(k)]))
+    return reduce_frames(DataFrame.unionByName, parts)
+
+
+def stack_head(oof: DataFrame, bases: list[str], head: str = "logistic"):
+    """The head fitted on out-of-fold scores: ``logistic``, or ``mlp`` (a network)."""
+    x = _stack_features(oof, bases)
+    if head == "logistic":
+        est = LogisticRegression(featuresCol="stack", labelCol="label", regParam=1.0 / max(1, x.count()), standardization=False)
+    elif head == "mlp":
+        est = models.mlp(len(bases), features="stack")
+    else:
+        raise ValueError(head)
+    return est.fit(x)
+
+
+def stacking(oof: DataFrame, test_scores: DataFrame, bases: list[str], head: str = "logistic") -> DataFrame:
+    """The head trained on out-of-fold base scores, applied to the scores that the bases, refitted on all
+    training rows, give the test rows."""
+    return score_frame(stack_head(oof, bases, head).transform(_stack_features(test_scores, bases)))
+
+
+def stack_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(out-of-fold scores, test predictions) of the seven bases, written to the checkpoint folder once per
+    session and scale factor; both heads and both votes read them."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STACKED:
+        train, test, names = train_test(spark, sf)
+        paths = tuple(scratch_path(spark, f"{part}-{uuid.uuid4().hex}") for part in ("oof", "bases"))
+        out_of_fold_scores(train, ROSTER, len(names)).write.parquet(paths[0])
+        full = roster.fit_roster(train, ROSTER, len(names), n_rows=train.count(), ensemble=True)
+        roster.scored_union(full, test).select("model", "id", "label", "prediction", "score").write.parquet(paths[1])
+        _STACKED[key] = paths
+    return tuple(spark.read.parquet(p) for p in _STACKED[key])
+
+
+def _stacked(spark, sf, head):
+    oof, bases = stack_tables(spark, sf)
+    return stacking(oof, bases, ROSTER, head)
 
 
 @query("stacking_oof")
 def q_stacking(spark, sf):
-    train, test, names = train_test(spark, sf)
-    return stacking(train, test, STACK_BASES, len(names)).select(
-        F.lit("stacking").alias("model"), "id", "label", "prediction", F.round("score", R).alias("score"))
+    """D12 with both heads over seven bases."""
+    both = [_stacked(spark, sf, head).withColumn("model", F.lit(f"stacking_{head}")) for head in ("logistic", "mlp")]
+    return both[0].unionByName(both[1]).select("model", "id", "label", "prediction", F.round("score", R).alias("score"))
 
 
 @query("stacking_report")
 def q_stacking_report(spark, sf):
     """E4 over the stacked model's test predictions."""
-    train, test, names = train_test(spark, sf)
-    return classification_report(stacking(train, test, STACK_BASES, len(names)), classes=[0, 1])
+    return classification_report(_stacked(spark, sf, "logistic"), classes=[0, 1])
 
 
 @query("vote_roster")
 def q_vote_roster(spark, sf):
     """D13 + D14 over fitted models: hard (majority, tie -> lowest) and soft (mean class-1
-    score, margins through the logistic link) votes of five models on the test rows."""
+    score, margins through the logistic link) votes of all seven models on the test rows."""
     from binlens.operators.ensemble import vote_hard, vote_soft
 
-    train, test, names = train_test(spark, sf)
-    fitted = roster.fit_roster(train, ["decision_tree", "random_forest", "logistic", "linear_svm", "mlp"], len(names),
-                               n_rows=train.count())
-    long = roster.scored_union(fitted, test)
+    long = stack_tables(spark, sf)[1]
+    test = train_test(spark, sf)[1]
     hard = vote_hard(long).select("id", F.col("prediction").alias("hard_prediction"))
     soft = vote_soft(long).select("id", F.round("score", R).alias("soft_score"), F.col("prediction").alias("soft_prediction"))
     return test.select("id", "label").join(hard, "id").join(soft, "id")
