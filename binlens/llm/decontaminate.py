@@ -3,7 +3,8 @@
 Texts and items are normalised alike (lower case, runs of white space to one space). An item of length L
 counts as contained when a region of the text aligns with all of it within ``e = floor(budget * L)``
 edits. By the q-gram lemma such a region shares at least ``L + 1 - q - q * e`` q-grams with the item, and
-they all lie on diagonals (text position minus item position) at most ``e`` apart.
+they all lie on diagonals (text position minus item position) at most ``e`` apart. Only whole items count:
+a text that quotes a part of an item (a cut of it more than ``e`` code points short, say) does not contain it.
 
 Per text: every q-gram is hashed (one rolling pass over an array of code points) and looked up in the
 items' q-grams; matches are counted in diagonal bands ``2e + 1`` wide that overlap by half or more, so any
@@ -137,6 +138,8 @@ class Items:
         budget. ``text`` is the region widened by the budget; only diagonals within reach are kept."""
         p, e = self.points[item], int(self.edits[item])
         n, m = len(text), len(p)
+        if n < m - e:       # more deletions than the budget
+            return None
         big = m + n + 1
         # Sellers' recurrence, one item symbol at a time over all text positions of the region
         cost, start = np.zeros(n + 1, np.int64), np.arange(n + 1)
@@ -209,7 +212,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     ``start`` and ``stop`` bound the best region, in code points of the normalised text; ``key`` is a hash
     of the text. Null, empty and blank texts or items never match; null ids are kept; repeated rows
-    match one by one; other columns are not read. An empty side gives no rows.
+    match one by one; other columns are not read. Items quoted in part only do not match. An empty side gives
+    no rows.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"),

@@ -108,3 +108,24 @@ def test_planted_benchmark_items_are_found(spark):
     got = {(r.doc_id, r.item_id) for r in QUERIES["op10_decontamination"](spark, SF01).collect()}
     whole = set(duckdb.sql(f"select doc_id, item_id from '{SF01}/documents.parquet' d, '{SF01}/benchmark.parquet' b where contains(d.text, b.text)").fetchall())
     assert whole and whole <= got and len(got) <= len(whole) + 2
+
+
+@pytest.mark.parametrize("length", [60, 100, 394])
+def test_documents_that_are_cuts_of_items(length):
+    """Prefixes, suffixes and middles of an item, of every length: contained only within the budget."""
+    rng = random.Random(length)
+    item = D.normalised(sentence(rng, length)[:length].encode())
+    items = D.Items([(1, item)])
+    e, m = int(items.edits[0]), len(item)
+    cuts = {item[a:a + n] for n in (*range(m - 2 * e - 4, m + 1), m // 2, m - 54, D.Q, 1) if n > 0 for a in (0, (m - n) // 2, m - n)}
+    texts = sorted({D.normalised(t.encode()) for t in cuts} - {""})
+    got = {d: c for d, _, _, _, c in items.matches(texts)}
+    assert got == {d: c for d, c in ((d, best_edits(t, item)) for d, t in enumerate(texts)) if c <= e}
+    assert any(len(t) < m - e - 1 for t in texts)
+
+
+def test_a_document_that_is_a_cut_does_not_fail_the_job(spark):
+    item = sentence(random.Random(4), 59)
+    docs = spark.createDataFrame([(1, item), (2, " ".join(item.split()[:50])), (3, " ".join(item.split()[5:55]))], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert sorted(r.doc_id for r in D.drop_leaks(docs, benchmark).collect()) == [2, 3]
