@@ -56,17 +56,26 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id_col, fp long) for every row of ``docs``."""
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def text_key(text_col: str):
+    """A hash of the text (null as empty) that tells rows of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                 keyed: bool = False) -> DataFrame:
+    """(id_col, fp long) for every row of ``docs``; ``keyed``: and ``__key``, the text's hash."""
+    key = [text_key(text_col).alias("__key")] if keyed else []
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *key)
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in utf8(b, "text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]],
+                                             names=["id", "fp", *b.schema.names[2:]])
 
     kind = src.schema["id"].dataType.simpleString()
-    return src.mapInArrow(run, f"id {kind}, fp long").withColumnRenamed("id", id_col)
+    schema = f"id {kind}, fp long" + (", __key long" if keyed else "")
+    return src.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def _blocks(max_bits: int) -> list[tuple[int, int]]:
@@ -116,6 +125,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     input: no rows. Columns other than the two named are ignored, whatever their names.
     """
     fps = materialise(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
+    return _with_components(fps, id_col, max_bits, block_limit)
+
+
+def _with_components(fps: DataFrame, id_col: str, max_bits: int, block_limit: int) -> DataFrame:
+    """``fps`` (id_col, fp and other columns; written) with the root and component_id of each row."""
     first = fps.groupBy("fp").agg(F.min(id_col).alias("first_id"))
     links = close_pairs(first.select("fp"), max_bits, block_limit)
     roots = connected_components(links)
@@ -123,7 +137,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
              .select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
     least = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
     comp = known.select("fp", "root").join(least, "root")
-    return fps.join(comp, "fp").select(id_col, "fp", "root", "component_id")
+    return fps.join(comp, "fp").select(*fps.columns, "root", "component_id")
 
 
 def hex_fingerprint(fp):
@@ -131,14 +145,18 @@ def hex_fingerprint(fp):
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                     max_bits: int = 2) -> DataFrame:
+                     max_bits: int = 2, block_limit: int = 64) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id (of repeated rows with
-    that id, the smallest text). A component whose ids are all null keeps one of its rows."""
-    chosen = (simhash_components(docs, id_col, text_col, shingle, max_bits)
+    that id, the smallest text). A component whose ids are all null keeps one of its rows, the one with
+    the smallest text. Rows are told apart by id and text, so a null or repeated id that lies in several
+    components keeps a row of its own in each."""
+    fps = materialise(fingerprints(docs, id_col, text_col, shingle, keyed=True), "simhash-fp")
+    chosen = (_with_components(fps, id_col, max_bits, block_limit)
               .where(F.col(id_col).eqNullSafe(F.col("component_id")))
-              .select(F.col(id_col).alias("__id"), F.col("root").alias("__root")).distinct())
-    rows = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__rid"), F.col(text_col).alias("__text"))
-    kept = rows.join(chosen, rows["__rid"].eqNullSafe(chosen["__id"]))
-    one = Window.partitionBy("__rid", "__root").orderBy(F.col("__text").asc_nulls_last())
+              .select(F.col(id_col).alias("__id"), F.col("__key"), F.col("root").alias("__root")).distinct())
+    rows = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__rid"), F.col(text_col).alias("__text"),
+                       text_key(text_col).alias("__rkey"))
+    kept = rows.join(chosen, rows["__rid"].eqNullSafe(chosen["__id"]) & (rows["__rkey"] == chosen["__key"]))
+    one = Window.partitionBy("__root").orderBy(F.col("__text").asc_nulls_last())
     kept = kept.withColumn("__n", F.row_number().over(one)).where("__n = 1")
     return kept.select("__row.*")

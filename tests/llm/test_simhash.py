@@ -9,6 +9,8 @@ import xxhash
 from binlens.llm import simhash
 from binlens.llm.components import connected_components
 
+from llm.conftest import sentence
+
 
 def plain_fingerprint(text, k=3):
     words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
@@ -87,3 +89,15 @@ def test_one_row_of_each_group_stays(docs, clashing, corpus, empty_docs):
     assert {r.doc_id for r in kept if r.doc_id is not None} == {c for c in comp.values() if c is not None}
     assert simhash.drop_near_copies(clashing).columns == clashing.columns
     assert simhash.drop_near_copies(empty_docs).count() == 0
+
+
+def test_null_and_repeated_ids_keep_a_row_in_each_component(spark):
+    """Rows of one id whose texts lie in different components: every component keeps its own text."""
+    rng = random.Random(11)
+    texts = [sentence(rng, 60) for _ in range(9)]
+    rows = [(None, t) for t in texts[:4]] + [(None, texts[0])]            # four components without ids, one with a copy
+    rows += [(5, texts[4]), (5, texts[5]), (5, texts[4])]                 # a repeated id in two components
+    rows += [(3, texts[6]), (8, texts[6]), (8, texts[7]), (None, texts[7]), (1, texts[8]), (None, None), (None, "")]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(None, t) for t in texts[:4]] + [(5, texts[4]), (5, texts[5]), (3, texts[6]), (8, texts[7]), (1, texts[8]), (None, "")]
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(want, key=str)
