@@ -1,17 +1,18 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-The filter holds the quantised counts of words and word pairs: an n-gram of count ``c`` is inserted with
-levels 1 to ``1 + floor(log_b(c / tau))``, and its count is read back by probing level after level until
-one is absent. ``tau`` is the ``THETA`` share of all training tokens (1 at least), so the levels inserted
-for each order number at most ``1 / (THETA * (b - 1))`` however large the corpus is: the filter's size is
-bounded, and it is built in regions on the workers and broadcast.
+The filter holds the quantised counts of all words and word pairs of the training texts: an n-gram of count
+``c`` is inserted with levels 1 to ``1 + floor(log_b(c))``, and its count is read back by probing level after
+level until one is absent. It grows with the distinct n-grams and is cut into regions by n-gram hash, as many
+as keep a region's share of the input small, so no task and not the driver holds all of it.
 
 1. Words are counted over all training texts (map-side sums, then one aggregation).
-2. Words of at least the ``VOCABULARY`` share of all tokens (at most ``1 / VOCABULARY`` words) are the
-   pair vocabulary; pairs of them are counted over all training texts.
-3. Texts stream through the workers. The probability of a word interpolates the pair and word estimates,
-   both from filter probes. The exact add-one score takes the vocabulary's counts from the broadcast and
-   the other words' by a join on the word, partial sums added per text.
+2. Texts are packed into runs of ``RUN_BYTES``. A run sends each region its distinct n-grams there, with how
+   often the run's training texts have them.
+3. A region adds the counts, builds its bits, probes every n-gram it was sent and answers each run with levels.
+4. A run meets its answers and scores its texts: the probability of a word interpolates the pair and word
+   estimates, both from filter probes. The exact add-one score takes the counts of words of at least the
+   ``VOCABULARY`` share of all tokens (at most ``1 / VOCABULARY`` words) from a broadcast and the other words'
+   by a join on the word, partial sums added per text.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from binlens.llm.common import held_out, materialise, mix64, text_runs, utf8, words_of
 
-THETA = 2.0**-24
 VOCABULARY = 5e-7
 BASE = math.sqrt(2.0)
 #: Weight of the pair estimate.
@@ -36,7 +37,9 @@ HASHES = 4
 BITS_PER_LEVEL = 10
 REGIONS = 64
 RUN_BYTES = 4_000_000
-#: Words and pairs held by a counting task before it passes its sums on.
+#: Bytes of text for each region beyond ``REGIONS`` of them.
+REGION_BYTES = 6_000_000
+#: Words held by a counting task before it passes its sums on.
 HELD = 2_000_000
 #: The token after the last word; no word is empty.
 END = b""
@@ -48,10 +51,15 @@ def _hash_word(word: bytes) -> int:
 
 
 def pair_hash(key: np.ndarray) -> np.ndarray:
-    """Gram hash of vocabulary pairs ``first << 32 | second``."""
+    """Gram hash of 64-bit pair keys."""
     return mix64(key.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
 
 
+def pair_gram(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Gram hash of word pairs from the words' hashes."""
+    return pair_hash(mix64(first) * _TWO + second)
+
+
 def levels_of(count, tau: float):
     """Levels inserted for counts of ``tau`` or more."""
     return 1 + np.floor(np.log(np.asarray(count, float) / tau) / math.log(BASE) + 1e-9).astype(np.int64)
@@ -74,9 +82,21 @@ def region_of(gram: np.ndarray) -> np.ndarray:
     return (gram >> np.uint64(58)).astype(np.int64)
 
 
+def filter_bytes(levels: int, regions: int = 1) -> int:
+    """Bytes of a region for a number of levels inserted in all ``regions``."""
+    return max(64, math.ceil(levels * BITS_PER_LEVEL * 1.1 / regions / 8))
+
+
+def insert(mine: np.ndarray, gram: np.ndarray, levels: np.ndarray):
+    """Set the bits (one bool each) of gram hashes at levels 1 to ``levels`` in a region."""
+    for j in range(1, int(levels.max(initial=0)) + 1):
+        for p in _places(gram[levels >= j], j, len(mine)):
+            mine[p] = True
+
+
 class Filter:
     def __init__(self, regions: np.ndarray, tau: float):
-        self.regions, self.tau = regions, tau       # (REGIONS, bytes)
+        self.regions, self.tau = regions, tau       # (REGIONS or 1, bytes)
         self.bits = regions.shape[1] * 8
         self.flat = regions.ravel()
 
@@ -84,7 +104,7 @@ class Filter:
         """Levels present for each gram hash: probes go on only for grams whose last probe succeeded."""
         out = np.zeros(len(gram), np.int64)
         left = np.arange(len(gram))
-        base = region_of(gram) * self.regions.shape[1]
+        base = (region_of(gram) if len(self.regions) > 1 else np.zeros(len(gram), np.int64)) * self.regions.shape[1]
         level = 0
         while len(left):
             level += 1
@@ -121,61 +141,135 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-class Vocabulary:
-    """Frequent words by id, with their exact counts."""
-
-    def __init__(self, words: list[bytes], counts):
-        self.words, self.counts = words, np.asarray(counts, np.int64)
-        self.ids = {w: i for i, w in enumerate(words)}
+class Grams:
+    """Words and pairs of texts, each text closed by END and preceded by it."""
 
-    def encode(self, texts: list[bytes | None]):
-        """(tokens, ids, lengths): the texts' tokens one after the other, each text closed by END."""
+    def __init__(self, texts: list[bytes | None]):
         tokens, lengths = [], []
         for t in texts:
             words = words_of(t)
             words.append(END)
             tokens += words
             lengths.append(len(words))
-        get = self.ids.get
-        return tokens, np.array([get(w, -1) for w in tokens], np.int64), np.array(lengths, np.int64)
-
-    def pairs(self, ids: np.ndarray, lengths: np.ndarray):
-        """(index of the second token, pair key) where both are in the vocabulary; END precedes a text."""
-        before = np.concatenate(([0], ids[:-1])) if len(ids) else ids
-        before[np.cumsum(lengths) - lengths] = self.ids.get(END, -1)
-        at = np.flatnonzero((before >= 0) & (ids >= 0))
-        return at, before[at] << 32 | ids[at]
-
-
-def pair_counts(docs: DataFrame, sent) -> DataFrame:
-    """(pair, c) of vocabulary pairs over rows of (text); ``sent`` broadcasts (words, counts)."""
+        self.lengths = np.array(lengths, np.int64)
+        self.words = list(dict.fromkeys(tokens))        # distinct, ``word`` numbers them
+        ids = {w: i for i, w in enumerate(self.words)}
+        self.word = np.fromiter(map(ids.__getitem__, tokens), np.int32, len(tokens))
+        del tokens
+        self.before = np.roll(self.word, 1)
+        self.before[np.cumsum(self.lengths) - self.lengths] = ids.get(END, 0)
+        key, pair = np.unique(self.before.astype(np.int64) * len(self.words) + self.word, return_inverse=True)
+        self.pair = pair.astype(np.int32)
+        hashes = np.fromiter(map(_hash_word, self.words), np.uint64, len(self.words))
+        n = max(len(self.words), 1)
+        both = np.concatenate((hashes, pair_gram(hashes[key // n], hashes[key % n])))
+        #: sorted distinct gram hashes (of 56 bits, the lowest 8 are 0), and where each distinct word and pair is in them
+        self.grams, at = np.unique(both & ~np.uint64(255), return_inverse=True)
+        self.word_at, self.pair_at = at[:len(hashes)], at[len(hashes):]
+
+    def times(self, counted: np.ndarray) -> np.ndarray:
+        """How often each gram occurs in the texts marked by ``counted``."""
+        w = np.repeat(counted, self.lengths)
+        out = np.bincount(self.word_at[self.word[w]], minlength=len(self.grams))
+        return out + np.bincount(self.pair_at[self.pair[w]], minlength=len(self.grams))
+
+
+def pack_runs(src: DataFrame) -> DataFrame:
+    """(run, size, packed): rows of ``src`` (with text) in compressed runs of ``RUN_BYTES`` of text, one text at least."""
     def run(batches):
-        vocabulary = Vocabulary(*sent.value)
+        part, made = TaskContext.get().partitionId(), 0
         held, size = [], 0
 
-        def rows():
-            key, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["pair", "n"])
+        def row():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for x in held:
+                    out.write_batch(x)
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | made]), pa.array([size]), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                                              names=["run", "size", "packed"])
 
         for b in batches:
             raw = utf8(b, "text")
             for lo, hi in text_runs(raw, RUN_BYTES):
-                _, ids, lengths = vocabulary.encode(raw[lo:hi])
-                held.append(vocabulary.pairs(ids, lengths)[1])
-                size += len(held[-1])
-                if size > HELD:
-                    yield rows()
-                    held, size = [], 0
+                n = sum(len(t) for t in raw[lo:hi] if t)
+                if held and size + n > RUN_BYTES:
+                    yield row()
+                    held, size, made = [], 0, made + 1
+                held.append(b.slice(lo, hi - lo))
+                size += n
         if held:
-            yield rows()
+            yield row()
+
+    return src.mapInArrow(run, "run long, size long, packed binary")
+
+
+def unpacked(packed) -> pa.RecordBatch:
+    return pa.ipc.open_stream(pa.py_buffer(packed)).read_all().combine_chunks().to_batches()[0]
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers byte by byte of all, compressed: sorted hashes share their high bytes, most counts are small."""
+    width = numbers.dtype.itemsize
+    data = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, width).T).tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
-    # hashed first: nearly every pair of one task is new to it, so a map-side table would not shrink them
-    return (docs.select("text").mapInArrow(run, "pair long, n long").repartition("pair")
-            .groupBy("pair").agg(F.sum("n").alias("c")))
+
+def _from_planes(data: bytes, kind) -> np.ndarray:
+    data = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    planes = np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def gram_levels(runs: DataFrame, regions: int) -> DataFrame:
+    """(run, region, levels): filter levels of each run's sorted distinct grams, a byte each, in ``regions``
+    (a power of two) ranges of the gram hash. The filter holds the grams of rows that are not held out."""
+    shift = np.uint64(64 - (regions.bit_length() - 1))
+
+    def probes(batches):
+        for b in batches:
+            for run, packed in zip(b.column(0).to_pylist(), b.column(1)):
+                rows = unpacked(packed.as_buffer())
+                g = Grams(utf8(rows, "text"))
+                times = g.times(~rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool)).astype(np.uint32)
+                of = (g.grams >> shift).astype(np.int64)
+                there = np.unique(of)
+                lo, hi = np.searchsorted(of, there, "left"), np.searchsorted(of, there, "right")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(there.astype(np.int32)), pa.array([run] * len(there), pa.int64()),
+                     pa.array([_planes(g.grams[i:j]) for i, j in zip(lo, hi)], pa.binary()),
+                     pa.array([_planes(times[i:j]) for i, j in zip(lo, hi)], pa.binary())],
+                    names=["region", "run", "grams", "times"])
+
+    def answer(table):
+        # a region's share of the input is bounded by the number of regions
+        grams = [_from_planes(x, np.uint64) for x in table.column("grams").to_pylist()]
+        ends = np.cumsum([len(x) for x in grams])
+        gram, back = np.unique(np.concatenate(grams), return_inverse=True)
+        del grams
+        times = np.concatenate([_from_planes(x, np.uint32) for x in table.column("times").to_pylist()])
+        c = np.bincount(back, times).astype(np.int64)
+        top = levels_of(c[c > 0], 1.0)
+        mine = np.zeros(filter_bytes(int(top.sum())) * 8, bool)
+        insert(mine, gram[c > 0], top)
+        levels = Filter(np.packbits(mine, bitorder="little")[None], 1.0).levels(gram).astype(np.uint8)[back]
+        out = [x.tobytes() for x in np.split(levels, ends[:-1])]
+        return pa.table([table.column("run"), table.column("region"), pa.array(out, pa.binary())], names=["run", "region", "levels"])
+
+    sent = runs.select("run", "packed").mapInArrow(probes, "region int, run long, grams binary, times binary")
+    return sent.groupBy("region").applyInArrow(answer, "run long, region int, levels binary")
+
+
+class Vocabulary:
+    """Frequent words by id, with their exact counts."""
+
+    def __init__(self, words: list[bytes], counts):
+        self.words, self.counts = words, np.asarray(counts, np.int64)
+        self.ids = {w: i for i, w in enumerate(words)}
 
 
 def build_filter(words: DataFrame, pairs: DataFrame, tau: float) -> np.ndarray:
-    """Bit regions over the words (word, c) and pairs (pair, c) of count ``tau`` or more."""
+    """The filter in one array: bit regions over the words (word, c) and pairs (pair, c) of count ``tau`` or
+    more. ``lm_scores`` doesn't gather it; this is for looking into a small one."""
     def hashed(batches):
         for b in batches:
             g = pair_hash(b.column(0).to_numpy(zero_copy_only=False))
@@ -186,7 +280,7 @@ def build_filter(words: DataFrame, pairs: DataFrame, tau: float) -> np.ndarray:
     grams = materialise(grams, "lm-grams")
     level = F.floor(F.log(F.col("c") / F.lit(tau)) / F.lit(math.log(BASE)) + F.lit(1e-9)) + 1
     total = grams.agg(F.sum(level)).first()[0] or 0
-    width = max(64, math.ceil(total * BITS_PER_LEVEL * 1.1 / REGIONS / 8))       # bytes of a region
+    width = filter_bytes(total, REGIONS)
 
     def fill(batches):
         bits = {}
@@ -196,10 +290,7 @@ def build_filter(words: DataFrame, pairs: DataFrame, tau: float) -> np.ndarray:
             region = region_of(gram)
             for r in np.unique(region):
                 mine = bits.setdefault(int(r), np.zeros(width * 8, bool))
-                g, t = gram[region == r], top[region == r]
-                for j in range(1, int(t.max()) + 1):
-                    for p in _places(g[t >= j], j, width * 8):
-                        mine[p] = True
+                insert(mine, gram[region == r], top[region == r])
         for r, mine in sorted(bits.items()):
             yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([np.packbits(mine, bitorder="little").tobytes()],
                                                                                 pa.binary())], names=["region", "bits"])
@@ -212,38 +303,28 @@ def build_filter(words: DataFrame, pairs: DataFrame, tau: float) -> np.ndarray:
 
 
 class Scorer:
-    def __init__(self, vocabulary: Vocabulary, bloom: Filter, tokens: int, distinct: int):
-        self.v, self.bloom, self.total = vocabulary, bloom, tokens + distinct + 1
-        hashes = np.fromiter(map(_hash_word, vocabulary.words), np.uint64, len(vocabulary.words))
-        self.seen = bloom.counts(hashes)        # of vocabulary words, by probes
+    def __init__(self, vocabulary: Vocabulary, tokens: int, distinct: int):
+        self.v, self.total = vocabulary, tokens + distinct + 1
         self.exact = np.log10((vocabulary.counts + 1) / self.total)
 
-    def run(self, texts: list[bytes | None]):
-        """Per text: tokens, known and add-one score over vocabulary words, model score, other words."""
-        tokens, ids, lengths = self.v.encode(texts)
-        text = np.repeat(np.arange(len(texts)), lengths)
+    def run(self, texts: list[bytes | None], levels: np.ndarray):
+        """Per text: tokens, known and add-one score over vocabulary words, model score, other words. ``levels``
+        are those of the texts' sorted distinct grams."""
+        g = Grams(texts)
+        text = np.repeat(np.arange(len(texts)), g.lengths)
+        ids = np.fromiter((self.v.ids.get(w, -1) for w in g.words), np.int64, len(g.words))[g.word]
         known = ids >= 0
         n_known = np.bincount(text[known], minlength=len(texts))
         base = np.bincount(text[known], self.exact[ids[known]], len(texts))
-        count = np.empty(len(ids))
-        count[known] = self.seen[ids[known]]
-        rare = np.flatnonzero(~known)
-        if len(rare):
-            h = np.fromiter((_hash_word(tokens[i]) for i in rare), np.uint64, len(rare))
-            distinct, back = np.unique(h, return_inverse=True)
-            count[rare] = self.bloom.counts(distinct)[back]
-        p = (count + 1) / self.total
-        at, key = self.v.pairs(ids, lengths)
-        if len(at):
-            distinct, back = np.unique(key, return_inverse=True)
-            both = self.bloom.counts(pair_hash(distinct))
-            first = self.seen[distinct >> 32]
-            share = np.where(first > 0, np.minimum(both / np.maximum(first, 1e-9), 1.0), 0.0)[back]
-            mixed = PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * p[at]
-            p[at] = np.where((first > 0)[back], mixed, p[at])
+        counts = level_count(levels, 1.0)
+        seen, both = counts[g.word_at], counts[g.pair_at][g.pair]
+        p, first = (seen[g.word] + 1) / self.total, seen[g.before]
+        share = np.minimum(both / np.maximum(first, 1e-9), 1.0)
+        p = np.where(first > 0, PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * p, p)
         score = np.bincount(text, np.log10(np.minimum(p, 1.0)), len(texts))
-        others = Counter(zip(text[rare].tolist(), (tokens[i] for i in rare)))
-        return lengths, n_known, base, score, others
+        rare = np.flatnonzero(~known)
+        others = Counter(zip(text[rare].tolist(), (g.words[i] for i in g.word[rare])))
+        return g.lengths, n_known, base, score, others
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2) -> DataFrame:
@@ -266,36 +347,36 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     frequent = words.where(F.col("c") >= max(1.0, VOCABULARY * tokens)).orderBy(F.desc("c"), "word").toArrow()
     frequent = (frequent.column("word").cast(pa.binary()).to_pylist(), frequent.column("c").to_numpy())
     sent = spark.sparkContext.broadcast(frequent)
-    tau = max(1.0, THETA * tokens)
-    bits = build_filter(words, pair_counts(train, sent), tau)
-    bloom = spark.sparkContext.broadcast(bits)
+    runs = materialise(pack_runs(src), "lm-runs")
+    size = runs.agg(F.sum("size")).first()[0] or 0
+    answers = gram_levels(runs, max(REGIONS, 1 << math.ceil(math.log2(max(1, size / REGION_BYTES)))))
 
     kind = src.schema["id"].dataType.simpleString()
     schema = (f"id {kind}, held_out boolean, key long, n_tokens long, n_known long, base double, score double, "
               "word string, times long")
     names = [x.split()[0] for x in schema.split(", ")]
-
-    def run(batches):
-        scorer = Scorer(Vocabulary(*sent.value), Filter(bloom.value, tau), tokens, distinct)
-        for b in batches:
-            raw = utf8(b, "text")
-            for lo, hi in text_runs(raw, RUN_BYTES):
-                lengths, known, base, score, others = scorer.run(raw[lo:hi])
-                n = hi - lo
-                ids, held, keys = (b.column(i).slice(lo, n) for i in range(3))
-                yield pa.RecordBatch.from_arrays(
-                    [ids, held, keys, pa.array(lengths), pa.array(known), pa.array(base), pa.array(score),
-                     pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], names=names)
-                if others:
-                    k = len(others)
-                    at = pa.array([i for i, _ in others])
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(at), held.take(at), keys.take(at), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
-                         pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()),
-                         pa.array([w for _, w in others], pa.binary()).cast(pa.string()), pa.array(list(others.values()), pa.int64())],
-                        names=names)
-
-    parts = materialise(src.mapInArrow(run, schema), "lm-parts")
+    made = []
+
+    def score(packed, answered):
+        if not made:        # once for each task
+            made.append(Scorer(Vocabulary(*sent.value), tokens, distinct))
+        rows = unpacked(packed.column("packed")[0].as_buffer())
+        levels = b"".join(answered.sort_by("region").column("levels").to_pylist())
+        lengths, known, base, total, others = made[0].run(utf8(rows, "text"), np.frombuffer(levels, np.uint8))
+        ids, held, keys = rows.columns[:3]
+        out = [pa.table([ids, held, keys, pa.array(lengths), pa.array(known), pa.array(base), pa.array(total),
+                         pa.nulls(len(ids), pa.string()), pa.nulls(len(ids), pa.int64())], names=names)]
+        if others:
+            k = len(others)
+            at = pa.array([i for i, _ in others])
+            out.append(pa.table([ids.take(at), held.take(at), keys.take(at), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
+                                 pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()),
+                                 pa.array([w for _, w in others], pa.binary()).cast(pa.string()), pa.array(list(others.values()), pa.int64())],
+                                names=names))
+        return pa.concat_tables(out)
+
+    scored = runs.select("run", "packed").groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(score, schema)
+    parts = materialise(scored, "lm-parts")
     main = parts.where("word is null")
     counted = words.withColumnRenamed("word", "w2")
     rare = parts.where("word is not null").select("id", "key", "word", "times")
