@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binlens.llm import decontaminate, html_extract, lm_score, mixing, quality, sharding, simhash, suffix_dedup, toxicity, warc
+from binlens.llm import (decontaminate, fill_middle, html_extract, lm_score, mixing, personal_data, quality, sharding, simhash,
+                         suffix_dedup, toxicity, warc, whitening)
 from binlens.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +140,37 @@ def op8(spark, sf_dir):
 @query("op2_html_extraction")
 def op2(spark, sf_dir):
     return html_extract.extract_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+@query("op11_personal_data")
+def op11(spark, sf_dir):
+    """Base kinds counted and listed; ``spans`` also holds what the validators and the context confirm beyond them."""
+    found = personal_data.find_personal(table(spark, sf_dir, "documents", "doc_id", "text"))
+    spans = F.col("spans")
+    return found.select("doc_id", *[personal_data.count_of(spans, k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
+                        F.sha2(personal_data.listed(F.filter(spans, lambda s: s["base"])), 256).alias("base_sha256"),
+                        personal_data.listed(spans).alias("spans"))
+
+
+@query("op12_fill_middle", """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS units, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+      ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+c AS (SELECT *, len(units)::BIGINT AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS x, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS y,
+      CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+           WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+t AS (SELECT *, array_to_string(units[1:x], '') AS pre, array_to_string(units[x + 1:y], '') AS mid, array_to_string(units[y + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+              ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM t""")
+def op12(spark, sf_dir):
+    """Lines as units, every text cut, half of them with the suffix first."""
+    out = fill_middle.fill_in_middle(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                      F.sha2(fill_middle.restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"))
+
+
+@query("op13_whitening")
+def op13(spark, sf_dir):
+    """Up to 16 components of the vectors on a grid of 1/64."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
