@@ -72,7 +72,7 @@ class Machine:
     def margins(self, row: np.ndarray, p: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Margin of each of ``n`` texts, and their factor sums."""
         out = np.full(n, self.b) + np.bincount(row, self.w[p], n)
-        sums = np.stack([np.bincount(row, self.v[p, f], n) for f in range(self.v.shape[1])], 1).astype(float)
+        sums = np.stack([np.bincount(row, self.v[p, f], n) for f in range(self.v.shape[1])], 1).astype(float)   # no terms: integers
         squares = np.bincount(row, (self.v[p] ** 2).sum(1), n)
         return out + 0.5 * ((sums**2).sum(1) - squares), sums
 
@@ -112,7 +112,7 @@ def fit_machine(texts: list[bytes | None], labels: np.ndarray, passes: int = 90,
         m, sums = model.margins(row, p, n)
         g = weight * (1 / (1 + np.exp(-np.clip(m, -30, 30))) - labels)
         dw = np.bincount(p, g[row], k) + decay * model.w / max(k, 1)
-        dv = np.stack([np.bincount(p, g[row] * sums[row, f], k) for f in range(rank)], 1)
+        dv = np.stack([np.bincount(p, g[row] * sums[row, f], k) for f in range(rank)], 1).astype(float)
         dv -= np.bincount(p, g[row], k)[:, None] * model.v
         dv += decay * model.v / max(k, 1)
         db = g.sum()

@@ -69,3 +69,8 @@ def test_odd_rows(spark, docs, clashing, empty_docs):
     assert sorted(map(str, T.toxicity_scores(clashing, labels).collect())) == sorted(map(str, a.collect()))
     assert T.toxicity_scores(empty_docs, labels).count() == 0
     assert T.toxicity_scores(docs, labels.limit(0)).count() == docs.count()
+
+
+def test_no_telling_term():
+    m = T.fit_machine([b"alpha", b"beta"], np.array([0, 1]))
+    assert m.scores([b"alpha", b"other", b"", None], {}) == pytest.approx([0.5] * 4, abs=1e-3)
