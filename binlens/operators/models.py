@@ -44,10 +44,10 @@ def random_forest(n_trees=10, max_depth=5, max_features="auto", seed=1, impurity
 def boosted_trees(rounds=100, learning_rate=0.3, max_depth=11, colsample=0.8317, subsample=0.9099,
                   min_child_weight=3, gamma=0.292, n_rows=None, seed=0, features="features", label="label",
                   validation_col=None, tol=0.01):
-    """Gradient boosting. Gaps: no L2 leaf penalty, first-order steps, column sampling per
-    node. ``gamma`` is a loss reduction summed over a node's rows, Spark's threshold one per row: it is
-    divided by ``n_rows``, the rows of the largest node (without it no threshold is set).
-    Early stopping: ``validation_col`` marks the evaluation rows; ``tol`` the patience."""
+    """Spark's own gradient boosting (first-order steps, no L2 leaf penalty, columns drawn per node); ``newton`` has the
+    second-order kind with patience. ``gamma`` is a loss reduction summed over a node's rows, Spark's threshold one per row: it
+    is divided by ``n_rows``, the rows of the largest node (without it no threshold is set). ``validation_col`` marks the evaluation
+    rows; fitting ends in the first round whose error falls by less than a share ``tol``."""
     _check_depth(max_depth)
     kw = {}
     if validation_col:

@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binlens.operators import boosting, knn, models, sgd
+from binlens.operators import boosting, knn, models, newton, sgd
 from binlens.operators.models import score_frame
 
 
@@ -73,7 +73,7 @@ def builders(n_features: int, n_rows: int | None = None, ensemble: bool = False)
         "decision_tree": _spark_ml("decision_tree", models.decision_tree(max_depth=5, min_leaf=1, seed=0)),
         "random_forest": _spark_ml("random_forest", models.random_forest(n_trees=18, max_depth=5, max_features=3, seed=1) if ensemble
                                    else models.random_forest(n_trees=10, max_depth=3, max_features="auto", seed=1)),
-        "boosting": _spark_ml("boosting", models.boosted_trees(rounds=100, learning_rate=0.3, max_depth=11, n_rows=n_rows)),
+        "boosting": _custom("boosting", lambda tr: newton.fit_boosted(tr, rounds=100)),
         "mlp": _spark_ml("mlp", models.mlp(n_features, hidden=(21,) if ensemble else (100,), max_iter=1000)),
         "adaboost": _custom("adaboost", lambda tr: boosting.fit_adaboost(tr, rounds=50)),
         "logistic": _spark_ml("logistic", models.logistic(C=1.0, n_rows=n_rows)),

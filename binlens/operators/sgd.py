@@ -83,3 +83,67 @@ def fit_sgd(train: DataFrame, loss: str = "hinge", alpha: float = 1e-4, max_iter
         prev = step
     data.unpersist()
     return SGDLinearModel(w, b, loss, features_col)
+
+
+def search_sgd(train: DataFrame, candidates: list[dict], folds: list[int], fold_col: str = "cv_fold", max_iter: int = 50, eta0: float = 0.5, tol: float = 1e-4,
+               features_col: str = "features", label_col: str = "label") -> DataFrame:
+    """(candidate, fold, split = 'test', n, ap, pp, tp, hit) of every {loss, alpha} on every fold.
+
+    All candidate x fold models step together: one pass sums the gradients of all of them (models x (d + 2) numbers), and one
+    more pass counts each model's hits on its fold. A model that has converged stays where it is.
+    """
+    data = train.select(vector_to_array(F.col(features_col)).alias("x"), (F.col(label_col).cast("double") * 2.0 - 1.0).alias("y"), F.col(fold_col).cast("int").alias("fold")).cache()
+    jobs = [(i, f) for i in range(len(candidates)) for f in folds]
+    loss, alpha = [candidates[i]["loss"] for i, _ in jobs], np.array([float(candidates[i]["alpha"]) for i, _ in jobs])
+    out_fold, m = np.array([f for _, f in jobs]), len(jobs)
+    first = data.first()
+    d = len(first["x"]) if first else 0
+    w, b, prev, live = np.zeros((m, d)), np.zeros(m), np.full(m, np.inf), np.ones(m, bool)
+
+    def margins(pdf, w, b):
+        y, inside = pdf["y"].to_numpy()[:, None], pdf["fold"].to_numpy()[:, None] != out_fold[None, :]
+        x = np.stack(pdf["x"].to_numpy())
+        return x, y, inside, x @ w.T + b
+
+    for t in range(1, max_iter + 1):
+        if not live.any():
+            break
+
+        def grads(it, w=w.copy(), b=b.copy()):
+            total = np.zeros((m, d + 2))
+            for pdf in it:
+                if pdf.empty:
+                    continue
+                x, y, inside, z = margins(pdf, w, b)
+                g = np.empty_like(z)
+                for kind in set(loss):
+                    at = np.array([k == kind for k in loss])
+                    g[:, at] = _dloss(kind, (y * z)[:, at]) * y
+                g *= inside
+                total += np.column_stack([g.T @ x, g.sum(0), inside.sum(0)])
+            yield pd.DataFrame({"v": [total.ravel()]})
+
+        tot = vector_sum(data.mapInPandas(grads, "v array<double>"), m * (d + 2)).reshape(m, d + 2)
+        n = np.maximum(tot[:, d + 1], 1)[:, None]
+        eta = eta0 / np.sqrt(t)
+        gw, gb = tot[:, :d] / n + alpha[:, None] * w, tot[:, d] / n[:, 0]
+        w[live] -= eta * gw[live]
+        b[live] -= eta * gb[live]
+        step = np.abs(eta * gw).max(1, initial=0.0)
+        live &= ~((step < tol) & np.isfinite(prev))
+        prev = step
+
+    def count(it):
+        total = np.zeros((m, 5))
+        for pdf in it:
+            if pdf.empty:
+                continue
+            _, y, inside, z = margins(pdf, w, b)
+            held, one, hit = ~inside, (y > 0) & np.ones_like(inside), (z > 0) == (y > 0)
+            total += np.column_stack([(held & c).sum(0) for c in (True, one, z > 0, one & (z > 0), hit)])
+        yield pd.DataFrame({"v": [total.ravel()]})
+
+    got = vector_sum(data.mapInPandas(count, "v array<double>"), m * 5).reshape(m, 5).astype(int).tolist()
+    data.unpersist()
+    return train.sparkSession.createDataFrame([(i, f, "test", *c) for (i, f), c in zip(jobs, got)],
+                                              "candidate int, fold int, split string, n long, ap long, pp long, tp long, hit long")

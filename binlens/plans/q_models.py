@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binlens.operators import models, reduce, roster
+from binlens.operators import models, newton, reduce, roster
 from binlens.operators.evaluate import classification_report
 from binlens.operators.models import score_frame
 from binlens.plans.prepared import CV_FOLDS, names_frame, prepared, train_test
@@ -120,17 +120,32 @@ def q_gbt(spark, sf):
     return _fit_one(spark, sf, "boosting")
 
 
+_STOPPED: dict[tuple, newton.BoostedModel] = {}
+
+
+def early_stopped(spark: SparkSession, sf: str) -> newton.BoostedModel:
+    """Up to 1,000 rounds, 10 rounds' patience on the rmse of CV fold 0 of the training rows (not the test rows); the trees of the best
+    round are kept. Fitted once per session and scale factor."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STOPPED:
+        _STOPPED[key] = newton.fit_boosted(train_test(spark, sf)[0], rounds=1000, held_fold=0, fold_col="cv_fold", patience=10)
+    return _STOPPED[key]
+
+
 @query("fit_gbt_early_stop")
 def q_gbt_es(spark, sf):
-    """Up to 1,000 rounds, stopping when the validation slice (CV fold 0 of the training
-    rows, not the test rows) stops improving."""
-    train, test, _ = train_test(spark, sf)
-    tv = train.withColumn("is_val", F.col("cv_fold") == 0)
-    m = models.boosted_trees(rounds=1000, learning_rate=0.3, max_depth=11, n_rows=tv.count(), validation_col="is_val",
-                             tol=0.01).fit(tv)
-    return score_frame(m.transform(test)).select(F.lit("boosting_early_stop").alias("model"), "id", "label",
-                                                 "prediction", F.round("score", R).alias("score"),
-                                                 F.lit(m.getNumTrees).alias("rounds"))
+    """The scores of the early-stopped booster on the test rows, and the rounds it kept."""
+    test, m = train_test(spark, sf)[1], early_stopped(spark, sf)
+    return m.transform(test).select(F.lit("boosting_early_stop").alias("model"), "id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"),
+                                    F.round("score", R).alias("score"), F.lit(m.rounds).alias("rounds"))
+
+
+@query("boosting_trace")
+def q_boosting_trace(spark, sf):
+    """The error of every round on the fitted and the held-out rows, and whether its trees were kept."""
+    m = early_stopped(spark, sf)
+    rows = [(r, round(a, R), round(b, R), r <= m.rounds) for r, a, b in m.trace]
+    return spark.createDataFrame(rows, "round int, train_rmse double, validation_rmse double, kept boolean")
 
 
 @query("fit_linear_svm")

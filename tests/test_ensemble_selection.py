@@ -55,3 +55,71 @@ def test_space_draws_in_range():
 
 def test_min_leaf_rows():
     assert S.min_leaf_rows(0.1, 95) == 10 and S.min_leaf_rows(5, 95) == 5
+
+
+def test_adaptive_rounds_beat_seeded_draws():
+    space = {"x": ("uniform", -5, 5), "n": ("quniform", 1, 40, 1), "kind": ("choice", ["a", "b", "c", "d"])}
+    value = lambda p: -(p["x"] - 1.7) ** 2 - ((p["n"] - 31) / 8) ** 2 - 3 * (p["kind"] != "c")
+    wins = 0
+    for seed in range(12):
+        got = S.adaptive_rounds(space, lambda ps: [value(p) for p in ps], trials=60, batch=6, seed=seed)
+        drawn = S.sample_space(space, 60, seed)
+        assert len(got) == 60 and [p for p, _ in got[:6]] == S.sample_space(space, 6, seed)
+        assert all(-5 <= p["x"] <= 5 and 1 <= p["n"] <= 40 and p["kind"] in "abcd" and v == value(p) for p, v in got)
+        wins += max(v for _, v in got) > max(map(value, drawn))
+        late = [v for _, v in got[30:]]
+        assert sum(late) / len(late) > sum(map(value, drawn)) / 60
+    assert wins >= 10
+    assert S.adaptive_rounds(space, lambda ps: [value(p) for p in ps], 20, 6, 1) == S.adaptive_rounds(space, lambda ps: [value(p) for p in ps], 20, 6, 1)
+
+
+def test_adaptive_rounds_on_few_points():
+    got = S.adaptive_rounds({"k": ("quniform", 2, 3, 1)}, lambda ps: [p["k"] for p in ps], trials=9, batch=4)
+    assert len(got) == 9 and {p["k"] for p, _ in got} <= {2.0, 3.0}
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.RandomState(2)
+    y = rng.randint(0, 2, 120)
+    x = rng.normal(0, 1, (120, 3)) + 0.8 * y[:, None]
+    return spark.createDataFrame([(i, int(y[i]), i % 3, Vectors.dense(x[i].tolist())) for i in range(120)], ["id", "label", "fold", "features"]).repartition(3).cache(), x, y
+
+
+def test_linear_models_side_by_side_equal_single_fits(small):
+    from binlens.operators import sgd
+
+    df, _, _ = small
+    points = [{"loss": k, "alpha": a} for k in ("hinge", "log", "modified_huber", "perceptron") for a in (1e-4, 10)]
+    got = {(r.candidate, r.fold): tuple(r[3:]) for r in sgd.search_sgd(df, points, [0, 2], "fold", max_iter=12).collect()}
+    assert len(got) == 16
+    for (i, f), counts in list(got.items())[::3]:
+        m = sgd.fit_sgd(df.where(f"fold <> {f}"), max_iter=12, **points[i])
+        assert counts == S.counted(m.transform(df.where(f"fold = {f}")))
+
+
+def test_neighbour_candidates_share_a_join(small):
+    import numpy as np
+
+    from binlens.plans.q_select import knn_counts
+
+    df, x, y = small
+    got = {(r.candidate, r.fold): r for r in knn_counts(df, [{"n_neighbors": k, "p": p} for p in (1, 2) for k in (1, 4)], [1], "fold").collect()}
+    held = np.arange(120) % 3 == 1
+    for i, (p, k) in enumerate((p, k) for p in (1, 2) for k in (1, 4)):
+        d = (np.abs(x[held][:, None] - x[~held][None]) ** p).sum(-1)
+        votes = y[~held][np.argsort(d, 1)[:, :k]].mean(1)
+        assert got[i, 1].hit == ((votes > 0.5).astype(int) == y[held]).sum() and got[i, 1].n == held.sum()
+
+
+def test_a_fit_ends_as_one_row_of_counts(small):
+    from binlens.plans.q_select import _dt
+
+    df, _, _ = small
+    out = S.run_folds(df, [(0, {}, _dt()), (1, {}, _dt(1))], [0, 1, 2], "fold", score_train=True)
+    assert out.count() == 12 and out.where("split = 'test'").agg({"n": "sum"}).first()[0] == 240
+    per = S.fold_metrics(out, ["accuracy", "recall_macro"]).collect()
+    assert all(0 <= r.accuracy <= 1 and 0 <= r.recall_macro <= 1 for r in per)
