@@ -196,12 +196,12 @@ class _Density:
         return math.log(total / (len(self.at) + 1))
 
 
-def adaptive_rounds(space: dict[str, tuple], score: Callable[[list[dict]], list[float]], trials: int, batch: int = 10, seed: int = 0, good: float = 0.25,
-                    draws: int = 24) -> list[tuple[dict, float]]:
+def adaptive_rounds(space: dict[str, tuple], score: Callable[[list[dict]], list[float]], trials: int, batch: int = 10, seed: int = 0, good: float = 0.15,
+                    draws: int = 8) -> list[tuple[dict, float]]:
     """(params, value) of ``trials`` trials of ``space`` (as ``sample_space``), in order; larger values are better.
 
     The first batch is drawn from the space. Each later one compares, parameter by parameter, the density of the best ``good`` share of the trials so far
-    with that of the others, draws ``draws`` points a trial from the first and takes those whose ratio of densities is largest. ``score`` gets a whole batch, so that
+    with that of the others, draws ``draws`` points a trial from the first and takes the one whose ratio of densities is largest. ``score`` gets a whole batch, so that
     its fits can share their passes over the data.
     """
     rng = np.random.RandomState(seed)
@@ -215,16 +215,12 @@ def adaptive_rounds(space: dict[str, tuple], score: Callable[[list[dict]], list[
             ranked = sorted(done, key=lambda t: -t[1])
             cut = max(1, math.ceil(good * len(ranked)))
             best, rest = ({n: _Density(space[n], [_unit(space[n], p[n]) for p, _ in part]) for n in names} for part in (ranked[:cut], ranked[cut:]))
-            points = [{n: best[n].draw(rng) for n in names} for _ in range(draws * size)]
-            points.sort(key=lambda u: -sum(best[n].log(u[n]) - rest[n].log(u[n]) for n in names))
-            todo, seen = [], set()
-            for u in points:        # different points first
-                p = {n: _value(space[n], u[n]) for n in names}
-                if str(p) not in seen or len(points) - len(seen) < size:
-                    seen.add(str(p))
-                    todo.append(p)
-                if len(todo) == size:
-                    break
-            todo += [{n: _value(space[n], best[n].draw(rng)) for n in names} for _ in range(size - len(todo))]
+            todo, seen = [], {str(p) for p, _ in done}
+            for _ in range(size):
+                points = [{n: best[n].draw(rng) for n in names} for _ in range(draws)]
+                points.sort(key=lambda u: -sum(best[n].log(u[n]) - rest[n].log(u[n]) for n in names))
+                made = [{n: _value(space[n], u[n]) for n in names} for u in points]
+                todo.append(next((p for p in made if str(p) not in seen), made[0]))     # a point not tried yet, if any
+                seen.add(str(todo[-1]))
         done += list(zip(todo, score(todo)))
     return done
