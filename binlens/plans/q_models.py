@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binlens.operators import models, newton, reduce, roster
+from binlens.operators import models, newton, reduce, roster, tree_table
 from binlens.operators.evaluate import classification_report
 from binlens.operators.models import score_frame
 from binlens.plans.prepared import CV_FOLDS, names_frame, prepared, train_test
@@ -250,14 +250,33 @@ def q_importances(spark, sf):
             .select("feature_idx", "feature", F.round("importance", R).alias("importance")))
 
 
+def _tree(spark, sf):
+    train, test, names = train_test(spark, sf)
+    return models.decision_tree(max_depth=5, min_leaf=1, seed=0).fit(train), test, names
+
+
 @query("tree_nodes")
 def q_tree_nodes(spark, sf):
-    """The fitted tree as rows (one per line of its text export)."""
-    train, _, _ = train_test(spark, sf)
-    m = models.decision_tree(max_depth=5, min_leaf=1, seed=0).fit(train)
-    lines = m.toDebugString.splitlines()[1:]
-    return spark.createDataFrame([(i, ln.strip(), len(ln) - len(ln.lstrip())) for i, ln in enumerate(lines)],
-                                 "line int, text string, indent int")
+    """The fitted tree's nodes, read from its saved files."""
+    m, _, names = _tree(spark, sf)
+    return (tree_table.tree_nodes(spark, m).join(F.broadcast(names_frame(spark, names)), "feature_idx", "left")
+            .select("tree", "node", "feature_idx", "feature", F.round("threshold", R).alias("threshold"), "left", "right", F.round("gain", R).alias("gain"),
+                    F.round("impurity", R).alias("impurity"), "n", "prediction"))
+
+
+@query("tree_walk")
+def q_tree_walk(spark, sf):
+    """The test rows walked down the node table, a join for each level; the model's own predictions."""
+    m, test, _ = _tree(spark, sf)
+    return tree_table.walk(test, tree_table.tree_nodes(spark, m), m.depth).select("id", "node", "prediction")
+
+
+@query("tree_split_gains")
+def q_tree_split_gains(spark, sf):
+    """D19 in SQL: splits and share of the impurity decrease of each feature."""
+    m, _, names = _tree(spark, sf)
+    return (tree_table.split_gains(tree_table.tree_nodes(spark, m)).join(F.broadcast(names_frame(spark, names)), "feature_idx")
+            .select("feature_idx", "feature", "splits", F.round("importance", R).alias("importance")))
 
 
 # ---------------------------------------------------------------- roster and ensembles

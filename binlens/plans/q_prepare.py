@@ -14,6 +14,7 @@ from binlens.operators import features as FE
 from binlens.operators import graph as G
 from binlens.operators import prepare as PR
 from binlens.operators.knn import approx_neighbours, knn_predict, nearest_neighbours
+from binlens.operators.pivot_knn import pivot_neighbours
 from binlens.plans import standins as si
 from binlens.plans.q_evaluate import SCORED
 from binlens.plans.q_extract import DICT_VALUES
@@ -293,7 +294,7 @@ def q_running_best(spark, sf):
 
 # ---------------------------------------------------------------- neighbours and votes
 
-@query("knn_exact", """
+KNN_SQL = """
 WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v,
                   (row_number() OVER (PARTITION BY label ORDER BY md5(cast(vec_id AS VARCHAR))) - 1) % 5 AS fold FROM embeddings),
 q AS (SELECT * FROM e WHERE fold = 0), t AS (SELECT * FROM e WHERE fold <> 0),
@@ -301,7 +302,10 @@ d AS (SELECT q.vec_id AS qid, t.vec_id AS tid, t.label, round(list_distance(q.v,
 nn AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, tid) AS r FROM d),
 v AS (SELECT qid, label, count(*) AS votes FROM nn WHERE r <= 3 GROUP BY ALL)
 SELECT qid AS vec_id, label AS prediction FROM (
-  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY votes DESC, label) AS rr FROM v) WHERE rr = 1""")
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY votes DESC, label) AS rr FROM v) WHERE rr = 1"""
+
+
+@query("knn_exact", KNN_SQL)
 def q_knn_exact(spark, sf):
     e = table(spark, sf, "embeddings", "vec_id", "embedding", "label")
     f = stratified_folds(e, "vec_id", "label", 5)
@@ -310,6 +314,14 @@ def q_knn_exact(spark, sf):
     return knn_predict(nb).select(F.col("qid").alias("vec_id"), "prediction")
 
 
+@query("knn_pivot", KNN_SQL)
+def q_knn_pivot(spark, sf):
+    """D8 by pivots: ``knn_exact``'s answers from the cells that can hold them."""
+    f = stratified_folds(table(spark, sf, "embeddings", "vec_id", "embedding", "label"), "vec_id", "label", 5)
+    nb = pivot_neighbours(f.filter(F.col("fold") != 0), f.filter(F.col("fold") == 0), 3, id_col="vec_id", vec_col="embedding", label_col="label")
+    return knn_predict(nb).select(F.col("qid").alias("vec_id"), "prediction")
+
+
 @query("knn_lsh")
 def q_knn_lsh(spark, sf):
     """D8, approximate: same queries and k as ``knn_exact``, candidates from 4 random-projection

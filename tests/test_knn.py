@@ -79,3 +79,56 @@ def test_text_ids_and_manhattan(spark, p, broadcast_bytes):
         want = sorted(range(70), key=lambda i: (d[i], tid[i]))[:4]
         mine = sorted((r.rank, r.tid, r.d2) for r in got if r.qid == f"q{j}")
         assert [t for _, t, _ in mine] == [tid[i] for i in want] and [x for *_, x in mine] == [d[i] for i in want]
+
+
+# ---------------------------------------------------------------- pivots
+
+def _sides(spark, x, y, q):
+    train = spark.createDataFrame([(i, x[i].tolist(), int(y[i])) for i in range(len(x))], "id long, vec array<double>, label int").repartition(4)
+    return train, spark.createDataFrame([(5000 + j, v.tolist()) for j, v in enumerate(q)], "id long, vec array<double>")
+
+
+@pytest.mark.parametrize("p", [1, 2])
+@pytest.mark.parametrize("pivots,block,crowd", [(1, 1000, 1000), (12, 20, 7), (400, 1000, 1000)])
+def test_pivot_join_equals_brute_force(spark, p, pivots, block, crowd):
+    from binlens.operators.pivot_knn import pivot_neighbours
+
+    rng = np.random.RandomState(5)
+    x = np.concatenate([rng.randint(0, 5, (120, 3)).astype(float), rng.normal(20, 2, (60, 3)), np.zeros((40, 3))])      # ties, a far cluster, a pile of copies
+    q = np.concatenate([rng.randint(0, 5, (25, 3)).astype(float), rng.normal(20, 3, (10, 3)), [[100.0, 100.0, 100.0], [0.0, 0.0, 0.0]]])
+    train, queries = _sides(spark, x, rng.randint(0, 2, len(x)), q)
+    got = {}
+    for r in pivot_neighbours(train, queries, 4, pivots=pivots, p=p, block=block, query_block=crowd).collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.tid, r.d2))
+    for j, v in enumerate(q):
+        d = np.round((np.abs(x - v) if p == 1 else (x - v) ** 2).sum(1), 9)
+        want = sorted(range(len(x)), key=lambda i: (d[i], i))[:4]
+        assert [(t, e) for _, t, e in sorted(got[5000 + j])] == [(i, d[i]) for i in want]
+
+
+def test_pivot_join_visits_few_cells(spark):
+    """Queries in tight clusters look at a small part of the training rows."""
+    from binlens.operators import pivot_knn as K
+
+    rng = np.random.RandomState(1)
+    centre = rng.normal(0, 10, (30, 4))
+    x = (centre[:, None] + rng.normal(0, 0.3, (30, 40, 4))).reshape(-1, 4)
+    pivots = x[rng.permutation(len(x))[:60]]
+    d, dq = K._to_pivots(x, pivots, 2), K._to_pivots(x[::7] + 0.01, pivots, 2)
+    cell = d.argmin(1)
+    low, high, size = (np.array([f(d[cell == c, c]) for c in range(60)]) for f in (min, max, len))
+    bound = K.promised(dq, high, size, 3)
+    true = np.sort(np.linalg.norm(x[::7][:, None] + 0.01 - x[None], axis=2), 1)[:, 2]
+    assert (bound >= true - 1e-9).all()
+    can = K.visits(dq, true, dq.argmin(1), low, high, K._to_pivots(pivots, pivots, 2), 2)
+    assert (can @ size).mean() < 0.1 * len(x)
+
+
+def test_pivot_join_odd_sides(spark):
+    from binlens.operators.pivot_knn import pivot_neighbours
+
+    train, queries = _sides(spark, np.arange(6).reshape(3, 2).astype(float), [0, 1, 1], np.ones((2, 2)))
+    assert pivot_neighbours(train.limit(0), queries, 3).count() == 0 and pivot_neighbours(train, queries.limit(0), 3).count() == 0
+    assert pivot_neighbours(train, queries, 9).count() == 6
+    named = lambda df: df.selectExpr("concat('r', id) AS id", *[c for c in df.columns if c != "id"])
+    assert {r.tid for r in pivot_neighbours(named(train), named(queries), 2).collect()} <= {"r0", "r1", "r2"}
