@@ -8,7 +8,7 @@ logistic link of the margin.
 from __future__ import annotations
 
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
-                                       MultilayerPerceptronClassifier, RandomForestClassifier)
+                                       RandomForestClassifier)
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,16 +71,12 @@ def logistic(C=1.0, n_rows=None, max_iter=100, features="features", label="label
                               standardization=False)
 
 
-def mlp(n_features, hidden=(100,), max_iter=1000, tol=1e-4, seed=1, features="features", label="label", n_classes=2):
-    """Feed-forward net. Gap: sigmoid hidden units and l-bfgs, no L2 penalty."""
-    return MultilayerPerceptronClassifier(featuresCol=features, labelCol=label,
-                                          layers=[n_features, *hidden, n_classes], maxIter=max_iter, tol=tol, seed=seed)
-
-
 def score_frame(pred: DataFrame, id_col: str = "id", label: str = "label", keep=()) -> DataFrame:
     """(id, label, prediction, score) from a transformed frame."""
     cols = pred.columns
-    if "probability" in cols:
+    if "score" in cols:
+        score = F.col("score").cast("double")
+    elif "probability" in cols:
         score = vector_to_array(F.col("probability"))[1]
     elif "rawPrediction" in cols:
         m = vector_to_array(F.col("rawPrediction"))[1]

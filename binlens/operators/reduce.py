@@ -201,6 +201,16 @@ def nmf_transform(df: DataFrame, H: np.ndarray, id_col: str = "id", features_col
     return df.select(*cols, x.alias("x")).mapInPandas(solve, schema)
 
 
+class NmfModel:
+    """The fixed factor H; ``transform`` adds ``output_col`` with the rows' own factor."""
+
+    def __init__(self, H: np.ndarray, features_col: str = "features", output_col: str = "w"):
+        self.H, self.features_col, self.output_col = np.asarray(H, float), features_col, output_col
+
+    def transform(self, df: DataFrame, id_col: str = "id", keep: tuple = ()) -> DataFrame:
+        return nmf_transform(df, self.H, id_col, self.features_col, keep, self.output_col)
+
+
 # ---------------------------------------------------------------- Nystroem map
 
 def _kernel(kind, A, B, gamma, degree, coef0):

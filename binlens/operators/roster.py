@@ -11,11 +11,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binlens.operators import boosting, knn, models, newton, sgd
+from binlens.operators import boosting, knn, models, network, newton, sgd
+from binlens.operators.ensemble import vote_hard, vote_soft
 from binlens.operators.models import score_frame
 
 
@@ -28,20 +30,17 @@ class Fitted:
         return self._scorer(df)
 
 
+def fitted(name: str, model) -> Fitted:
+    """Any fitted model with ``transform``."""
+    return Fitted(name, lambda df: score_frame(model.transform(df)), model)
+
+
 def _spark_ml(name, est):
-    def fit(train: DataFrame) -> Fitted:
-        m = est.fit(train)
-        return Fitted(name, lambda df: score_frame(m.transform(df)), m)
-    return fit
+    return lambda train: fitted(name, est.fit(train))
 
 
 def _custom(name, fitter):
-    def fit(train: DataFrame) -> Fitted:
-        m = fitter(train)
-        return Fitted(name, lambda df: m.transform(df).select(
-            "id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"),
-            F.col("score").cast("double").alias("score")), m)
-    return fit
+    return lambda train: fitted(name, fitter(train))
 
 
 def knn_scores(train: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -58,10 +57,18 @@ def knn_scores(train: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             .select("id", "label", F.col("prediction").cast("int").alias("prediction"), "score"))
 
 
+class KnnModel:
+    """The training rows and k; ``transform`` gives (id, label, prediction, score)."""
+
+    def __init__(self, rows: DataFrame, k: int):
+        self.rows, self.k = rows.select("id", "label", "features"), k
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return knn_scores(self.rows, df, self.k)
+
+
 def _knn(name, k):
-    def fit(train: DataFrame) -> Fitted:
-        return Fitted(name, lambda df: knn_scores(train, df, k), None)
-    return fit
+    return lambda train: fitted(name, KnnModel(train, k))
 
 
 def builders(n_features: int, n_rows: int | None = None, ensemble: bool = False) -> dict[str, Callable[[DataFrame], Fitted]]:
@@ -74,7 +81,7 @@ def builders(n_features: int, n_rows: int | None = None, ensemble: bool = False)
         "random_forest": _spark_ml("random_forest", models.random_forest(n_trees=18, max_depth=5, max_features=3, seed=1) if ensemble
                                    else models.random_forest(n_trees=10, max_depth=3, max_features="auto", seed=1)),
         "boosting": _custom("boosting", lambda tr: newton.fit_boosted(tr, rounds=100)),
-        "mlp": _spark_ml("mlp", models.mlp(n_features, hidden=(21,) if ensemble else (100,), max_iter=1000)),
+        "mlp": _custom("mlp", lambda tr: network.fit_network(tr, hidden=(21,) if ensemble else (100,), alpha=0.012 if ensemble else 1.0, max_iter=1000)),
         "adaboost": _custom("adaboost", lambda tr: boosting.fit_adaboost(tr, rounds=50)),
         "logistic": _spark_ml("logistic", models.logistic(C=1.0, n_rows=n_rows)),
         "sgd_modified_huber": _custom("sgd_modified_huber", lambda tr: sgd.fit_sgd(tr, loss="modified_huber", alpha=1e-4)),
@@ -99,3 +106,34 @@ def scored_union(fitted: dict[str, Fitted], df: DataFrame, split: str | None = N
             s = s.withColumn("split", F.lit(split))
         out = s if out is None else out.unionByName(s)
     return out
+
+
+# ---------------------------------------------------------------- ensembles as models
+
+class VoteModel:
+    """Members' votes: the majority (tie -> lowest class; the score is the share of class 1), or the mean score."""
+
+    def __init__(self, members: dict[str, Fitted], soft: bool):
+        self.members, self.soft = members, soft
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        long = scored_union(self.members, df)
+        share = long.groupBy("id", "label").agg(F.avg("prediction").alias("score"))
+        voted = vote_soft(long).select("id", "prediction", "score") if self.soft else vote_hard(long).select("id", "prediction")
+        return voted.join(share.drop("score") if self.soft else share, "id").select("id", "label", "prediction", "score")
+
+
+class StackModel:
+    """Members whose scores, in the order of their names' list, are the features ``stack`` of the head."""
+
+    def __init__(self, members: dict[str, Fitted], head):
+        self.members, self.head = members, head
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return score_frame(self.head.transform(stack_features(scored_union(self.members, df), list(self.members))))
+
+
+def stack_features(scores: DataFrame, bases: list[str]) -> DataFrame:
+    """Long (model, id, label, score) -> (id, label, stack) with one slot per base model."""
+    wide = scores.groupBy("id", "label").pivot("model", bases).agg(F.first("score"))
+    return VectorAssembler(inputCols=bases, outputCol="stack").transform(wide)

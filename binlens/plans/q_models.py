@@ -13,17 +13,18 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce as reduce_frames
 
 from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binlens.operators import models, newton, reduce, roster, tree_table
+from binlens.operators import models, network, newton, reduce, roster, sparse_svd, tree_table
+from binlens.operators.persist import load_model, save_model
 from binlens.operators.evaluate import classification_report
 from binlens.operators.models import score_frame
 from binlens.plans.prepared import CV_FOLDS, names_frame, prepared, train_test
 from binlens.plans.registry import query
-from binlens.session import scratch_path
+from binlens.session import cut_lineage, scratch_path
+from binlens.sources.tables import table
 
 R = 6
 
@@ -212,6 +213,18 @@ def q_svd(spark, sf):
     return proj.select("id", F.transform("components", lambda c: F.round(c, R)).alias("components"))
 
 
+TOKEN_COLUMNS = 20_000
+
+
+@query("svd_tokens")
+def q_svd_tokens(spark, sf):
+    """C19 on a wide sparse matrix: counts of all documents' words in 20,000 hashed columns, 10 components by 10 power iterations."""
+    words = table(spark, sf, "documents", "doc_id", "text").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\w+"), 0)).alias("word"))
+    cells = words.select("doc_id", F.pmod(F.xxhash64("word"), F.lit(TOKEN_COLUMNS)).cast("int").alias("feature_idx")).groupBy("doc_id", "feature_idx").agg(F.count(F.lit(1)).alias("value"))
+    proj, _, _ = sparse_svd.randomised_svd(cut_lineage(sparse_svd.sparse_rows(cells, "doc_id")), TOKEN_COLUMNS, 10, n_iter=10)
+    return proj.select("id", F.transform("components", lambda c: F.round(c, 3)).alias("components"))
+
+
 @query("nmf_factorize")
 def q_nmf(spark, sf):
     """C20: NMF with 10 components, NNDSVD start, multiplicative updates (tol 1e-4, at most
@@ -309,12 +322,6 @@ def q_leaderboard(spark, sf):
 _STACKED: dict[tuple, tuple[str, str]] = {}
 
 
-def _stack_features(scores: DataFrame, bases: list[str]) -> DataFrame:
-    """Long (model, id, label, score) -> (id, label, stack) with one slot per base model."""
-    wide = scores.groupBy("id", "label").pivot("model", bases).agg(F.first("score"))
-    return VectorAssembler(inputCols=bases, outputCol="stack").transform(wide)
-
-
 def out_of_fold_scores(train: DataFrame, bases: list[str], n_features: int, k: int = CV_FOLDS, parallelism: int = 8) -> DataFrame:
     """Long (model, id, label, score) of every training row, scored by the base model fitted on the other
     folds (column ``cv_fold``)."""
@@ -332,11 +339,11 @@ def out_of_fold_scores(train: DataFrame, bases: list[str], n_features: int, k: i
 
 def stack_head(oof: DataFrame, bases: list[str], head: str = "logistic"):
     """The head fitted on out-of-fold scores: ``logistic``, or ``mlp`` (a network)."""
-    x = _stack_features(oof, bases)
+    x = roster.stack_features(oof, bases)
     if head == "logistic":
         est = LogisticRegression(featuresCol="stack", labelCol="label", regParam=1.0 / max(1, x.count()), standardization=False)
     elif head == "mlp":
-        est = models.mlp(len(bases), features="stack")
+        return network.fit_network(x, hidden=(100,), alpha=1.0, max_iter=1000, features_col="stack")
     else:
         raise ValueError(head)
     return est.fit(x)
@@ -345,7 +352,7 @@ def stack_head(oof: DataFrame, bases: list[str], head: str = "logistic"):
 def stacking(oof: DataFrame, test_scores: DataFrame, bases: list[str], head: str = "logistic") -> DataFrame:
     """The head trained on out-of-fold base scores, applied to the scores that the bases, refitted on all
     training rows, give the test rows."""
-    return score_frame(stack_head(oof, bases, head).transform(_stack_features(test_scores, bases)))
+    return score_frame(stack_head(oof, bases, head).transform(roster.stack_features(test_scores, bases)))
 
 
 def stack_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -391,3 +398,19 @@ def q_vote_roster(spark, sf):
     hard = vote_hard(long).select("id", F.col("prediction").alias("hard_prediction"))
     soft = vote_soft(long).select("id", F.round("score", R).alias("soft_score"), F.col("prediction").alias("soft_prediction"))
     return test.select("id", "label").join(hard, "id").join(soft, "id")
+
+
+@query("ensembles_reloaded")
+def q_ensembles_reloaded(spark, sf):
+    """A9 with D12 and D14: a soft vote and a stack of four fitted models, saved, loaded again and applied to the test rows."""
+    train, test, names = train_test(spark, sf)
+    bases = ["knn", "decision_tree", "random_forest", "linear_svm"]
+    members = roster.fit_roster(train, bases, len(names), n_rows=train.count())
+    head = stack_head(roster.scored_union(members, train), bases)
+    out = None
+    for name, model in (("vote", roster.VoteModel(members, soft=True)), ("stack", roster.StackModel(members, head))):
+        path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+        save_model(spark, model, path)
+        part = _model_rows(name, roster.fitted(name, load_model(spark, path)), test)
+        out = part if out is None else out.unionByName(part)
+    return out

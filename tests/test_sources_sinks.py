@@ -81,3 +81,32 @@ def test_sinks_parquet_and_csv_roundtrip(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
     assert sorted(d for d in os.listdir(tmp_path / "part") if d.startswith("IsMalware=")) == \
         ["IsMalware=0.0", "IsMalware=1.0"]
+
+
+def test_every_model_and_ensemble_roundtrip(spark, toy, tmp_path):
+    from binlens.operators import network, newton, reduce, roster, trees
+
+    members = {"knn": roster.builders(3)["knn"](toy), "logistic": roster.builders(3, 80)["logistic"](toy),
+               "trees": roster.fitted("trees", trees.fit_forest(toy, 3, 3, bootstrap_rows=True)), "boosting": roster.fitted("boosting", newton.fit_boosted(toy, 4))}
+    head = network.fit_network(roster.stack_features(roster.scored_union(members, toy), list(members)), hidden=(4,), max_iter=5, features_col="stack")
+    ensembles = [roster.VoteModel(members, soft=False), roster.VoteModel(members, soft=True), roster.StackModel(members, head)]
+    other = spark.newSession()
+    for i, m in enumerate([*(f.model for f in members.values()), head, *ensembles]):
+        path = str(tmp_path / f"e{i}")
+        save_model(spark, m, path)
+        back = load_model(other, path)
+        if m is head:
+            assert back.weights.tolist() == m.weights.tolist()
+            continue
+        a, b = ({r.id: (r.label, r.prediction, r.score) for r in roster.fitted("x", x).score(toy).collect()} for x in (m, back))
+        assert a == b and len(a) == 80
+    ny = reduce.fit_nystroem(toy, n_components=10)
+    nmf = reduce.NmfModel(np.abs(np.random.RandomState(0).rand(2, 3)))
+    for i, (m, col) in enumerate([(ny, "kernel_features"), (nmf, "w")]):
+        save_model(spark, m, str(tmp_path / f"r{i}"))
+        back = load_model(other, str(tmp_path / f"r{i}"))
+        rows = toy.selectExpr("id", "label", "features")
+        a, b = ({r.id: np.array(r[col]).tolist() for r in x.transform(rows).collect()} for x in (m, back))
+        assert a == b
+    with pytest.raises(TypeError):
+        save_model(spark, object(), str(tmp_path / "no"))
