@@ -2,8 +2,9 @@
 
 One pass is one epoch. Every task starts from the current weights and moments, takes Adam steps over mini-batches of its own rows,
 and yields its weights and moments times its rows; the sums over tasks, divided by the rows, start the next epoch
-(parameter averaging). Only vectors of the network's size travel. A table small enough for one task is trained exactly as on one
-machine. Training ends after ``patience`` epochs whose loss has not fallen by ``tol``.
+(parameter averaging). Only vectors of the network's size travel. A table of at most ``ONE_TASK`` rows is one task's, which then
+takes its epochs one after the other in one pass: without other tasks there is nothing to average in between. Training ends after
+``patience`` epochs whose loss has not fallen by ``tol``.
 """
 
 from __future__ import annotations
@@ -115,32 +116,55 @@ def fit_network(train: DataFrame, hidden: tuple[int, ...] = (100,), alpha: float
         data = data.coalesce(1)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     k, spark = shape.total, train.sparkSession
-    w, m, v, t = shape.start(seed), np.zeros(k), np.zeros(k), 0
-    best, stale, losses = np.inf, 0, []
-    for epoch in range(max_iter if n else 0):
-        sent = spark.sparkContext.broadcast((w, m, v, t))
-
-        def run(batches, epoch=epoch, sent=sent):
-            state, rows, loss, part = sent.value, 0, 0.0, 0
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, shape.sizes[0])
-                state, more = adam_epoch(shape, state, x, b.column(1).to_numpy(zero_copy_only=False), alpha, min(batch, b.num_rows), rate, np.random.default_rng([seed, epoch, part]))
-                rows, loss, part = rows + b.num_rows, loss + more, part + 1
+    state, losses = (shape.start(seed), np.zeros(k), np.zeros(k), 0), []
+
+    def epoch_of(parts, state, epoch):
+        """(state, rows, loss) after one epoch over a task's parts."""
+        rows = loss = 0
+        for part, (x, y) in enumerate(parts):
+            state, more = adam_epoch(shape, state, x, y, alpha, min(batch, len(x)), rate, np.random.default_rng([seed, epoch, part]))
+            rows, loss = rows + len(x), loss + more
+        return state, rows, loss
+
+    def parts_of(batches):
+        for b in batches:
+            if b.num_rows:
+                yield b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, shape.sizes[0]), b.column(1).to_numpy(zero_copy_only=False)
+
+    def row(values):
+        return pa.RecordBatch.from_arrays([pa.array([np.asarray(values).tolist()], pa.list_(pa.float64()))], names=["v"])
+
+    if 0 < n <= ONE_TASK:
+        def run(batches, state=state):
+            parts, losses = list(parts_of(batches)), []
+            while not _ended(losses, max_iter, tol, patience):
+                state, rows, loss = epoch_of(parts, state, len(losses))
+                losses.append(loss / rows)
+            yield row([*state[0], *losses])
+
+        got = data.mapInArrow(run, "v array<double>").collect()[0]["v"]
+        state, losses = (np.array(got[:k]), *state[1:]), list(got[k:])
+    while n > ONE_TASK and not _ended(losses, max_iter, tol, patience):
+        sent, epoch = spark.sparkContext.broadcast(state), len(losses)
+
+        def step(batches, sent=sent, epoch=epoch):
+            state, rows, loss = epoch_of(parts_of(batches), sent.value, epoch)
             if rows:
-                out = np.concatenate([*(rows * s for s in state[:3]), [rows * state[3], loss, rows]])
-                yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], names=["v"])
+                yield row(np.concatenate([*(rows * s for s in state[:3]), [rows * state[3], loss, rows]]))
 
-        parts = data.mapInArrow(run, "v array<double>")
-        got = np.array(parts.collect()[0]["v"]) if n <= ONE_TASK else vector_sum(parts, 3 * k + 3)
+        got = vector_sum(data.mapInArrow(step, "v array<double>"), 3 * k + 3)
         sent.unpersist()
         rows = got[-1]
-        w, m, v, t = got[:k] / rows, got[k:2 * k] / rows, got[2 * k:3 * k] / rows, int(round(got[-3] / rows))
+        state = got[:k] / rows, got[k:2 * k] / rows, got[2 * k:3 * k] / rows, int(round(got[-3] / rows))
         losses.append(got[-2] / rows)
-        stale = 0 if losses[-1] < best - tol else stale + 1
-        best = min(best, losses[-1])
-        if stale >= patience:
-            break
     data.unpersist()
-    return NetworkModel(shape.sizes, w, features_col, len(losses), losses)
+    return NetworkModel(shape.sizes, state[0], features_col, len(losses), losses)
+
+
+def _ended(losses: list[float], max_iter: int, tol: float, patience: int) -> bool:
+    """After ``max_iter`` epochs, or ``patience`` in a row that did not beat the best before them by ``tol``."""
+    best, stale = np.inf, 0
+    for v in losses:
+        stale = 0 if v < best - tol else stale + 1
+        best = min(best, v)
+    return len(losses) >= max_iter or stale >= patience

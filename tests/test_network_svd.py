@@ -75,7 +75,7 @@ def test_wide_sparse_matrix_equals_numpy(spark):
         t = r % 6
         at = t * 3000 + rng.integers(0, 200 + 40 * t, 40)
         a[r, at] = rng.random(40) * (6 - t + 2)
-    proj, s, v = V.randomised_svd(V.sparse_rows(_long(spark, a)), d, k, n_iter=15)
+    proj, s, v = V.randomised_svd(V.sparse_rows(_long(spark, a)), d, k, n_iter=40)
     u, want, vt = np.linalg.svd(a, full_matrices=False)
     assert s == pytest.approx(want[:k], rel=1e-6)
     sign = np.sign((vt[:k] * v.T).sum(1))
