@@ -154,8 +154,8 @@ class TopKSelectorModel(Model, HasFeaturesCol, HasOutputCol, DefaultParamsReadab
 
 class TopKSelector(Estimator, HasFeaturesCol, HasLabelCol, HasOutputCol, _HasK, DefaultParamsReadable,
                    DefaultParamsWritable):
-    """Keep the ``k`` features with the highest mutual information (default) or chi-squared
-    score against the label. Scores come from long-form aggregates; only ``k`` indices reach
+    """Keep the ``k`` features with the highest mutual information (``mi``, of discrete values; ``mi_knn``, of
+    continuous ones by nearest neighbours) or chi-squared score (``chi2``) against the label. Scores come from long-form aggregates; only ``k`` indices reach
     the driver. More than there are features is an error."""
 
     @keyword_only
@@ -172,6 +172,9 @@ class TopKSelector(Estimator, HasFeaturesCol, HasLabelCol, HasOutputCol, _HasK,
         k = self.getOrDefault("k")
         if self.getOrDefault("scoreFunc") == "chi2":
             sc = chi2_scores(long_df, labels, feature="feature_idx").withColumnRenamed("chi2", "score")
+        elif self.getOrDefault("scoreFunc") == "mi_knn":
+            from binlens.operators.continuous_mi import mutual_information_knn
+            sc = mutual_information_knn(long_df, labels, feature="feature_idx").withColumnRenamed("mi", "score")
         else:
             sc = mutual_information(long_df, labels, feature="feature_idx").withColumnRenamed("mi", "score")
         best = top_k(sc, "score", k).orderBy("rank").collect()
