@@ -13,6 +13,7 @@ from binlens.operators import ensemble as EN
 from binlens.operators import features as FE
 from binlens.operators import graph as G
 from binlens.operators import prepare as PR
+from binlens.operators.continuous_mi import mutual_information_knn
 from binlens.operators.knn import approx_neighbours, knn_predict, nearest_neighbours
 from binlens.operators.pivot_knn import pivot_neighbours
 from binlens.plans import standins as si
@@ -180,6 +181,33 @@ def q_kbest(spark, sf):
     return FE.top_k(mi, "mi", 10, feature="feature").select("feature", _r("mi"), "rank")
 
 
+# continuous columns as whole hundredths, so that distances and ties are exact in both engines
+CONTINUOUS = {"discount": "l_discount", "extendedprice": "l_extendedprice", "quantity": "l_quantity", "tax": "l_tax"}
+KNN_MI_SQL = """
+WITH f AS (""" + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, l_returnflag AS y, cast(round({c} * 100) AS BIGINT) AS v FROM lineitem" for f, c in CONTINUOUS.items()) + """),
+s AS (SELECT l_returnflag AS y, count(*) AS ny FROM lineitem GROUP BY l_returnflag HAVING count(*) > 1),
+d AS (SELECT feature, y, v, [v - lag(v, 1) OVER w, v - lag(v, 2) OVER w, v - lag(v, 3) OVER w,
+                             lead(v, 1) OVER w - v, lead(v, 2) OVER w - v, lead(v, 3) OVER w - v] AS gaps
+      FROM f JOIN s USING (y) WINDOW w AS (PARTITION BY feature, y ORDER BY v)),
+r AS (SELECT feature, v, ny, least(3, ny - 1) AS k,
+             greatest(list_sort(list_filter(gaps, lambda g: g IS NOT NULL))[least(3, ny - 1)] - 1, 0) AS reach FROM d JOIN s USING (y)),
+m AS (SELECT feature, k, ny, count(*) OVER (PARTITION BY feature ORDER BY v RANGE BETWEEN reach PRECEDING AND reach FOLLOWING) AS m FROM r),
+h AS (SELECT i, sum(1e0 / i) OVER (ORDER BY i) - 1e0 / i AS psi FROM generate_series(1, (SELECT count(*) FROM lineitem)) t(i)),
+mi AS (SELECT feature, greatest(0e0, (SELECT psi FROM h WHERE i = (SELECT sum(ny) FROM s)) + avg(hk.psi - hn.psi - hm.psi)) AS mi
+       FROM m JOIN h hk ON hk.i = k JOIN h hn ON hn.i = ny JOIN h hm ON hm.i = m GROUP BY feature)
+"""
+
+
+@query("mutual_information_knn", KNN_MI_SQL + f"SELECT feature, round(mi, {R}) AS mi, row_number() OVER (ORDER BY round(mi, {R}) DESC, feature DESC) AS rank FROM mi")
+def q_mi_knn(spark, sf):
+    items = table(spark, sf, "lineitem", "l_returnflag", *CONTINUOUS.values()).withColumn("id", F.lit(0)).withColumnRenamed("l_returnflag", "label")
+    cells = items.select("id", "label", F.inline(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.round(F.col(c) * 100).cast("double").alias("value")) for f, c in CONTINUOUS.items()])))
+    mi = mutual_information_knn(cells, items.select("id", "label")).withColumn("mi", F.round("mi", R))
+    return FE.top_k(mi, "mi", len(CONTINUOUS), feature="feature")
+
+
 @query("chi2_scores", FEATS + f"""
 , obs AS (SELECT f.feature, l.label, sum(f.value) AS o FROM fl f JOIN lab l ON f.id = l.id GROUP BY ALL),
 tot AS (SELECT feature, sum(o) AS t FROM obs GROUP BY feature),
