@@ -182,7 +182,13 @@ def raw_feature_table(samples: DataFrame, id_col: str = "sample_id", name_col: s
     """Whole extraction: parse once, flatten, merge, pivot, fill, escape, label. Returns
     (table, rejects). The field list defaults to every header field plus ``min_sections`` numbered
     section groups, or as many as the longest section table has (one aggregate): none is left out."""
-    parsed = cut_lineage(parse(samples, id_col, keep=(name_col, label_col)))
+    return parsed_feature_table(cut_lineage(parse(samples, id_col, keep=(name_col, label_col))), id_col, name_col,
+                                label_col, fields, min_sections)
+
+
+def parsed_feature_table(parsed: DataFrame, id_col: str = "sample_id", name_col: str = "sample_name",
+                         label_col: str = "label", fields: list[str] | None = None, min_sections: int = 31):
+    """``raw_feature_table`` of rows that ``parse`` made; they are read more than once, so write or persist them."""
     long_df = merge_last_wins(header_fields(parsed, id_col).unionByName(
         flatten_sections(section_fields(parsed, id_col), id_col)), id_col)
     if fields is None:

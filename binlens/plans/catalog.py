@@ -6,7 +6,7 @@ import importlib
 
 from binlens.plans.registry import ORACLE, QUERIES
 
-_MODULES = ["q_evaluate", "q_extract", "q_prepare", "q_models", "q_select"]
+_MODULES = ["q_evaluate", "q_extract", "q_prepare", "q_models", "q_select", "q_stream"]
 for _m in _MODULES:
     importlib.import_module(f"binlens.plans.{_m}")
 
