@@ -11,7 +11,7 @@ from binlens.functions.text import (base_name, escape_linebreaks, label_from_pat
 from binlens.operators import graph as G
 from binlens.operators import ngrams as NG
 from binlens.operators import pe as PE
-from binlens.operators.dedup import content_groups
+from binlens.operators.dedup import content_groups, dedup_exact
 from binlens.plans import standins as si
 from binlens.plans.registry import query
 from binlens.sources.lookups import WORD_CATEGORIES, dictionary_frame
@@ -58,6 +58,14 @@ def q_dedup_exact(spark, sf):
     return content_groups(si.samples(spark, sf))
 
 
+@query("dedup_exact_rows", SAMPLES + """
+SELECT sha256(text) AS sample_id, cast(strlen(text) AS BIGINT) AS length, min(path) AS path, arg_min(doc_id, path) AS doc_id,
+       any_value(text) AS text, count(*) AS n_copies FROM samples GROUP BY sha256(text), strlen(text)""")
+def q_dedup_exact_rows(spark, sf):
+    kept = dedup_exact(si.samples(spark, sf))
+    return kept.withColumn("text", F.decode("content", "UTF-8")).drop("content")
+
+
 @query("duplicate_groups", SAMPLES + """
 SELECT sha256(text) AS sample_id, cast(strlen(text) AS BIGINT) AS length, min(path) AS keep_path, count(*) AS n_copies
 FROM samples GROUP BY ALL HAVING count(*) > 1""")

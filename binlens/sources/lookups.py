@@ -11,19 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from binlens.functions.sizing import maybe_broadcast
 
 
-def load_dictionary(source) -> dict[str, list[str]]:
-    """``source`` is a mapping or a path to a YAML file of ``category: [token, ...]``."""
-    if isinstance(source, dict):
-        return {str(k): [str(t) for t in v] for k, v in source.items()}
-    import yaml
+def load_dictionary(source, spark: SparkSession | None = None) -> dict[str, list[str]]:
+    """``source`` is a mapping or the path of a YAML file of ``category: [token, ...]``, on any file system that
+    Spark reads. An empty file has no categories, an empty category no tokens; anything but a mapping is an error."""
+    if not isinstance(source, dict):
+        import yaml
 
-    with open(source) as fh:
-        data = yaml.safe_load(fh)
-    return {str(k): [str(t) for t in (v or [])] for k, v in data.items()}
+        spark = spark or SparkSession.getActiveSession()
+        text = spark.read.text(source, wholetext=True).first()
+        source = (yaml.safe_load(text[0]) if text else None) or {}
+        if not isinstance(source, dict):
+            raise ValueError("a dictionary file holds a mapping of categories to lists of tokens")
+    return {str(k): [str(t) for t in (v or [])] for k, v in source.items()}
 
 
 def dictionary_frame(spark: SparkSession, source) -> DataFrame:
-    d = load_dictionary(source)
+    d = load_dictionary(source, spark)
     rows = [(c, t.lower()) for c, toks in d.items() for t in toks]
     df = spark.createDataFrame(rows, "category string, opcode string").distinct()
     return maybe_broadcast(df, known_rows=len(rows))

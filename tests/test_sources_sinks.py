@@ -1,6 +1,7 @@
 """Typed CSV read (A3), graph table sink (A7), custom-model persistence (A9), scaler switch."""
 
 import os
+import tempfile
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from binlens.operators.graph import write_graph_tables
 from binlens.operators.persist import load_model, save_model
 from binlens.operators.sgd import fit_sgd
 from binlens.sources.binary import read_typed_csv
+from binlens.sources.lookups import dictionary_frame, load_dictionary
 
 
 def test_typed_csv_schema_and_multiline(spark, tmp_path):
@@ -110,3 +112,15 @@ def test_every_model_and_ensemble_roundtrip(spark, toy, tmp_path):
         assert a == b
     with pytest.raises(TypeError):
         save_model(spark, object(), str(tmp_path / "no"))
+
+
+def test_dictionary_file(spark):
+    folder = tempfile.mkdtemp(prefix="binlens-dictionary-")
+    for name, text in {"good": "jump: [JMP, je]\nempty:\nnumbers: [1]\n", "blank": "", "list": "- a\n- b\n"}.items():
+        with open(f"{folder}/{name}.yml", "w") as fh:
+            fh.write(text)
+    assert load_dictionary(f"file://{folder}/good.yml", spark) == {"jump": ["JMP", "je"], "empty": [], "numbers": ["1"]}
+    assert sorted(map(tuple, dictionary_frame(spark, f"{folder}/good.yml").collect())) == [("jump", "je"), ("jump", "jmp"), ("numbers", "1")]
+    assert load_dictionary(f"{folder}/blank.yml") == {} and dictionary_frame(spark, f"{folder}/blank.yml").count() == 0
+    with pytest.raises(ValueError):
+        load_dictionary(f"{folder}/list.yml", spark)
