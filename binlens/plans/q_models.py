@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binlens.operators import models, network, newton, reduce, roster, sparse_svd, tree_table
+from binlens.operators import kernel_svm, models, network, newton, reduce, roster, sparse_svd, tree_table
 from binlens.operators.persist import load_model, save_model
 from binlens.operators.evaluate import classification_report
 from binlens.operators.models import score_frame
@@ -205,6 +205,25 @@ def q_kernel_svm(spark, sf):
         F.lit("kernel_svm").alias("model"), "id", "label", "prediction", F.round("score", R).alias("score"))
 
 
+#: (kernel, C, gamma, coef0) of ``kernel_svm_kernels``.
+KERNEL_SETTINGS = [("linear", 1.0, 0.2, 0.0), ("poly", 1.0, 0.2, 1.0), ("rbf", 1.0, 0.2, 0.0), ("rbf", 10.0, 1.0, 0.0), ("sigmoid", 1.0, 0.2, 0.0)]
+
+
+@query("kernel_svm_kernels")
+def q_kernels(spark, sf):
+    """Every kernel, fitted on the training rows; accuracy on the test rows."""
+    train, test, _ = train_test(spark, sf)
+
+    def one(setting):
+        kernel, C, gamma, coef0 = setting
+        scored = kernel_svm.fit_kernel_svm(train, kernel, C, gamma, coef0=coef0).transform(test)
+        return scored.agg(F.count(F.lit(1)).alias("n_test"), F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("a")).select(
+            F.lit(kernel).alias("kernel"), F.lit(C).alias("C"), F.lit(gamma).alias("gamma"), "n_test", F.round("a", R).alias("test_accuracy"))
+
+    with ThreadPoolExecutor(max_workers=len(KERNEL_SETTINGS)) as pool:
+        return reduce_frames(DataFrame.unionByName, list(pool.map(one, KERNEL_SETTINGS)))
+
+
 @query("svd_project")
 def q_svd(spark, sf):
     """Uncentred truncated SVD with 10 components of the whole prepared matrix."""
