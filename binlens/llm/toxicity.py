@@ -2,7 +2,8 @@
 
 A text's features are the hashed terms it contains (words of letters in lower case, and their first four
 and five letters), present or not. The machine scores ``w0 + sum w_i + sum over pairs <v_i, v_j>``, so
-pairs such as an insult with a group mention get a weight of their own. It is fitted on a bounded sample
+pairs such as an insult with a group mention get a weight of their own, also where neither term tells
+anything alone: every pair of frequent terms is tested for an interaction. It is fitted on a bounded sample
 of labelled rows (``SAMPLE_ROWS`` of each class at most, chosen by a hash of the id) and then scores
 every text of any length in place: texts stream through the workers once and nothing is shuffled.
 """
@@ -22,8 +23,13 @@ from binlens.llm.common import held_out, text_runs, utf8
 BITS = 20
 #: The documented bound of the training sample, for each class.
 SAMPLE_ROWS = 4000
-#: Hashed terms the machine keeps, by chi-squared in the sample.
+#: Hashed terms the machine keeps for what they tell alone, by chi-squared in the sample.
 ACTIVE = 1 << 11
+#: Terms it keeps besides for what they tell in a pair, and the frequent terms whose pairs are all tested for that.
+PAIRED = 1 << 8
+PAIR_TERMS = 1 << 11
+#: Squared z of a pair's interaction from which it counts: 0.0005 false ones expected among all pairs tested.
+PAIR_Z2 = 40.0
 RANK = 4
 RUN_BYTES = 4_000_000
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -90,9 +96,50 @@ def chi_squared(term: np.ndarray, label: np.ndarray, positives: int, total: int)
     return np.where(n >= 2, (a - expect) ** 2 / np.maximum(spread, 1e-9), 0)
 
 
+def interactions(row: np.ndarray, term: np.ndarray, labels: np.ndarray, most: int = PAIR_TERMS, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, z2): the ``most`` frequent terms in 20 texts or more, and each one's strongest interaction with another.
+
+    The contrast of a pair is the rate of label 1 with both terms, less that with each alone, plus that with neither: zero where
+    the terms add up. ``z2`` is its square over its variance; all four cases need 5 texts. Counts of all pairs are products of
+    blocks of the 0/1 matrix of the sample, so memory is rows x ``most`` floats.
+    """
+    n = np.bincount(term, minlength=1 << BITS)
+    total = len(labels)
+    spread = np.minimum(n, total - n)                       # a term of every text has no contrast
+    terms = np.argsort(-spread, kind="stable")[:most]
+    terms = np.sort(terms[spread[terms] >= 20])
+    k = len(terms)
+    place = np.full(1 << BITS, -1, np.int64)
+    place[terms] = np.arange(k)
+    p = place[term]
+    x = np.zeros((total, k), np.float32)
+    x[row[p >= 0], p[p >= 0]] = 1
+    toxic = x[labels == 1]
+    count, hits, positives = n[terms].astype(np.float32), toxic.sum(0), float(len(toxic))
+    best = np.zeros(k)
+    for lo in range(0, k, block):
+        hi = min(lo + block, k)
+        n11, t11 = x[:, lo:hi].T @ x[:, lo:], toxic[:, lo:hi].T @ toxic[:, lo:]      # pairs with later terms only
+        a, b, ta, tb = count[lo:hi, None], count[None, lo:], hits[lo:hi, None], hits[None, lo:]
+        contrast, variance, least = 0.0, 0.0, np.full(n11.shape, np.inf, np.float32)
+        for sign, size, found in ((1, n11, t11), (-1, a - n11, ta - t11), (-1, b - n11, tb - t11),
+                                  (1, total - a - b + n11, positives - ta - tb + t11)):
+            share = (found + 0.5) / (size + 1)
+            contrast = contrast + sign * share
+            variance = variance + share * (1 - share) / (size + 1)
+            least = np.minimum(least, size)
+        z2 = np.where(least >= 5, contrast**2 / variance, 0)
+        best[lo:hi] = np.maximum(best[lo:hi], z2.max(1))
+        best[lo:] = np.maximum(best[lo:], z2.max(0))
+    return terms, best
+
+
 def fit_machine(texts: list[bytes | None], labels: np.ndarray, passes: int = 90, seed: int = 5, rate: float = 0.1,
-                decay: float = 0.1, rank: int = RANK, active: int = ACTIVE) -> Machine:
-    """Full-batch Adagrad on the class-balanced logistic loss. One class only: its constant score."""
+                decay: float = 0.1, rank: int = RANK, active: int = ACTIVE, paired: int = PAIRED) -> Machine:
+    """Full-batch Adagrad on the class-balanced logistic loss. One class only: its constant score.
+
+    The terms are the ``active`` most telling alone and the ``paired`` that tell most in a pair.
+    """
     labels = np.asarray(labels, float)
     rng = np.random.default_rng(seed)
     positives, n = labels.sum(), len(labels)
@@ -102,9 +149,12 @@ def fit_machine(texts: list[bytes | None], labels: np.ndarray, passes: int = 90,
     row, term = text_terms(texts, {})
     chi = chi_squared(term, labels[row], positives, n)
     top = np.argsort(-chi, kind="stable")[:active]
-    model = Machine(np.sort(top[chi[top] > 3.84]), None, None, 0.0)
+    frequent, z2 = interactions(row, term, labels)
+    strong = np.argsort(-z2, kind="stable")[:paired]
+    model = Machine(np.union1d(top[chi[top] > 3.84], frequent[strong[z2[strong] > PAIR_Z2]]), None, None, 0.0)
     k = len(model.terms)
     model.w, model.v = np.zeros(k), rng.normal(0, 0.02, (k, rank))
+    step = np.where(np.isin(model.terms, frequent[z2 > PAIR_Z2]), 1.0, 0.2)[:, None] * rate     # a pair's terms lean on their factors
     row, p = model.active(row, term)
     weight = np.where(labels == 1, 0.5 / positives, 0.5 / (n - positives))
     gw, gv, gb = np.full(k, 1e-8), np.full((k, rank), 1e-8), 1e-8
@@ -118,7 +168,7 @@ def fit_machine(texts: list[bytes | None], labels: np.ndarray, passes: int = 90,
         db = g.sum()
         gw, gv, gb = gw + dw**2, gv + dv**2, gb + db**2
         model.w -= rate * dw / np.sqrt(gw)
-        model.v -= 0.2 * rate * dv / np.sqrt(gv)
+        model.v -= step * dv / np.sqrt(gv)
         model.b -= rate * db / np.sqrt(gb)
     return model
 
@@ -150,7 +200,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """
     sample = training_sample(docs, labels, id_col, text_col, label_col, sample_rows)
     model = fit_machine([t for t, _ in sample], np.array([y for _, y in sample]))
-    sent = docs.sparkSession.sparkContext.broadcast(model.state())      # ACTIVE terms at most
+    sent = docs.sparkSession.sparkContext.broadcast(model.state())      # ACTIVE + PAIRED terms at most
     src = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col), 5, 0).alias("held_out"), F.col(text_col).alias("text"))
 
     def run(batches):

@@ -74,3 +74,36 @@ def test_odd_rows(spark, docs, clashing, empty_docs):
 def test_no_telling_term():
     m = T.fit_machine([b"alpha", b"beta"], np.array([0, 1]))
     assert m.scores([b"alpha", b"other", b"", None], {}) == pytest.approx([0.5] * 4, abs=1e-3)
+
+
+def both_or_neither(n, seed):
+    texts, _ = examples(n, seed)
+    return texts, np.array([int((b"insultword" in t) == (b"groupname" in t)) for t in texts])
+
+
+def test_pairs_whose_words_tell_nothing_alone():
+    texts, labels = both_or_neither(2000, 1)
+    held, want = both_or_neither(600, 2)
+    got = T.fit_machine(texts, labels).scores(held, {})
+    auc = np.mean([(a > b) + 0.5 * (a == b) for a in got[want == 1] for b in got[want == 0]])
+    assert auc > 0.9
+
+
+def test_interactions_by_brute_force():
+    rng = np.random.default_rng(3)
+    x = rng.random((300, 7)) < [0.5, 0.4, 0.6, 0.5, 0.3, 0.01, 1.0]       # one term too rare, one in every text
+    labels = (x[:, 0] ^ x[:, 1]).astype(float)
+    row, term = np.nonzero(x)
+    terms, z2 = T.interactions(row, term, labels, block=2)
+    assert terms.tolist() == [0, 1, 2, 3, 4]
+    for i in terms:
+        want = 0.0
+        for j in set(terms) - {i}:
+            cells = [labels[(x[:, i] == u) & (x[:, j] == v)] for u in (True, False) for v in (True, False)]
+            rate = [(c.sum() + 0.5) / (len(c) + 1) for c in cells]
+            if min(map(len, cells)) >= 5:
+                spread = sum(r * (1 - r) / (len(c) + 1) for r, c in zip(rate, cells))
+                want = max(want, (rate[0] - rate[1] - rate[2] + rate[3]) ** 2 / spread)
+        assert z2[i] == pytest.approx(want, rel=1e-3)
+    assert set(np.argsort(-z2)[:2]) == {0, 1}
+    assert all(len(v) == 0 for v in T.interactions(row[:0], term[:0], np.zeros(0)))
