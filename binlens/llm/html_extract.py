@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from binlens.llm.common import text_runs, utf8
-from binlens.llm.html_blocks import Block, blocks
+from binlens.llm.html_blocks import Block, Chain, blocks
 
 #: Labelled pages that the field is trained on.
 PAGES = 360
 RUN_BYTES = 8_000_000
+#: Characters of pages that share the nodes of their ancestors.
+SHARED_CHARS = 4_000_000
 #: Marks that tell page furniture from prose. (Fixed values.)
 MARKS = ("©", "|", "»", "›", "·", "»", "→", "#", "@", "$", "€")
 
@@ -40,13 +42,21 @@ def text_features(b: Block) -> list[str]:
     return out
 
 
-def path_features(tags: tuple[str, ...], names: tuple[str, ...]) -> list[str]:
-    out = [f"in:{t}" for t in set(tags)]
-    for n in set(names):
-        out += [f"name:{n}", f"stem:{n[:5]}"]
-    blocks_only = [t for t in tags if t not in ("html", "body")]
-    out += [f"tag:{blocks_only[-1] if blocks_only else 'body'}", f"named:{bool(names)}"]
-    return out
+TAGS, NAMES = ("in",), ("name", "stem")
+
+
+def word_features(word: str, kinds: tuple[str, ...]) -> list[str]:
+    return [f"{k}:{word[:5] if k == 'stem' else word}" for k in kinds]
+
+
+def own_features(path: Chain, named: Chain) -> list[str]:
+    return [f"tag:{path.last}", f"named:{named.parent is not None}"]
+
+
+def path_features(b: Block) -> list[str]:
+    out = [f for t in sorted(set(b.tags)) for f in word_features(t, TAGS)]
+    out += [f for n in sorted(set(b.names)) for f in word_features(n, NAMES)]
+    return out + own_features(b.path, b.named)
 
 
 # ---- labelled pages -------------------------------------------------------------------------------
@@ -244,23 +254,45 @@ def labelled_pages(n: int = PAGES, seed: int = 11) -> list[tuple[list[Block], li
 
 def pair_kind(a: Block, b: Block) -> int:
     """Kind of neighbourhood: same names and container path, or not."""
-    return int(a.names == b.names and a.tags[:-1] == b.tags[:-1])
+    return int(a.named is b.named and (a.path.parent or a.path) is (b.path.parent or b.path))
 
 
 class Field:
     """``weights``: feature -> score of label 1 over label 0; ``pairs[kind][before][after]``."""
 
     def __init__(self, weights: dict[str, float], pairs):
-        self.weights, self.pairs, self.paths = weights, pairs, {}
+        self.weights, self.pairs = weights, pairs
+        self.forget()
+
+    def forget(self):
+        self.roots, self.chains, self.paths, self.read_chars = (Chain(), Chain()), {}, {}, 0
+
+    def read(self, page: str) -> list[Block]:
+        """The page's blocks; ancestors are shared with pages read before."""
+        if self.read_chars > SHARED_CHARS:
+            self.forget()
+        self.read_chars += len(page)
+        return blocks(page, self.roots)
+
+    def chain(self, end: Chain, kinds: tuple[str, ...]) -> float:
+        """Weights of the distinct words of a path: its parent's, and those of its own word if it is new."""
+        todo, at, got = [], end, self.chains
+        while at.parent is not None and at not in got:
+            todo.append(at)
+            at = at.parent
+        total, get = got.get(at, 0.0), self.weights.get
+        for at in reversed(todo):
+            if at.first:
+                total += sum(get(f, 0.0) for f in word_features(at.word, kinds))
+            got[at] = total
+        return total
 
     def score(self, b: Block) -> float:
-        key = b.tags, b.names
-        path = self.paths.get(key)
-        get = self.weights.get
+        key = b.path, b.named
+        path, get = self.paths.get(key), self.weights.get
         if path is None:
-            if len(self.paths) > 100_000:
-                self.paths.clear()
-            path = self.paths[key] = sum(get(f, 0.0) for f in path_features(*key))
+            path = self.chain(b.path, TAGS) + self.chain(b.named, NAMES) + sum(get(f, 0.0) for f in own_features(*key))
+            self.paths[key] = path
         return path + sum(get(f, 0.0) for f in text_features(b))
 
     def decode(self, page: list[Block]) -> list[int]:
@@ -296,7 +328,7 @@ def train_field(pages, rounds: int = 150, rate: float = 0.3, decay: float = 2e-3
             mask[i, t], y[i, t] = True, label
             if t:
                 kind[i, t] = pair_kind(page[t - 1], b)
-            for f in path_features(b.tags, b.names) + text_features(b):
+            for f in path_features(b) + text_features(b):
                 rows.append(i * most + t)
                 cols.append(index.setdefault(f, len(index)))
     rows, cols = np.array(rows), np.array(cols)
@@ -332,7 +364,7 @@ def train_field(pages, rounds: int = 150, rate: float = 0.3, decay: float = 2e-3
 
 
 def main_text(page: str, model: Field) -> str:
-    found = blocks(page)
+    found = model.read(page)
     return " ".join(b.text for b, label in zip(found, model.decode(found)) if label)
 
 

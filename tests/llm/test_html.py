@@ -84,3 +84,35 @@ def test_rows(spark, field):
     assert by[1] == "Some words that make a sentence." and by[2] == by[3] == by[0] == ""
     assert by[4].count("A long text of the article goes on.") == 20000
     assert H.extract_pages(df.limit(0), model=field).count() == 0
+
+
+DEEP = 100_000
+
+
+@pytest.mark.parametrize("page,n", [
+    ("<div>x" * DEEP, DEEP), ("<b>x" * DEEP + "<p>y</p>" * DEEP, DEEP + 1), ("<div>" * DEEP + "</p></b>" * DEEP + "t", 1),
+    ("<b>" * DEEP + "<div>z</div></i>" * DEEP, DEEP), ("<li><div>" * DEEP + "u", 1)])
+def test_nested_and_unclosed_tags_take_linear_time(page, n):
+    from time import process_time
+    model = H.Field({"in:div": 0.5, "tag:div": 1.0, "bias": -1.0}, [[[0.0, 0.0], [0.0, 0.0]]] * 2)
+    start = process_time()
+    found = blocks(page)
+    assert len(found) == n and len(model.decode(found)) == n
+    assert process_time() - start < 60          # a tuple of ancestors for each block took 11 s at a twelfth of this depth
+
+
+def test_score_of_a_block_is_that_of_its_features():
+    import random
+    rng = random.Random(4)
+    tags = "div p b i a li ul td tr table span html body em dl dt".split()
+    model, weights = None, {}
+    for _ in range(300):
+        page = "".join(rng.choice([f"<{t}>", f"<{t} class='{rng.choice(['ad', 'menuBar main', 'menus ad'])}'>", f"</{t}>", "w "]) for t in rng.choices(tags, k=40))
+        for b in blocks(page):
+            for f in H.path_features(b) + H.text_features(b):
+                weights.setdefault(f, rng.random())
+        model = model or H.Field(weights, None)
+        for b in model.read(page):
+            assert model.score(b) == pytest.approx(sum(weights[f] for f in H.path_features(b) + H.text_features(b)))
+            assert b.path.last == next((t for t in reversed(b.tags) if t not in ("html", "body")), "body")
+        model.forget()
