@@ -60,6 +60,15 @@ def text_terms(texts: list[bytes | None], cache: dict) -> tuple[np.ndarray, np.n
     return key >> BITS, key & ((1 << BITS) - 1)
 
 
+def sample_terms(texts: list[bytes | None], chunk: int = 250) -> tuple[np.ndarray, np.ndarray]:
+    """``text_terms`` of a whole sample, a chunk of texts at a time, as small integers."""
+    parts, cache = [], {}
+    for lo in range(0, max(len(texts), 1), chunk):
+        row, term = text_terms(texts[lo:lo + chunk], cache)
+        parts.append(((row + lo).astype(np.int32), term.astype(np.int32)))
+    return np.concatenate([r for r, _ in parts]), np.concatenate([t for _, t in parts])
+
+
 class Machine:
     """``terms`` (sorted slots) with weights ``w``, factors ``v`` and bias ``b``."""
 
@@ -146,7 +155,7 @@ def fit_machine(texts: list[bytes | None], labels: np.ndarray, passes: int = 90,
     if positives in (0, n):
         rate_of = (positives + 0.5) / (n + 1)
         return Machine(np.empty(0, np.int64), np.zeros(0), np.zeros((0, rank)), float(np.log(rate_of / (1 - rate_of))))
-    row, term = text_terms(texts, {})
+    row, term = sample_terms(texts)
     chi = chi_squared(term, labels[row], positives, n)
     top = np.argsort(-chi, kind="stable")[:active]
     frequent, z2 = interactions(row, term, labels)

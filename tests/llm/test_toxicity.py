@@ -107,3 +107,10 @@ def test_interactions_by_brute_force():
         assert z2[i] == pytest.approx(want, rel=1e-3)
     assert set(np.argsort(-z2)[:2]) == {0, 1}
     assert all(len(v) == 0 for v in T.interactions(row[:0], term[:0], np.zeros(0)))
+
+
+def test_terms_of_a_sample_by_chunks():
+    texts = [b"a bcde fghijk", None, b"", b"xx yyyyy a"] * 200
+    for got, want in zip(T.sample_terms(texts, chunk=7), T.text_terms(texts, {})):
+        assert got.tolist() == want.tolist()
+    assert [len(v) for v in T.sample_terms([])] == [0, 0]
