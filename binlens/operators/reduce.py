@@ -106,13 +106,43 @@ def _nndsvd(df, k, id_col, features_col):
     return W, H
 
 
+#: Entries (rows x features) up to which the steps of a factorization are one task's.
+IN_PLACE = 2_000_000
+
+
+def _nmf_in_place(data: DataFrame, H: np.ndarray, id_col: str, max_iter: int, tol: float, eps: float):
+    """All steps of ``nmf`` in one pass over a small table: (W, H, steps)."""
+    def run(part):
+        pdf = pd.concat(list(part)).sort_values(id_col)
+        X, W, h, last, first = np.stack(pdf["x"].to_numpy()), np.stack(pdf["w"].to_numpy()), H, None, None
+        square, it = (X**2).sum(), 0
+        for it in range(1, max_iter + 1):
+            W = W * (X @ h.T) / np.maximum(W @ (h @ h.T), eps)
+            WtX, WtW = W.T @ X, W.T @ W
+            h = h * WtX / np.maximum(WtW @ h, eps)
+            if it % 10 == 0:
+                err = float(np.sqrt(max(square - 2 * np.sum(h * WtX) + np.sum(h * (WtW @ h)), 0.0)))
+                if first is None:
+                    first = err
+                elif first > 0 and (last - err) / first < tol:
+                    break
+                last = err
+        yield pd.DataFrame({id_col: pdf[id_col].astype("Int64"), "w": list(W), "steps": pd.array([None] * len(W), "Int64")})
+        yield pd.DataFrame({id_col: pd.array([None], "Int64"), "w": [h.ravel()], "steps": pd.array([it], "Int64")})
+
+    out = cut_lineage(data.repartition(1).mapInPandas(run, f"{id_col} long, w array<double>, steps long"))
+    found = out.filter(F.col("steps").isNotNull()).first()
+    return out.filter(F.col("steps").isNull()).select(id_col, "w"), np.array(found["w"]).reshape(H.shape), found["steps"]
+
+
 def nmf(df: DataFrame, k: int, id_col: str = "id", features_col: str = "features", max_iter: int = 500,
-        tol: float = 1e-4, checkpoint_every: int = 10, eps: float = 1e-10):
+        tol: float = 1e-4, checkpoint_every: int = 10, eps: float = 1e-10, in_place: int = IN_PLACE):
     """X ~ W H with W, H >= 0 by multiplicative updates (Frobenius loss), NNDSVD start.
 
     Per step one distributed pass: each partition updates its W rows with the current H and
     yields one partial WtX (k x d) and WtW (k x k), which are added in a shuffle; H is then updated on the driver. Every 10
-    steps the relative drop of the reconstruction error is tested against ``tol``.
+    steps the relative drop of the reconstruction error is tested against ``tol``. Tables of at most ``in_place`` entries take
+    the same steps in one task.
     Returns (W DataFrame (id, w array), H ndarray, n_iter).
     """
     spark = df.sparkSession
@@ -120,6 +150,8 @@ def nmf(df: DataFrame, k: int, id_col: str = "id", features_col: str = "features
     W0, H = _nndsvd(df, k, id_col, features_col)
     data = X.join(W0, id_col)
     data = cut_lineage(data)
+    if 0 < data.count() * H.shape[1] <= in_place:
+        return _nmf_in_place(data, H, id_col, max_iter, tol, eps)
     xx = data.select(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v).alias("s")).agg(F.sum("s")).first()[0] or 0.0
     err0 = prev = None
     held = None

@@ -312,52 +312,65 @@ def q_feature_count_curve(spark, sf):
 
 # ---------------------------------------------------------------- F12 reducer comparison
 
-def _reduced(train: DataFrame, test: DataFrame, reducer: str, n: int, names):
-    """(train, test) with a ``reduced`` vector column of ``n`` slots, the reducer fitted on train."""
-    keep = ("label", "split")
+REDUCERS = ("svd", "nmf", "gini", "chi2", "mi")
+
+
+def reducer_fits(fit: DataFrame, reducer: str, sizes: list[int], nmf_steps: int = 500, keep: tuple[str, ...] = ("label",)):
+    """[(size, function)]: each function gives a frame the vector column ``reduced`` of that many slots, fitted on ``fit``.
+
+    Only the non-negative factors depend on the size; the other reducers are fitted once, with the largest, and sliced.
+    """
+    most = max(sizes)
+
+    def vectors(project):
+        return lambda df: project(df).withColumn("reduced", array_to_vector("r")).drop("r")
+
     if reducer == "svd":
-        _, _, V = reduce.svd(train, n, "id", "features")
-        f = lambda df: reduce.svd_project(df, V, keep=keep, output_col="r")
-    elif reducer == "nmf":
-        _, H, _ = reduce.nmf(train, n, "id", "features", max_iter=100, tol=1e-4)
-        f = lambda df: reduce.nmf_transform(df, H, keep=keep, output_col="r")
+        _, _, V = reduce.svd(fit, most, "id", "features")
+        return [(n, vectors(lambda df, n=n: reduce.svd_project(df, V[:, :n], keep=keep, output_col="r"))) for n in sizes]
+    if reducer == "nmf":
+        def parts(n):
+            _, H, _ = reduce.nmf(fit, n, "id", "features", max_iter=nmf_steps, tol=1e-4)
+            return n, vectors(lambda df: reduce.nmf_transform(df, H, keep=keep, output_col="r"))
+        return [parts(n) for n in sizes]
+    if reducer == "gini":
+        importances = models.decision_tree(max_depth=5, seed=0).fit(fit).featureImportances.toArray()
+        ranked = sorted(range(len(importances)), key=lambda i: (-importances[i], i))
     else:
-        if reducer == "gini":
-            m = models.decision_tree(max_depth=5, seed=0).fit(train)
-            imp = m.featureImportances.toArray()
-            idx = sorted(sorted(range(len(imp)), key=lambda i: (-imp[i], i))[:n])
-        else:
-            idx = TopKSelector(k=n, scoreFunc=reducer).fit(train).getOrDefault("indices")
-        sl = VectorSlicer(inputCol="features", outputCol="reduced", indices=sorted(idx))
-        return sl.transform(train), sl.transform(test)
-    conv = lambda df: f(df).withColumn("reduced", array_to_vector("r")).drop("r")
-    return conv(train), conv(test)
+        ranked = TopKSelector(k=most, scoreFunc=reducer).fit(fit).getOrDefault("indices")
+    return [(n, VectorSlicer(inputCol="features", outputCol="reduced", indices=sorted(ranked[:n])).transform) for n in sizes]
 
 
-@query("reducer_comparison")
-def q_reducer_comparison(spark, sf):
-    """{SVD, NMF, tree importance, chi2, MI} x {5, 10} components x tree depth {3, 5},
-    fitted on the training rows, scored on the test rows; best accuracy over depth."""
-    train, test, names = train_test(spark, sf)
+def reducer_scores(train: DataFrame, sizes: list[int], depths: list[int], reducers: tuple[str, ...] = REDUCERS, folds=FOLDS, fold_col: str = "cv_fold",
+                   nmf_steps: int = 500) -> DataFrame:
+    """(reducer, n_components, max_depth, fold, accuracy): every reducer is fitted on the rows outside a fold, and trees of all depths
+    grown on those rows in one pass are scored on the fold. A size beyond the number of features is an error."""
+    width = len(train.select("features").first()[0])
+    if max(sizes) > width:
+        raise ValueError(f"{max(sizes)} components, but there are {width} features")
 
     def one(job):
-        red, n = job
-        tr, te = _reduced(train, test, red, n, names)
+        reducer, f = job
         out = []
-        for d in [3, 5]:
-            m = models.decision_tree(max_depth=d, seed=0, features="reduced").fit(tr)
-            out.append(m.transform(te).select(F.lit(red).alias("reducer"), F.lit(n).alias("n_components"),
-                                              F.lit(d).alias("max_depth"),
-                                              (F.col("label") == F.col("prediction")).cast("double").alias("hit")))
+        for n, transform in reducer_fits(train.filter(F.col(fold_col) != f), reducer, sizes, nmf_steps, ("label", fold_col)):
+            rows = cut_lineage(transform(train).select("id", "label", fold_col, "reduced"))
+            per = trees.search_forests(rows, [{"max_depth": d} for d in depths], [f], ["accuracy"], fold_col, bootstrap_rows=False, score_train=False,
+                                       features_col="reduced")
+            out += [(reducer, n, depths[r["candidate"]], f, float(r["accuracy"])) for r in per.collect()]      # one row a depth
         return out
 
-    jobs = [(red, n) for red in ["svd", "nmf", "gini", "chi2", "mi"] for n in [5, 10]]
-    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:      # independent reducers side by side
-        rows = [df for dfs in pool.map(one, jobs) for df in dfs]
-    allp = rows[0]
-    for r in rows[1:]:
-        allp = allp.unionByName(r)
-    acc = allp.groupBy("reducer", "n_components", "max_depth").agg(F.avg("hit").alias("accuracy"))
+    jobs = [(r, f) for r in sorted(reducers, key=lambda r: r != "nmf") for f in folds]      # the longest first
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        got = [r for rs in pool.map(one, jobs) for r in rs]
+    return train.sparkSession.createDataFrame(got, "reducer string, n_components int, max_depth int, fold int, accuracy double")
+
+
+@query("reducer_comparison")
+def q_reducer_comparison(spark, sf):
+    """{SVD, NMF (500 steps at most), tree importance, chi2, MI} x {5, 10} components x tree depth {3, 5} x 5 folds, the reducer
+    refitted on the rows outside each fold; the mean accuracy over folds of the better depth."""
+    scores = reducer_scores(train_test(spark, sf)[0], [5, 10], [3, 5])
+    acc = scores.groupBy("reducer", "n_components", "max_depth").agg(F.avg("accuracy").alias("accuracy"))
     best = acc.groupBy("reducer", "n_components").agg(
         F.max("accuracy").alias("accuracy"), F.max_by("max_depth", F.struct("accuracy", -F.col("max_depth"))).alias("best_depth"))
     return _round_all(best, {"accuracy"})

@@ -44,3 +44,13 @@ def test_nystroem_with_all_landmarks_reproduces_kernel(spark, mat):
     d2 = ((X[:, None, :] - X[None, :, :]) ** 2).sum(2)
     K = np.exp(-0.2 * d2)
     assert np.allclose(Z @ Z.T, K, atol=1e-6)
+
+
+def test_nmf_of_a_small_table_takes_the_same_steps(spark):
+    rng = np.random.default_rng(8)
+    X = rng.random((40, 3)) @ rng.random((3, 7))
+    df = spark.createDataFrame([(i, Vectors.dense(x)) for i, x in enumerate(X)], ["id", "features"])
+    near, far = (reduce.nmf(df, 3, max_iter=30, tol=1e-9, in_place=n) for n in (10**6, 0))
+    assert near[2] == far[2] and np.allclose(near[1], far[1], rtol=1e-8)
+    a, b = (np.array([r["w"] for r in w.orderBy("id").collect()]) for w in (near[0], far[0]))
+    assert a.shape == (40, 3) and np.allclose(a, b, rtol=1e-8)
