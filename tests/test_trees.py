@@ -117,6 +117,43 @@ def test_shared_trees_equal_own_fits(spark, table, monkeypatch, budget):
                 assert [r.accuracy, r.precision, r.recall, r.recall_macro, r.f1_macro] == pytest.approx(want)
 
 
+def test_sent_table_and_passes_count_alike(table, monkeypatch):
+    df, _, _ = table
+    cands = [dict(n_estimators=n, max_depth=d, max_features=m, min_samples_split=s, min_samples_leaf=leaf, criterion=c)
+             for n, d, m, s, leaf, c in [(1, 3, 2, 2, 1, "gini"), (4, 9, 2, 0.1, 1, "gini"), (6, 9, 4, 5, 0.05, "entropy"), (6, 2, "auto", 5, 3, "gini")]]
+
+    def got():
+        return sorted(map(tuple, T.search_forests(df, cands, [0, 1, 3], ["accuracy", "precision", "recall_macro"]).collect()))
+
+    monkeypatch.setattr(T, "ROOM", 500)         # two trees in a bundle
+    sent = got()
+    monkeypatch.setattr(T, "MAX_BROADCAST_BYTES", 0)
+    monkeypatch.setattr(T, "_dealt_counts", None)
+    assert got() == sent and len(sent) == len(cands) * 3 * 2
+
+
+@pytest.mark.parametrize("below", [10, 60, 1000])
+def test_finished_subtrees_equal_level_passes(table, monkeypatch, below):
+    df, _, _ = table
+    monkeypatch.setattr(T, "IN_PLACE", 60)
+    params = [dict(max_depth=7, min_child_weight=0.5, gamma=0.0), dict(max_depth=4, colsample=0.5)]
+
+    def fits():
+        return [[nested_weights(m.ensemble, int(r[0])) for r in m.ensemble.roots] for m in N.fit_many(df, params, 3, [1, -1], "cv_fold")]
+
+    monkeypatch.setattr(T, "FINISH", 0)
+    want = fits()
+    monkeypatch.setattr(T, "FINISH", below)
+    calls, finish = [], T.finished
+    monkeypatch.setattr(T, "finished", lambda *a: calls.append(len(a[4])) or finish(*a))
+    assert fits() == want and calls
+
+
+def nested_weights(e, node):
+    f = int(e.feature[node])
+    return float(e.values[node]) if f < 0 else (f, int(e.cut[node]), nested_weights(e, int(e.left[node])), nested_weights(e, int(e.left[node]) + 1))
+
+
 def test_node_rows_walk_to_the_scores(spark, table):
     df, x, _ = table
     model = T.fit_forest(df, n_estimators=3, max_depth=5, max_features=2, bootstrap_rows=True)
