@@ -132,3 +132,24 @@ def test_pivot_join_odd_sides(spark):
     assert pivot_neighbours(train, queries, 9).count() == 6
     named = lambda df: df.selectExpr("concat('r', id) AS id", *[c for c in df.columns if c != "id"])
     assert {r.tid for r in pivot_neighbours(named(train), named(queries), 2).collect()} <= {"r0", "r1", "r2"}
+
+
+def test_block_memory_stays_bounded():
+    """300 queries against a full training block of 16,384 rows stay under 100 MB."""
+    import tracemalloc
+
+    import pandas as pd
+
+    from binlens.operators import knn
+
+    rng = np.random.RandomState(0)
+    X, Q = rng.normal(size=(16384, 8)), rng.normal(size=(300, 8))
+    t = pd.DataFrame({"tid": np.arange(16384), "vec": list(X), "label": 0})
+    q = pd.DataFrame({"qid": np.arange(300), "vec": list(Q)})
+    tracemalloc.start()
+    got = knn._block_pairs(3, 2)(q, t)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    want = [np.lexsort((np.arange(16384), np.round(((X - v) ** 2).sum(1), 9)))[:3].tolist() for v in Q[:20]]
+    assert got.sort_values(["qid", "d2", "tid"]).groupby("qid")["tid"].apply(list).tolist()[:20] == want
