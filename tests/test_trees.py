@@ -252,3 +252,21 @@ def test_l2_and_gamma_hold_leaves_back(table):
     spread = lambda **p: df.sparkSession.createDataFrame(N.fit_boosted(df, rounds=3, **p).transform(df).select("score").collect()).agg({"score": "stddev"}).first()[0]
     assert spread(reg_lambda=0.0) > spread(reg_lambda=50.0)
     assert len(N.fit_boosted(df, rounds=1, gamma=0.0).ensemble.feature) > len(N.fit_boosted(df, rounds=1, gamma=8.0).ensemble.feature)
+
+
+def test_a_task_cuts_few_cells_at_a_time(monkeypatch):
+    rng = np.random.default_rng(0)
+    bins, y = rng.integers(0, 200, (20_000, 6)).astype(np.uint8), rng.integers(0, 2, 20_000)
+    offsets = np.arange(7) * 256
+    specs, most, cut = T.Specs.of(1, depth=30, min_leaf=1.0), [], T.best_cuts
+    monkeypatch.setattr(T, "CELLS", 4096)
+    monkeypatch.setattr(T, "best_cuts", lambda keys, *a: most.append(len(keys)) or cut(keys, *a))
+
+    def grown():
+        state = T.Resident.of_table(bins, y, np.arange(20_000), np.full(20_000, -1), specs, offsets)
+        return T._grown(specs, False, state.cuts_of(specs, False))[0]
+
+    few = grown()
+    assert max(most) <= 4096 + 6 * 256
+    monkeypatch.setattr(T, "CELLS", 1 << 30)
+    assert nested(few, 0) == nested(grown(), 0)
