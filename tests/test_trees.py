@@ -254,6 +254,22 @@ def test_l2_and_gamma_hold_leaves_back(table):
     assert len(N.fit_boosted(df, rounds=1, gamma=0.0).ensemble.feature) > len(N.fit_boosted(df, rounds=1, gamma=8.0).ensemble.feature)
 
 
+@pytest.mark.parametrize("cells", [50, 1 << 20])
+def test_models_in_tasks_equal_passes(table, monkeypatch, cells):
+    df, _, _ = table
+    params = [dict(max_depth=7, min_child_weight=0.5, gamma=0.0), dict(max_depth=4, colsample=0.5, subsample=0.7), dict(max_depth=3, gamma=5.0)]
+
+    def fits():
+        return [(m.rounds, [tuple(None if v is None else round(v, 9) for v in t) for t in m.trace], [nested_weights(m.ensemble, int(r[0])) for r in m.ensemble.roots])
+                for m in N.fit_many(df, params, 23, [0, -1, 2], "cv_fold", patience=4)]
+
+    monkeypatch.setattr(T, "CELLS", cells)
+    in_tasks = fits()
+    monkeypatch.setattr(T, "IN_PLACE", 60)
+    monkeypatch.setattr(N, "_fit_solo", None)
+    assert in_tasks == fits()
+
+
 def test_a_task_cuts_few_cells_at_a_time(monkeypatch):
     rng = np.random.default_rng(0)
     bins, y = rng.integers(0, 200, (20_000, 6)).astype(np.uint8), rng.integers(0, 2, 20_000)
