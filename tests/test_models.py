@@ -122,3 +122,32 @@ def test_sgd_yields_once_per_partition(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert seen and set(seen) == {1}
+
+
+def test_adaboost_in_a_task_equals_passes(spark, monkeypatch):
+    import numpy as np
+
+    from binlens.operators import boosting
+
+    rng = np.random.RandomState(3)
+    x = np.column_stack([rng.normal(0, 1, 400), rng.randint(0, 5, 400), rng.rand(400) < 0.4]).astype(float)
+    y = (x[:, 0] + 0.5 * x[:, 1] * x[:, 2] + rng.normal(0, 0.6, 400) > 0.7).astype(int)
+    df = spark.createDataFrame([(i, int(y[i]), Vectors.dense(x[i].tolist())) for i in range(400)], ["id", "label", "features"]).repartition(5)
+    jobs = []
+    gini = boosting.best_stage
+    monkeypatch.setattr(boosting, "best_stage", lambda *a: jobs.append(1) or gini(*a))
+    one = boosting.fit_adaboost(df, rounds=12)
+    assert not jobs                          # no job of the driver's for a round
+    monkeypatch.setattr(boosting, "ONE_TASK", 10)
+    many = boosting.fit_adaboost(df, rounds=12)
+    assert len(jobs) == 12 and len(one.stages) == 12
+    w, star = np.ones(400), np.where(y == 1, 1.0, -1.0)
+    for a, b in zip(one.stages, many.stages):
+        assert a[:2] == b[:2] and np.allclose(a[2:], b[2:])
+        best = min((sum(m.sum() - ((w[m] * 1.0)[y[m] == 1].sum() ** 2 + w[m][y[m] == 0].sum() ** 2) / w[m].sum() - m.sum() + w[m].sum() for m in (x[:, j] <= t, x[:, j] > t)), j)
+                   for j in range(3) for t in np.unique(x[:, j])[:-1])[0]
+        left = x[:, a[0]] <= a[1]
+        mine = sum(w[m].sum() - (w[m][y[m] == 1].sum() ** 2 + w[m][y[m] == 0].sum() ** 2) / w[m].sum() for m in (left, ~left))
+        assert mine <= best * 1.02           # thresholds are quantiles
+        w = w * np.exp(-star * np.where(left, a[2], a[3]))
+        w /= w.sum()
