@@ -153,3 +153,22 @@ def test_block_memory_stays_bounded():
     assert peak < 100 << 20
     want = [np.lexsort((np.arange(16384), np.round(((X - v) ** 2).sum(1), 9)))[:3].tolist() for v in Q[:20]]
     assert got.sort_values(["qid", "d2", "tid"]).groupby("qid")["tid"].apply(list).tolist()[:20] == want
+
+
+@pytest.mark.parametrize("p", [1, 2])
+def test_boxes_beyond_the_kth_distance_are_not_looked_into(monkeypatch, p):
+    from binlens.operators import knn
+
+    rng = np.random.RandomState(1)
+    X = np.column_stack([rng.randint(0, 30, 8000) * 50.0, rng.normal(size=(8000, 2)).round(1)])
+    X[4000:5000] = X[:1000]                                         # ties
+    tids, Q = rng.permutation(8000), X[rng.permutation(8000)[:600]] + rng.choice([0, 0.05], (600, 3))
+    pairs, top = [], knn.block_topk
+    monkeypatch.setattr(knn, "block_topk", lambda q, x, *a, **k: pairs.append(len(q) * len(x)) or top(q, x, *a, **k))
+    search = knn.Search(Q, 4, p)
+    for lo in range(0, 8000, 3000):
+        search.add(X[lo:lo + 3000], tids[lo:lo + 3000], tids[lo:lo + 3000] % 2)
+    got = search.found(np.arange(600)).sort_values(["qid", "d2", "tid"]).groupby("qid")["tid"].apply(list).tolist()
+    exact = lambda v: np.round((np.abs(X - v) if p == 1 else (X - v) ** 2).sum(1), 9)
+    assert got == [tids[np.lexsort((tids, exact(v)))[:4]].tolist() for v in Q]
+    assert sum(pairs) < 600 * 8000 / 2
