@@ -90,3 +90,18 @@ def test_repeated_cells_add_up_and_no_rows(spark):
     assert s == pytest.approx([4.0, 3.0])
     proj, s, _ = V.randomised_svd(V.sparse_rows(long.limit(0)), 3, 2)
     assert proj.count() == 0 and s.tolist() == [0.0, 0.0]
+
+
+def test_words_are_counted_few_documents_a_task(spark, tmp_path, monkeypatch):
+    from binlens.plans import q_models
+
+    (spark.createDataFrame([(i, f"w{i % 7} w{i % 5} w{i % 5}") for i in range(60)] + [(3, "w1 again"), (None, "w2"), (None, "w2")], "doc_id long, text string")
+     .write.parquet(str(tmp_path / "documents.parquet")))
+    found = []
+    monkeypatch.setattr(q_models.sparse_svd, "randomised_svd", lambda rows, *a, **k: found.append(rows) or (rows.selectExpr("id", "values AS components"), None, None))
+    q_models.q_svd_tokens(spark, str(tmp_path))
+    monkeypatch.setattr(q_models, "DOCS_OF_A_TASK", 3)
+    q_models.q_svd_tokens(spark, str(tmp_path))
+    few, many = found
+    assert many.rdd.getNumPartitions() == 21 and few.rdd.getNumPartitions() <= 8
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect())) and many.count() == 61
