@@ -4,6 +4,7 @@ query and training blocks, and broadcast queries with a running top-k per partit
 import numpy as np
 import pytest
 
+from binlens.operators import knn
 from binlens.operators.knn import knn_predict, nearest_neighbours
 
 
@@ -172,3 +173,30 @@ def test_boxes_beyond_the_kth_distance_are_not_looked_into(monkeypatch, p):
     exact = lambda v: np.round((np.abs(X - v) if p == 1 else (X - v) ** 2).sum(1), 9)
     assert got == [tids[np.lexsort((tids, exact(v)))[:4]].tolist() for v in Q]
     assert sum(pairs) < 600 * 8000 / 2
+
+
+@pytest.mark.parametrize("p", [1, 2])
+def test_many_queries_look_into_all_training_rows_sent(spark, monkeypatch, p):
+    rng = np.random.RandomState(5)
+    X, Q = (np.column_stack([rng.randint(0, 2, n) * 4.0, rng.randint(0, 3, n) / 2, rng.rand(n).round(2)]) for n in (900, 700))
+    train = spark.createDataFrame([(i, X[i].tolist(), i % 2) for i in range(900)], "id long, vec array<double>, label int").repartition(6)
+    queries = spark.createDataFrame([(i, Q[i].tolist()) for i in range(700)], "id long, vec array<double>").repartition(5)
+    monkeypatch.setattr(knn, "FEW_QUERIES", 10)
+    monkeypatch.setattr(knn, "LEAF", 16)
+    out = nearest_neighbours(train, queries, 3, p=p)
+    assert out.count() == 2100
+    got = {(r["qid"], r["rank"]): (r["tid"], r["d2"], r["label"]) for r in out.collect()}
+    diff = Q[:, None, :] - X[None]
+    d = np.round((np.abs(diff) if p == 1 else diff * diff).sum(-1), 9)
+    for i in range(700):
+        for rank, t in enumerate(np.lexsort((np.arange(900), d[i]))[:3], 1):
+            assert got[i, rank] == (t, pytest.approx(d[i, t], abs=1e-9), t % 2)
+
+
+def test_boxes_part_at_value_borders():
+    rng = np.random.RandomState(6)
+    x = np.column_stack([(rng.rand(3000) < 0.1) * 5.0, (rng.rand(3000) < 0.3) * 4.0, rng.rand(3000)])
+    groups = knn.leaves(x, 100)
+    assert sorted(np.concatenate(groups).tolist()) == list(range(3000)) and max(map(len, groups)) <= 100
+    assert all(len(np.unique(x[g, j])) == 1 for g in groups for j in (0, 1))
+    assert max(map(len, knn.leaves(np.zeros((500, 2)), 100))) <= 100 and max(map(len, knn.leaves(np.full((500, 2), np.nan), 100))) <= 100

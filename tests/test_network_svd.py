@@ -105,3 +105,56 @@ def test_words_are_counted_few_documents_a_task(spark, tmp_path, monkeypatch):
     few, many = found
     assert many.rdd.getNumPartitions() == 21 and few.rdd.getNumPartitions() <= 8
     assert sorted(map(str, few.collect())) == sorted(map(str, many.collect())) and many.count() == 61
+
+
+def test_a_table_over_20000_rows_is_one_pass(spark, monkeypatch):
+    rng = np.random.RandomState(2)
+    x = rng.rand(20_500, 2)
+    df = spark.createDataFrame([(Vectors.dense(r.tolist()), int(r[0] > r[1])) for r in x], ["features", "label"]).repartition(4)
+    monkeypatch.setattr(W, "vector_sum", lambda *a: pytest.fail("an epoch was a job"))
+    m = W.fit_network(df, hidden=(4,), max_iter=4, rate=0.01)
+    assert m.epochs == 4 and m.transform(df).where("prediction = label").count() > 19_000
+
+
+def test_wide_tables_are_averaged(spark, moons, monkeypatch):
+    df, _, _ = moons
+    called = []
+    monkeypatch.setattr(W, "FEW", 10)
+    monkeypatch.setattr(W, "MAX_BROADCAST_BYTES", 100)
+    real = W.vector_sum
+    monkeypatch.setattr(W, "vector_sum", lambda *a: called.append(1) or real(*a))
+    assert W.fit_network(df, hidden=(4,), max_iter=2).epochs == len(called) == 2
+
+
+def test_refits_run_beside_the_folds_and_long_fits_first(spark, monkeypatch, tmp_path):
+    from threading import Event
+
+    from binlens.plans import q_models
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, i % 2, "test" if i % 6 == 5 else "train", i % 5) for i in range(60)], "id long, label int, split string, cv_fold int")
+    refits, folds, started = Event(), Event(), []
+
+    class Scored:
+        def score(self, rows):
+            return rows.select("id", "label", F.lit(1).alias("prediction"), F.lit(0.5).alias("score"))
+
+    def builder(name):
+        def fit(train):
+            started.append(name)
+            folds.set()
+            assert refits.wait(60), "the refits wait for the folds"
+            return Scored()
+        return fit
+
+    def fit_roster(train, names, *a, **k):
+        refits.set()
+        assert folds.wait(60)
+        return {n: Scored() for n in names}
+
+    monkeypatch.setattr(q_models, "train_test", lambda *a: (df.where("split = 'train'"), df.where("split = 'test'"), []))
+    monkeypatch.setattr(q_models.roster, "builders", lambda *a, **k: {n: builder(n) for n in q_models.ROSTER})
+    monkeypatch.setattr(q_models.roster, "fit_roster", fit_roster)
+    oof, bases = q_models.stack_tables(spark, str(tmp_path))
+    assert oof.count() == 7 * 50 and bases.count() == 7 * 10
+    assert set(started[:5]) <= {"boosting", "mlp", "adaboost"}
