@@ -234,15 +234,18 @@ def q_svd(spark, sf):
 
 
 TOKEN_COLUMNS = 20_000
-#: Documents whose words one task counts: its memory does not grow with the table.
+#: Documents whose words one task counts: its memory grows neither with the table nor with the texts.
 DOCS_OF_A_TASK = 2_000
+#: Characters of their texts.
+TEXT_OF_A_TASK = 8_000_000
 
 
 @query("svd_tokens")
 def q_svd_tokens(spark, sf):
     """C19 on a wide sparse matrix: counts of all documents' words in 20,000 hashed columns, 10 components by 10 power iterations."""
     docs = table(spark, sf, "documents", "doc_id", "text")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(docs.count() / DOCS_OF_A_TASK))
+    n, chars = docs.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / DOCS_OF_A_TASK), math.ceil((chars or 0) / TEXT_OF_A_TASK))
     words = docs.repartition(parts, "doc_id").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\w+"), 0)).alias("word"))
     cells = words.select("doc_id", F.pmod(F.xxhash64("word"), F.lit(TOKEN_COLUMNS)).cast("int").alias("feature_idx")).groupBy("doc_id", "feature_idx").agg(F.count(F.lit(1)).alias("value"))
     proj, _, _ = sparse_svd.randomised_svd(cut_lineage(sparse_svd.sparse_rows(cells, "doc_id")), TOKEN_COLUMNS, 10, n_iter=10)

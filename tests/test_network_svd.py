@@ -107,6 +107,18 @@ def test_words_are_counted_few_documents_a_task(spark, tmp_path, monkeypatch):
     assert sorted(map(str, few.collect())) == sorted(map(str, many.collect())) and many.count() == 61
 
 
+def test_a_task_counts_words_of_bounded_text(spark, tmp_path, monkeypatch):
+    from binlens.plans import q_models
+
+    spark.createDataFrame([(i, "long words " * (100 if i < 30 else 1)) for i in range(60)] + [(70, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = []
+    monkeypatch.setattr(q_models.sparse_svd, "randomised_svd", lambda rows, *a, **k: found.append(rows) or (rows.selectExpr("id", "values AS components"), None, None))
+    monkeypatch.setattr(q_models, "TEXT_OF_A_TASK", 1_000)
+    q_models.q_svd_tokens(spark, str(tmp_path))
+    assert found[0].rdd.getNumPartitions() == 34 and found[0].count() == 60
+
+
+
 def test_a_table_over_20000_rows_is_one_pass(spark, monkeypatch):
     rng = np.random.RandomState(2)
     x = rng.rand(20_500, 2)
