@@ -286,3 +286,85 @@ def test_a_task_cuts_few_cells_at_a_time(monkeypatch):
     assert max(most) <= 4096 + 6 * 256
     monkeypatch.setattr(T, "CELLS", 1 << 30)
     assert nested(few, 0) == nested(grown(), 0)
+
+
+# ---------------------------------------------------------------- columns of a resident table
+
+def _one_hot_table(rng, n):
+    """Bins of two categories' slots, a numeric feature and a slot that two categories' rows share."""
+    a, b = rng.randint(0, 4, n), rng.randint(0, 6, n)
+    slots = [(a == i).astype(np.uint8) * 2 for i in range(4)] + [(b == i).astype(np.uint8) for i in range(6)]
+    return np.stack([*slots, rng.randint(0, 50, n).astype(np.uint8), (rng.rand(n) < 0.3).astype(np.uint8)], 1), np.array([3] * 4 + [2] * 6 + [50, 2])
+
+
+def test_exclusive_features_share_a_column_and_sums_stay():
+    rng = np.random.RandomState(3)
+    bins, sizes = _one_hot_table(rng, 3000)
+    offsets = np.cumsum([0, *sizes])
+    columns = T.Columns(bins, offsets)
+    assert len(columns.columns) < bins.shape[1]
+    for codes, _, members in columns.columns:      # no row has two members outside their common bins
+        if len(members) > 1:
+            assert ((bins[:, [f for f, _, _ in members]] != [c for *_, c in members]).sum(1) <= 1).all()
+    row = rng.choice(3000, 2000, replace=False)
+    q, wa, wb = rng.randint(0, 5, 2000), rng.randint(1, 1 << 28, 2000), rng.randint(-(1 << 28), 1 << 28, 2000)
+    looked = rng.rand(5, len(sizes)) < 0.6
+    looked[:, 0] = True
+    sub_at, sub = np.append(0, np.cumsum(looked.sum(1))), np.concatenate([np.flatnonzero(x) for x in looked]).astype(np.int32)
+    held = T._Held()
+    for part in T.histograms(q, row, wa, wb, bins, sub_at, sub, offsets):
+        held.add(*part)
+    for got, want in zip(columns.cells(q, row, wa, wb, looked), held.sum()):
+        assert got.tolist() == want.tolist()
+
+
+def test_features_that_meet_in_one_row_are_not_exclusive():
+    bins = np.zeros((1000, 2), np.uint8)
+    bins[:10, 0] = bins[10:20, 1] = 1
+    assert T.exclusive(bins, np.array([2, 2]))[0] == [[0, 1]]
+    bins[500] = 1
+    assert T.exclusive(bins, np.array([2, 2]))[0] == [[0], [1]]
+
+
+def test_grown_from_columns_or_pairs_is_the_same_tree(monkeypatch):
+    rng = np.random.RandomState(5)
+    bins, sizes = _one_hot_table(rng, 4000)
+    offsets = np.cumsum([0, *sizes])
+    h, g = rng.randint(1, 1 << 26, 4000), rng.randint(-(1 << 28), 1 << 28, 4000)
+    specs = T.Specs.of(2, key=[1, 2], per_tree=9, depth=7, min_leaf=[1.0, 3.0], lam=0.4, gamma=0.01)
+    at, tree = np.tile(np.arange(4000), 2), np.repeat([0, 1], 4000)
+
+    def grown(columns):
+        return T.grow_resident(T.Resident(bins, at, tree, h[at], g[at], offsets, columns), specs, True)
+
+    want = grown(None)
+    monkeypatch.setattr(T, "histograms", lambda *a: pytest.fail("pairs were counted"))
+    monkeypatch.setattr(T.Columns, "pays", lambda *a: True)
+    for room in (T.CELLS, 200):       # all nodes at once, and a few
+        monkeypatch.setattr(T, "CELLS", room)
+        got = grown(T.Columns(bins, offsets))
+        assert len(want.feature) > 20
+        for n in T.FOREST:
+            assert getattr(got, n).tolist() == getattr(want, n).tolist()
+
+
+def test_a_small_table_comes_packed(spark):
+    """The rows of a table that is sent are no Python objects on the driver: a row a task arrives, not a row a row."""
+    rng = np.random.RandomState(1)
+    df = spark.createDataFrame([(i, i % 2, i % 5, Vectors.dense(rng.rand(3).tolist())) for i in range(500)], ["id", "label", "f", "features"]).repartition(4)
+    data = T.bin_rows(df, fold_col="f", trees=1000)
+    arrived = []
+    whole = type(df).toArrow
+
+    def noted(self):
+        out = whole(self)
+        arrived.append(out.num_rows)
+        return out
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(data.rows), "toArrow", noted)
+        bins, label, rid, fold = T.small_table(data)
+    want = {r["rid"]: (r["label"], r["fold"], bytes(r["bins"])) for r in data.rows.collect()}
+    assert {int(i): (int(a), int(f), b.tobytes()) for i, a, f, b in zip(rid, label, fold, bins)} == want and len(rid) == 500
+    assert max(arrived) <= data.tasks
+    data.release()
