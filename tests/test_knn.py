@@ -200,3 +200,44 @@ def test_boxes_part_at_value_borders():
     assert sorted(np.concatenate(groups).tolist()) == list(range(3000)) and max(map(len, groups)) <= 100
     assert all(len(np.unique(x[g, j])) == 1 for g in groups for j in (0, 1))
     assert max(map(len, knn.leaves(np.zeros((500, 2)), 100))) <= 100 and max(map(len, knn.leaves(np.full((500, 2), np.nan), 100))) <= 100
+
+
+# ---------------------------------------------------------------- cells
+
+@pytest.mark.parametrize("p", [1, 2])
+def test_many_queries_are_dealt_by_cell_and_stay_off_the_driver(spark, monkeypatch, p):
+    """Queries within the limit, training rows beyond it: queries used to be collected as rows and met every training partition."""
+    monkeypatch.setattr(knn, "FEW_QUERIES", 10)
+    rng = np.random.RandomState(9)
+    X = np.concatenate([rng.randint(0, 4, (300, 3)).astype(float), rng.normal(30, 2, (200, 3)), np.zeros((60, 3))])
+    Q = np.concatenate([rng.randint(0, 4, (40, 3)).astype(float), rng.normal(30, 3, (20, 3)), [[1e6, 0, 0], [0, 0, 0]]])
+    train = spark.createDataFrame([(i, X[i].tolist(), i % 3) for i in range(len(X))] + [(None, [0.0] * 3, 1)], "id long, vec array<double>, label int").repartition(3)
+    queries = spark.createDataFrame([(1000 + j, v.tolist()) for j, v in enumerate(Q)], "id long, vec array<double>")
+    whole = type(queries).collect
+    monkeypatch.setattr(type(queries), "collect", lambda self: pytest.fail("vectors reach the driver") if "vec" in self.columns else whole(self))
+    frame = nearest_neighbours(train, queries, 4, query_block=9, train_block=50, broadcast_bytes=len(Q) * 3 * 8, p=p)
+    got = {}
+    for r in frame.collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.tid, r.label, r.d2))
+    for j, v in enumerate(Q):
+        d = np.round((np.abs(X - v) ** p).sum(1), 9)
+        want = sorted(range(len(X)), key=lambda i: (d[i], i))[:4]
+        assert [(t, y, e) for _, t, y, e in sorted(got[1000 + j])] == [(i, i % 3, d[i]) for i in want]
+
+
+@pytest.mark.parametrize("n,k", [(0, 3), (1, 3), (40, 60)])
+def test_cells_with_few_training_rows(spark, n, k):
+    rng = np.random.RandomState(n)
+    X = rng.normal(0, 1, (n, 2))
+    train = spark.createDataFrame([(i, X[i].tolist(), 1) for i in range(n)], "id long, vec array<double>, label int")
+    queries = spark.createDataFrame([(j, [float(j), 0.0]) for j in range(5)], "id long, vec array<double>")
+    got = nearest_neighbours(train, queries, k, query_block=2, train_block=8, broadcast_bytes=0).collect()
+    assert len(got) == 5 * min(n, k) and {(r.qid, r.tid) for r in got} == {(j, i) for j in range(5) for i in range(n)}
+
+
+def test_cuts_part_what_can_be_parted():
+    x = np.concatenate([np.zeros((50, 2)), np.random.RandomState(0).normal(0, 1, (50, 2))])
+    cuts = knn.Cuts(x, 10)
+    cell = cuts.cell_of(x)
+    assert cuts.cells > 4 and len(set(cell[:50])) == 1 and np.bincount(cell[50:]).max() <= 10
+    assert knn.Cuts(np.zeros((0, 2)), 10).cells == 1
